@@ -25,6 +25,14 @@ def all_matches(col: Column, rules) -> Column:
     return F.array_compact(F.array(*[F.when(matches(col, p), F.lit(n)) for n, p in rules]))
 
 
+def let(value: Column, body) -> Column:
+    """Bind an expression once and use it many times inside ``body``.
+
+    Without the binding a pattern cascade would repeat its input per rule.
+    """
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def literal_map(table: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
 

@@ -17,7 +17,7 @@ def product_key(url: Column) -> Column:
     """Last path segment of a product address."""
     path = F.regexp_replace(F.coalesce(url, F.lit("")), r"(?s)[?#].*$", "")
     path = F.regexp_replace(path, r"/+$", "")
-    return norm_key(F.element_at(F.split(path, "/"), -1))
+    return norm_key(F.try_element_at(F.split(path, "/"), F.lit(-1)))
 
 
 def slugify(col: Column) -> Column:
@@ -85,7 +85,7 @@ def registrable(host_col: Column) -> Column:
 
 def url_handle(url: Column) -> Column:
     path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
-    return alnum_label(F.element_at(F.filter(F.split(path, "/"), lambda s: s != ""), -1))
+    return alnum_label(F.try_element_at(F.filter(F.split(path, "/"), lambda s: s != ""), F.lit(-1)))
 
 
 def store_grams(value: Column) -> Column:
@@ -209,7 +209,7 @@ def capped(raw: Column, most: int = 120) -> Column:
 def locale_currency(locale: Column) -> Column:
     """USD from ``en-us``; null without a known region."""
     parts = F.split(F.lower(F.regexp_replace(locale, r"^/+|/+$", "")), r"[-_]")
-    return F.when(F.size(parts) > 1, lookup(X.LOCALE_CURRENCY, F.element_at(parts, -1)))
+    return F.when(F.size(parts) > 1, lookup(X.LOCALE_CURRENCY, F.try_element_at(parts, F.lit(-1))))
 
 
 def label_order(col: Column) -> list[Column]:
