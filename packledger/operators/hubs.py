@@ -126,7 +126,7 @@ def brand_shelves(bags: DataFrame) -> DataFrame:
 def related(bags: DataFrame, k: int = 8) -> DataFrame:
     """Other bags of the same brand and category, then of the category, in catalogue order.
 
-    Only the first ``k + 1`` bags of a brand shelf and the first ``2k + 1`` of a
+    Only the first ``k + 1`` bags of a brand shelf and the first ``2k`` of a
     category can ever be answers, so those short lists are joined, not the groups.
     """
     order = [F.col("ord")]
@@ -134,11 +134,8 @@ def related(bags: DataFrame, k: int = 8) -> DataFrame:
         "brand_slug", "category", F.col("id").alias("other"), F.col("ord").alias("o"))
     shelf = shelf.groupBy("brand_slug", "category").agg(
         F.array_sort(F.collect_list(F.struct("o", "other"))).alias("same"))
-    wide = top_k(bags, ["category"], order, 2 * k + 1)
-    # the head of a category may be all one brand: add each brand's own head per category
-    heads = top_k(_heads(bags, k), ["category"], [F.col("ord")], 2 * k + 1)
-    every = wide.select("category", "id", "ord", "brand_slug").unionByName(
-        heads.select("category", "id", "ord", "brand_slug")).distinct()
+    # a brand with more than k bags here fills the list itself, so 2k rows are enough
+    every = top_k(bags, ["category"], order, 2 * k)
     rest = every.groupBy("category").agg(F.array_sort(F.collect_list(F.struct(
         F.col("ord").alias("o"), F.col("id").alias("other"), "brand_slug"))).alias("rest"))
     df = bags.select("id", "brand_slug", "category").join(
@@ -150,14 +147,6 @@ def related(bags: DataFrame, k: int = 8) -> DataFrame:
     return df.select("id", F.posexplode(picks).alias("place", "related_id"))
 
 
-def _heads(bags: DataFrame, k: int) -> DataFrame:
-    """First bags of each category outside the brand that opens it."""
-    first = top_k(bags, ["category"], [F.col("ord")], 1).select(
-        F.col("category").alias("__c"), F.col("brand_slug").alias("__b"))
-    return bags.join(first, (F.col("category") == F.col("__c"))
-                     & (F.col("brand_slug") == F.col("__b")), "left_anti")
-
-
 def siblings(bags: DataFrame) -> DataFrame:
     """Sizes of one split model, smallest first, with their place in the line."""
     from ..functions.skew import numbered
