@@ -298,11 +298,14 @@ def _values(rows: DataFrame) -> dict[str, Column]:
                 F.array().cast("array<string>"))}
 
 
+def _tagged(values: Column, group: str) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(group).alias("group"), v.alias("value")))
+
+
 def _pairs(rows: DataFrame, keep=None) -> Column:
     parts = []
     for g, values in _values(rows).items():
-        pairs = F.transform(values, lambda v, g=g: F.struct(F.lit(g).alias("group"),
-                                                            v.alias("value")))
+        pairs = _tagged(values, g)
         parts.append(pairs if keep is None else F.when(keep(g), pairs).otherwise(
             F.slice(pairs, 1, 0)))
     return F.concat(*parts)

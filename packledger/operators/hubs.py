@@ -150,7 +150,8 @@ def related(bags: DataFrame, k: int = 8) -> DataFrame:
 def siblings(bags: DataFrame) -> DataFrame:
     """Sizes of one split model, smallest first, with their place in the line."""
     from ..functions.skew import numbered
-    kids = bags.where(F.col("split_from").isNotNull())
+    kids = bags.where(F.col("split_from").isNotNull()).select(
+        "split_from", "id", "volume_l", "ord")
     size = F.coalesce("volume_l", F.lit(0.0))
     out = numbered(kids, ["split_from"], [size, F.col("ord")],
                    F.struct(F.floor(size), F.floor(F.col("ord") / 65536)), "place")
