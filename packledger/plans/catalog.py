@@ -1,3 +1,3 @@
 """All registered queries."""
-from . import q_browse, q_prices, q_reports  # noqa: F401
+from . import q_browse, q_crawl, q_people, q_prices, q_reports  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
