@@ -5,6 +5,7 @@ from pyspark.sql import Column, functions as F
 
 from . import fixed as X
 from .rules import lookup, matches, rx
+from .text import nearest
 
 
 def norm_key(col: Column) -> Column:
@@ -148,23 +149,26 @@ def price_range_text(lo: Column, hi: Column, code: Column) -> Column:
             .otherwise(F.concat(price_text(lo, code), F.lit(" – "), price_text(hi, code))))
 
 
+def fixed_text(x: Column, digits: int) -> Column:
+    """A fixed number of decimals, nearest to the exact binary value (see ``nearest``)."""
+    unit = 10 ** digits
+    return (nearest(x, digits, ties_up=True) / F.lit(unit)).cast(f"decimal(18,{digits})").cast("string")
+
+
 def weight_text(g: Column) -> Column:
-    return F.when(g >= 1000, F.concat((g / 1000.0).cast("decimal(18,2)").cast("string"),
-                                      F.lit(" kg"))).when(
+    return F.when(g >= 1000, F.concat(fixed_text(g / 1000.0, 2), F.lit(" kg"))).when(
         g.isNotNull(), F.concat(g.cast("string"), F.lit(" g")))
 
 
 def weight_imperial_text(g: Column) -> Column:
     lb, oz = 453.59237, 28.349523
-    return F.when(g >= lb, F.concat((g / lb).cast("decimal(18,1)").cast("string"),
-                                    F.lit(" lb"))).when(
-        g.isNotNull(), F.concat(F.round(g / oz, 0).cast("int").cast("string"), F.lit(" oz")))
+    return F.when(g >= lb, F.concat(fixed_text(g / lb, 1), F.lit(" lb"))).when(
+        g.isNotNull(), F.concat(F.floor(g / oz + 0.5).cast("string"), F.lit(" oz")))
 
 
 def dims_text(dims: Column, inches: bool = False) -> Column:
     unit = " in" if inches else " cm"
-    parts = F.transform(dims, lambda v: (v / X.CM_PER_IN if inches else v)
-                        .cast("decimal(18,1)").cast("string"))
+    parts = F.transform(dims, lambda v: fixed_text(v / X.CM_PER_IN if inches else v, 1))
     return F.when(F.size(dims) > 0, F.concat(F.array_join(parts, " × "), F.lit(unit)))
 
 

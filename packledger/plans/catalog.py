@@ -1,3 +1,4 @@
 """All registered queries."""
-from . import q_browse, q_crawl, q_people, q_prices, q_reports  # noqa: F401
+from . import (  # noqa: F401
+    q_browse, q_crawl, q_people, q_prices, q_reports, q_specs)
 from .registry import ORACLE, QUERIES  # noqa: F401
