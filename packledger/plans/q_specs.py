@@ -244,11 +244,11 @@ def _product_pages(spark, d):
     """Product pages rendered from parts, every second one wrapped in a real page's markup."""
     body = f"""'<script type="application/ld+json">{{"@type":"Product","name":"' || p_name || '","description":"A trusty ' || p_name ||
       ' of recycled nylon for long days, model number ' || {K('p_partkey')} || '","gtin13":"' || {K('p_partkey + 4000000')} ||
-      '","offers":[{{"priceCurrency":"EUR"}}]}}</script><nav>10L 20L 30L 40L 50L</nav><p>A trusty ' || p_name ||
+      '","offers":[{{"priceCurrency":"EUR"}}]}}</script><nav>Bags Pouches</nav><p>A trusty ' || p_name ||
       ' of recycled nylon for long days, model number ' || {K('p_partkey')} || '. ' || CASE p_partkey % 4
       WHEN 0 THEN 'Dimensions: ' || {K(A)} || ' x ' || {K(W_)} || ' x ' || {K(D_)} || ' cm. Weight: ' || {K(GR)} || ' g. fits a 15" laptop. '
       WHEN 1 THEN 'Capacity: ' || {K('p_size')} || ' L. Weight ' || {K(GR)} || ' g. ' WHEN 2 THEN 'Dimensions on request. ' ELSE '' END ||
-      'YKK zips.</p><p>You may also like 99L</p>'"""
+      'YKK zips.</p><p>You may also like more</p>'"""
     theme = f"""CASE WHEN p_partkey % 4 = 3 THEN '<script type="application/json">{{"a":[{{"spec":{{"Feature text size":"<b>RFID</b> pocket ' ||
       {K('p_partkey')} || '"}}}}]}}</script>' ELSE '' END"""
     return _part(spark, d, page_key="'pg' || " + K("p_partkey"),
@@ -700,7 +700,7 @@ def f11(spark, d):
 
 
 @query("f12_display_forms", "bag", """
-SELECT id, CASE WHEN weight_g >= 1000 THEN printf('%.2f', weight_g / 1000) || ' kg' ELSE CAST(weight_g AS STRING) || ' g' END AS weight,
+SELECT id, CASE WHEN weight_g >= 1000 THEN printf('%.2f', weight_g / 1000 + CASE WHEN weight_g % 125 = 0 THEN 0.000001 ELSE 0 END) || ' kg' ELSE CAST(weight_g AS STRING) || ' g' END AS weight,
  CASE WHEN d3 IS NOT NULL THEN CAST(CAST(d1 AS DECIMAL(18,1)) AS STRING) || ' × ' || CAST(CAST(d2 AS DECIMAL(18,1)) AS STRING) || ' × ' || CAST(CAST(d3 AS DECIMAL(18,1)) AS STRING) || ' cm'
   WHEN d1 IS NOT NULL THEN CAST(CAST(d1 AS DECIMAL(18,1)) AS STRING) || ' × ' || CAST(CAST(d2 AS DECIMAL(18,1)) AS STRING) || ' cm' END AS dims,
  CASE WHEN price_min IS NULL THEN '—' ELSE CASE currency WHEN 'GBP' THEN '£' WHEN 'EUR' THEN '€' ELSE '$' END ||
