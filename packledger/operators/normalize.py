@@ -396,7 +396,8 @@ def normalize_woo(raw: DataFrame) -> Normalised:
         "materials": F.array_sort(X2.materials(F.col("__blob"))),
         "features": X2.features(F.col("__blob")), "tags": F.col("__tags"),
         "source": F.lit("woocommerce:store-api")}).drop("slug")
-    return _finish(df, F.col("title"), F.array_join("__cats", ", "), F.col("__tags"), url)
+    return _finish(df, F.col("title"), F.array_join("__cats", ", "), F.col("__tags"),
+                   F.col("url"))
 
 
 # --- Magento shape ----------------------------------------------------------

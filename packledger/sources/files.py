@@ -14,12 +14,12 @@ RAW = ("slug string, name string, domain string, platform string, status string,
 
 # --- raw catalogues, roster, hints, rulings ---------------------------------
 
-def read_raw(spark: SparkSession, path: str):
-    """(products, unreadable): one document per brand; a torn file is recorded, never fatal.
+def read_raw(spark: SparkSession, path: str, lines: bool = False):
+    """(products, unreadable): one document per file, or per line; a torn one is recorded.
 
     Products stay JSON text under their platform, in feed order (file, position).
     """
-    docs = (spark.read.schema(RAW).option("multiLine", True).option("mode", "PERMISSIVE")
+    docs = (spark.read.schema(RAW).option("multiLine", not lines).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", "_bad").json(path)
             .withColumn("file", F.input_file_name()))
     unreadable = docs.where(F.col("_bad").isNotNull()).select(
@@ -37,17 +37,18 @@ ROSTER = ("slug string, name string, domain string, platform string, locale stri
           "product:string,shelf:string,delay:double,shelf_scoped:boolean>")
 
 
-def read_roster(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ROSTER).option("multiLine", True).json(path)
+def read_roster(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return spark.read.schema(ROSTER).option("multiLine", not lines).json(path)
 
 
 HINTS = ("slug string, products map<string, struct<category:string,bag_votes:int,"
          "accessory_votes:int,in:array<string>,is_bag:boolean>>")
 
 
-def read_hints(spark: SparkSession, path: str) -> DataFrame:
+def read_hints(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(slug, product_id, hint_category, hint_is_bag); files without hints are tolerated."""
-    docs = spark.read.schema(HINTS).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    docs = spark.read.schema(HINTS).option("multiLine", not lines).option(
+        "mode", "DROPMALFORMED").json(path)
     return docs.select("slug", F.explode("products").alias("product_id", "h")).select(
         "slug", "product_id", F.col("h.category").alias("hint_category"),
         F.col("h.is_bag").alias("hint_is_bag"))
