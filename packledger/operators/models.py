@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..durable import cut
 from ..functions import fixed as X, scalars as S, text as X2
-from ..functions.rules import let, matches, rx
-from ..functions.skew import numbered, top_k
-from . import classify as C
+from ..functions.rules import let, rx
+from ..functions.skew import numbered
 
 
 # --- sources ----------------------------------------------------------------
@@ -382,10 +382,14 @@ def offers(bags: DataFrame, listings: DataFrame) -> DataFrame:
 
 
 def build(bags: DataFrame, variants: DataFrame, rates: DataFrame):
-    """Shadow filter, merge, split, collapse, permalink and dollar estimate, in that order."""
-    kept, _ = drop_shadowed(bags)
-    live = variants.join(kept.select(F.col("id").alias("bag_id")), "bag_id", "left_semi")
+    """Shadow filter, merge, split, collapse, permalink and dollar estimate, in that order.
+
+    Each step reads its input several times, so every step's result is written
+    to the shared folder before the next one starts.
+    """
+    kept = cut(drop_shadowed(bags)[0])
+    live = cut(variants.join(kept.select(F.col("id").alias("bag_id")), "bag_id", "left_semi"))
     merged = merge_models(kept, live)
-    sized, sized_variants = split_sizes(merged.bags, merged.variants)
-    slim = collapse_variants(sized_variants)
+    sized, sized_variants = split_sizes(cut(merged.bags), cut(merged.variants))
+    sized, slim = cut(sized), collapse_variants(cut(sized_variants))
     return usd_approx(permalink(sized), rates), slim.variants, merged.values

@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..durable import cut
 from ..functions import fixed as X, scalars as S, text as X2
 from ..functions.rules import let, literal_map, lookup, matches
 from ..functions.skew import first_per_key
@@ -693,7 +694,11 @@ NORMALISERS = {
 
 
 def assign_families(part: Normalised, rulings: DataFrame) -> Normalised:
-    """Colour family per variant, and the families of a bag from variants and colours."""
+    """Colour family per variant, and the families of a bag from variants and colours.
+
+    Both tables are read several times, so they are written once first.
+    """
+    part = Normalised(cut(part.bags), cut(part.variants), part.rejects)
     owner = part.bags.select(F.col("id").alias("bag_id"), "brand_slug")
     named = part.variants.drop("color_family").join(owner, "bag_id").withColumn(
         "__name", F.coalesce("color", "title"))

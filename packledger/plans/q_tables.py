@@ -72,12 +72,12 @@ def s05(spark, d):
         F.count(F.lit(1)).alias("n"), F.count("price").alias("priced"), F.min("ts").alias("first_ts"), F.count_if("rebased").alias("rebased"))
 
 
-@query("s06_append_ledger", "ledger", "SELECT CAST(ts AS DATE) AS dt, count(*) AS n FROM ledger GROUP BY 1")
+@query("s06_append_ledger", "ledger", "SELECT CAST(date_trunc('month', ts) AS DATE) AS dt, count(*) AS n FROM ledger GROUP BY 1")
 def s06(spark, d):
     path = scratch_path(spark, "ledger-log")
-    rows = B.view(spark, d, "ledger").where("ts >= DATE '1990-01-01'")
+    rows = B.view(spark, d, "ledger")
     cut = F.lit("1998-01-01").cast("timestamp_ntz")
-    monthly = rows.repartition(F.to_date("ts"))
+    monthly = rows.repartition(F.trunc("ts", "month"))
     IO.append_ledger(monthly.where(F.col("ts") < cut), path)
     IO.append_ledger(monthly.where(F.col("ts") >= cut), path)
     return spark.read.parquet(path).groupBy("dt").agg(F.count(F.lit(1)).alias("n"))
@@ -371,7 +371,7 @@ def r01(spark, d):
 
 
 @query("r02_enrich", "bag", """
-SELECT count(*) AS bags, count(*) FILTER (WHERE features_source = 'product-page' OR pk % 3 = 2 AND pk % 7 < 5) AS scanned FROM bag""")
+SELECT count(*) AS bags, count(*) FILTER (WHERE features_source = 'product-page' OR pk % 3 = 2 AND pk % 7 < 5 AND split_from IS NULL) AS scanned FROM bag""")
 def r02(spark, d):
     from .q_crawl import _cache
     out, _, _ = R.enrich(B.bags(spark, d).withColumn("gtin", F.lit(None).cast("string")), _cache(spark, d))

@@ -22,8 +22,9 @@ def read_raw(spark: SparkSession, path: str, lines: bool = False):
     docs = (spark.read.schema(RAW).option("multiLine", not lines).option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", "_bad").json(path)
             .withColumn("file", F.input_file_name()))
-    unreadable = docs.where(F.col("_bad").isNotNull()).select(
-        F.regexp_extract("file", r"([^/]+)$", 1).alias("file"))
+    # the reader wants a second column next to the corrupt one
+    torn = F.col("_bad").isNotNull() & F.coalesce(F.length("slug") >= 0, F.lit(True))
+    unreadable = docs.where(torn).select(F.regexp_extract("file", r"([^/]+)$", 1).alias("file"))
     good = docs.where(F.col("_bad").isNull() & F.col("slug").isNotNull())
     products = good.select(
         "slug", "name", "domain", F.coalesce("platform", F.lit("shopify")).alias("platform"),
@@ -74,10 +75,10 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:
-    """Append this run's rows, one folder per day."""
+    """Append this run's rows, one folder per month."""
     cols = [c.split()[0] for c in LEDGER.split(", ")]
     have = [c for c in cols if c in rows.columns]
-    rows.select(*have, "ord", F.to_date("ts").alias("dt")).write.mode("append").partitionBy(
+    rows.select(*have, "ord", F.trunc("ts", "month").alias("dt")).write.mode("append").partitionBy(
         "dt").parquet(path)
 
 
