@@ -57,7 +57,7 @@ def read_hints(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
 
 def read_rulings(spark: SparkSession, path: str, valid: list[str]) -> DataFrame:
     """(brand, key, value) of reviewed rulings; notes are skipped, an unknown value fails the run."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     brands = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("brand", "e"))
     rows = (brands.where(~F.startswith("brand", F.lit("_")))
             .select("brand", F.explode(F.from_json("e", "map<string,string>")).alias("key", "value")))
@@ -125,20 +125,24 @@ def read_airlines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_fx(spark: SparkSession, path: str):
     """(rates, missing): reference rates per euro as units per dollar, and needed codes absent."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
+    q = "['\"]"
     cubes = F.regexp_extract_all("value", F.lit(
-        r"<Cube\s+currency=['\"]([A-Z]{3})['\"]\s+rate=['\"]([0-9.]+)['\"]"), F.lit(0))
-    day = F.regexp_extract("value", r"time=['\"](\d{4}-\d{2}-\d{2})['\"]", 1)
-    stated = text.select(day.alias("date"), F.explode(cubes).alias("c")).select(
-        F.col("date").try_cast("date").alias("date"),
-        F.regexp_extract("c", r"currency=['\"]([A-Z]{3})", 1).alias("currency"),
-        F.regexp_extract("c", r"rate=['\"]([0-9.]+)", 1).try_cast("double").alias("per_eur"))
-    euro = stated.select("date", F.lit("EUR").alias("currency"), F.lit(1.0).alias("per_eur")).distinct()
-    every = stated.unionByName(euro).where(F.col("per_eur").isNotNull())
-    usd = every.where(F.col("currency") == "USD").select(
-        F.col("date").alias("__d"), F.col("per_eur").alias("__u"))
-    rates = every.join(usd, F.col("date") == F.col("__d")).select(
-        "date", "currency", F.round(F.col("per_eur") / F.col("__u"), 6).alias("per_usd"))
+        rf"<Cube\s+currency={q}[A-Z]{{3}}{q}\s+rate={q}[0-9.]+{q}"), F.lit(0))
+    read = lambda c, pattern: F.regexp_extract(c, pattern.replace("Q", q), 1)
+    cells = F.transform(cubes, lambda c: F.struct(
+        read(c, "currency=Q([A-Z]{3})").alias("currency"),
+        read(c, "rate=Q([0-9.]+)").try_cast("double").alias("per_eur")))
+    euro = F.struct(F.lit("EUR").alias("currency"), F.lit(1.0).alias("per_eur"))
+    stated = text.select(
+        read(F.col("value"), r"time=Q(\d{4}-\d{2}-\d{2})Q").try_cast("date").alias("date"),
+        F.array_append(cells, euro).alias("cells")).withColumn("__u", F.get(F.filter(
+            "cells", lambda c: c["currency"] == "USD"), F.lit(0))["per_eur"])
+    rates = (stated.where(F.col("date").isNotNull() & F.col("__u").isNotNull())
+             .select("date", "__u", F.explode("cells").alias("c"))
+             .where(F.col("c.per_eur").isNotNull())
+             .select("date", "c.currency", F.round(F.col("c.per_eur") / F.col("__u"), 6)
+                     .alias("per_usd")))
     needed = spark.createDataFrame([(c,) for c in X.FX_NEEDED], "currency string")
     return rates, needed.join(rates.select("currency"), "currency", "left_anti")
 
@@ -186,7 +190,7 @@ def baseline(spark: SparkSession, path: str, require: bool = False) -> DataFrame
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Stored pages (gzip is opened by the reader), keyed by file name."""
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.input_file_name(), r"([^/]+?)\.html(?:\.gz)?$", 1).alias("page_key"),
         F.col("value").alias("html"))
 
