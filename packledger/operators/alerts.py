@@ -1,7 +1,7 @@
 """Price alerts and mail-health tables."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars as S
 from ..functions.skew import first_per_key, numbered
@@ -27,18 +27,68 @@ def candidates(subs: DataFrame, events: DataFrame) -> DataFrame:
     return by_bag.unionByName(by_brand).dropDuplicates(["id"])
 
 
-def wants(subs: DataFrame, events: DataFrame) -> DataFrame:
-    """(subscription, drop) pairs whose criteria all hold; an empty watch matches nothing."""
-    e = events.where(F.col("direction") == "down")
-    cover = F.col("max_price").isNull() | (F.col("price") <= F.col("max_price"))
-    side = subs.where(F.col("confirmed_at").isNotNull()).withColumnRenamed("id", "subscription_id")
-    named = watched(e).join(side, F.col("watched_id") == F.col("watch_bag")).where(
-        F.col("watch_brand").isNull() | (F.col("watch_brand") == F.col("brand_slug"))
-    ).drop("watched_id")
-    # a watch that names a bag is answered above
-    branded = e.join(side.where(F.col("watch_bag").isNull()),
-                     F.col("watch_brand") == F.col("brand_slug"))
-    return named.unionByName(branded).where(F.coalesce(cover, F.lit(False)))
+def wants(watch_bag: Column, watch_brand: Column, max_price: Column, bag_id: Column,
+          split_from: Column, brand_slug: Column, price: Column) -> Column:
+    """Does a watch cover a drop?  An empty watch covers nothing, an unknown price no ceiling."""
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    named = blank(watch_bag) | F.coalesce((watch_bag == bag_id) | (watch_bag == split_from),
+                                          F.lit(False))
+    branded = blank(watch_brand) | F.coalesce(watch_brand == brand_slug, F.lit(False))
+    under = max_price.isNull() | F.coalesce(price <= max_price, F.lit(False))
+    return named & branded & under & ~(blank(watch_bag) & blank(watch_brand))
+
+
+NO_CEILING = 1e300
+
+
+def _frontier(drops: DataFrame, keys: list[str], salts: int = 64) -> DataFrame:
+    """The drops that can be somebody's steepest: each cheaper than all the steeper ones.
+
+    A ceiling m is answered by the one row with ``price <= m < ceiling_end``.
+    The frontier of a union is the frontier of the frontiers, so a busy key is
+    thinned in salted parts first.
+    """
+    order = [F.coalesce("delta", F.lit(0.0)), F.col("ord")]
+
+    def thin(df: DataFrame, by: list[str]) -> DataFrame:
+        steeper = Window.partitionBy(*by).orderBy(*order).rowsBetween(
+            Window.unboundedPreceding, -1)
+        df = df.withColumn("ceiling_end", F.coalesce(F.min("price").over(steeper), F.lit(
+            NO_CEILING * 10)))
+        return df.where(F.col("price") < F.col("ceiling_end"))
+
+    parts = drops.where(F.col("price").isNotNull()).withColumn(
+        "__salt", F.pmod(F.hash("ord"), F.lit(salts)))
+    return thin(thin(parts, [*keys, "__salt"]).drop("ceiling_end", "__salt"), keys)
+
+
+def steepest(subs: DataFrame, events: DataFrame) -> DataFrame:
+    """The steepest covered drop per confirmed subscription and alert key.
+
+    Watches and drops are never paired row by row: each line of drops is cut to
+    its frontier first, and a ceiling meets exactly one row of it.
+    """
+    live = subs.where(F.col("confirmed_at").isNotNull()).select(
+        F.col("id").alias("subscription_id"), "email", "unsub_token",
+        F.nullif("watch_bag", F.lit("")).alias("watch_bag"),
+        F.nullif("watch_brand", F.lit("")).alias("watch_brand"), "max_price",
+        F.coalesce("max_price", F.lit(NO_CEILING)).alias("__m"))
+    meets = (F.col("price") <= F.col("__m")) & (F.col("__m") < F.col("ceiling_end"))
+    drops = events.where(F.col("direction") == "down")
+    ids = _frontier(watched(events), ["watched_id", "brand_slug"])
+    named = live.where(F.col("watch_bag").isNotNull()).join(
+        ids, (F.col("watch_bag") == F.col("watched_id")) & meets).where(
+        F.col("watch_brand").isNull() | (F.col("watch_brand") == F.col("brand_slug")))
+    named = named.withColumn("alert_key", F.col("watch_bag")).drop("watched_id")
+    line = F.coalesce(F.nullif("split_from", F.lit("")), "bag_id")
+    lines = _frontier(drops.withColumn("__line", line), ["brand_slug", "__line"])
+    branded = live.where(F.col("watch_bag").isNull()).join(
+        lines, (F.col("watch_brand") == F.col("brand_slug")) & meets)
+    branded = branded.withColumn("alert_key", F.col("__line")).drop("__line")
+    # a watched id whose drops span two brands leaves one row for each
+    both = named.unionByName(branded).drop("__m", "ceiling_end")
+    return first_per_key(both, ["subscription_id", "alert_key"],
+                         [F.coalesce("delta", F.lit(0.0)), F.col("ord")])
 
 
 def dedupe_key(watch_bag: Column, split_from: Column, bag_id: Column) -> Column:
@@ -47,14 +97,6 @@ def dedupe_key(watch_bag: Column, split_from: Column, bag_id: Column) -> Column:
     return F.coalesce(blank(watch_bag), blank(split_from), bag_id)
 
 
-def steepest(pairs: DataFrame) -> DataFrame:
-    """The deepest drop per subscription and key; the first one on a tie."""
-    df = pairs.withColumn("alert_key", dedupe_key(
-        F.col("watch_bag"), F.col("split_from"), F.col("bag_id")))
-    return first_per_key(df, ["subscription_id", "alert_key"],
-                         [F.coalesce("delta", F.lit(0.0)), F.col("ord")])
-
-
 def not_recent(alerts: DataFrame, sent: DataFrame, subs: DataFrame, now, hours: int = 24) -> DataFrame:
     """Alerts not already sent under the same key within the interval."""
     now = F.lit(now).cast("timestamp_ntz")

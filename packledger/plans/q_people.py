@@ -53,19 +53,27 @@ def a02(spark, d):
     return A.candidates(_subs(spark, d), _events(spark, d)).select("id", "watch_bag", "watch_brand")
 
 
-def _pairs(spark, d):
-    return A.wants(_subs(spark, d), _events(spark, d))
+def _steep(spark, d):
+    return A.steepest(_subs(spark, d), _events(spark, d))
 
 
 @query("a03_wants", VIEWS, f"""
-WITH {PAIRS} SELECT subscription_id, count(*) AS n, min(price) AS least FROM pairs GROUP BY 1""")
+WITH {PAIRS} SELECT DISTINCT subscription_id, alert_key FROM keyed""")
 def a03(spark, d):
-    return _pairs(spark, d).groupBy("subscription_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("price").alias("least"))
-
-
-def _steep(spark, d):
-    return A.steepest(_pairs(spark, d))
+    return _steep(spark, d).select("subscription_id", "alert_key")
+
+
+@query("a03_wants_own_bag", VIEWS, f"""
+WITH {EV} SELECT e.ord, s.id IS NOT NULL AND (s.watch_bag IS NOT NULL OR s.watch_brand IS NOT NULL)
+  AND (s.watch_bag IS NULL OR s.watch_bag = e.bag_id OR coalesce(s.watch_bag = e.split_from, FALSE))
+  AND (s.watch_brand IS NULL OR s.watch_brand = e.brand_slug) AND (s.max_price IS NULL OR e.price <= s.max_price) AS wanted
+FROM ev e LEFT JOIN subscription s ON s.id = e.pk""")
+def a03b(spark, d):
+    s = _subs(spark, d).select(F.col("id").alias("__sid"), "watch_bag", "watch_brand", "max_price")
+    e = _events(spark, d).join(s, F.col("pk") == F.col("__sid"), "left")
+    c = F.col
+    return e.select("ord", (c("__sid").isNotNull() & A.wants(c("watch_bag"), c("watch_brand"), c("max_price"), c("bag_id"),
+                                                             c("split_from"), c("brand_slug"), c("price"))).alias("wanted"))
 
 
 @query("a04_a05_steepest", VIEWS, f"""

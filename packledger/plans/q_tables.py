@@ -347,14 +347,14 @@ def t08(spark, d):
 
 @query("t09_stream_match", ("ledger", "bag", "subscription"), f"""
 WITH {DROPS}, live AS (SELECT * FROM subscription WHERE confirmed_at IS NOT NULL),
-p AS (SELECT s.id AS subscription_id, w.ord FROM watched w JOIN live s ON s.watch_bag = w.watched_id WHERE (s.watch_brand IS NULL OR s.watch_brand = w.brand_slug) AND (s.max_price IS NULL OR w.price <= s.max_price)
- UNION ALL SELECT s.id, d.ord FROM drops d JOIN live s ON s.watch_bag IS NULL AND s.watch_brand = d.brand_slug WHERE s.max_price IS NULL OR d.price <= s.max_price)
-SELECT subscription_id, count(*) AS n FROM p GROUP BY 1""")
+p AS (SELECT s.id AS subscription_id, s.watch_bag AS k FROM watched w JOIN live s ON s.watch_bag = w.watched_id WHERE (s.watch_brand IS NULL OR s.watch_brand = w.brand_slug) AND (s.max_price IS NULL OR w.price <= s.max_price)
+ UNION ALL SELECT s.id, coalesce(d.split_from, d.bag_id) FROM drops d JOIN live s ON s.watch_bag IS NULL AND s.watch_brand = d.brand_slug WHERE s.max_price IS NULL OR d.price <= s.max_price)
+SELECT subscription_id, count(DISTINCT k) AS n FROM p GROUP BY 1""")
 def t09(spark, d):
     bag = B.view(spark, d, "bag").select(F.col("id").alias("__id"), "brand_slug", "slug", "name", "split_from", "currency")
     led = _stream(spark, d, "ledger").where(F.col("direction").isNotNull() & F.col("price").isNotNull())
     drops = led.join(bag, F.col("bag_id") == F.col("__id")).drop("__id")
-    out = T.drain(T.stream_match(drops, _subs(spark, d)).select("subscription_id", "ord"), "match")
+    out = T.stream_match(drops, _subs(spark, d))
     return out.groupBy("subscription_id").agg(F.count(F.lit(1)).alias("n"))
 
 
