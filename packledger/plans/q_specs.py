@@ -252,7 +252,8 @@ def _product_pages(spark, d):
     theme = f"""CASE WHEN p_partkey % 4 = 3 THEN '<script type="application/json">{{"a":[{{"spec":{{"Feature text size":"<b>RFID</b> pocket ' ||
       {K('p_partkey')} || '"}}}}]}}</script>' ELSE '' END"""
     return _part(spark, d, page_key="'pg' || " + K("p_partkey"),
-                 html=f"'<html><head><title>x</title></head><body>' || {body} || {theme} || '</body></html>'").select("page_key", "html", "k")
+                 html=f"'<html><head><title>x</title></head><body>' || {body} || {theme} || '</body></html>'").select("page_key", "html", "k").repartition(
+                     spark.sparkContext.defaultParallelism)  # parsing is far dearer than reading
 
 
 @query("x22_parse_pages", (), f"""

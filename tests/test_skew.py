@@ -25,25 +25,26 @@ def grouped(rows):
     return out
 
 
-ORDER = [F.col("t"), F.col("ord")]
+def order():
+    return [F.col("t"), F.col("ord")]
 
 
 def test_numbered(table):
     rows, df = table
-    got = {r.ord: r.rn for r in skew.numbered(df, ["key"], ORDER, F.floor(F.col("t") / 20)).collect()}
+    got = {r.ord: r.rn for r in skew.numbered(df, ["key"], order(), F.floor(F.col("t") / 20)).collect()}
     want = {r[2]: i for g in grouped(rows).values() for i, r in enumerate(g, 1)}
     assert got == want
 
 
 def test_numbered_overall(table):
     rows, df = table
-    got = {r.ord: r.rn for r in skew.numbered(df, [], ORDER, F.floor(F.col("t") / 20)).collect()}
+    got = {r.ord: r.rn for r in skew.numbered(df, [], order(), F.floor(F.col("t") / 20)).collect()}
     assert got == {r[2]: i for i, r in enumerate(sorted(rows, key=lambda r: (r[1], r[2])), 1)}
 
 
 def test_running_sum(table):
     rows, df = table
-    got = {r.ord: r.s for r in skew.running_sum(df, ["key"], ORDER, F.floor(F.col("t") / 20), F.col("flag"), "s").collect()}
+    got = {r.ord: r.s for r in skew.running_sum(df, ["key"], order(), F.floor(F.col("t") / 20), F.col("flag"), "s").collect()}
     want = {}
     for g in grouped(rows).values():
         total = 0
@@ -55,7 +56,7 @@ def test_running_sum(table):
 
 def test_previous(table):
     rows, df = table
-    out = skew.previous(df, ["key"], ORDER, F.floor(F.col("t") / 20), F.struct("ord"), "p")
+    out = skew.previous(df, ["key"], order(), F.floor(F.col("t") / 20), F.struct("ord"), "p")
     got = {r.ord: (r.p.ord if r.p else None) for r in out.collect()}
     want = {}
     for g in grouped(rows).values():
@@ -79,5 +80,5 @@ def test_medians_and_ranks(table):
 
 def test_first_per_key_prunes_before_the_shuffle(table):
     _, df = table
-    plan = skew.first_per_key(df, ["key"], ORDER)._jdf.queryExecution().executedPlan().toString()
+    plan = skew.first_per_key(df, ["key"], order())._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2

@@ -76,7 +76,7 @@ def test_names(ev):
 
 def test_rounding_is_to_the_binary_value(ev):
     n = lambda c: T.tenth(c.cast("double"))
-    assert ev(n, "6.35", "31.75", "57.15", "12.25", "0.05") == [round(x, 1) for x in (6.35, 31.75, 57.15, 12.25, 0.05)]
+    assert ev(n, "6.35", "31.75", "57.15", "12.25", "2.55") == [round(x, 1) for x in (6.35, 31.75, 57.15, 12.25, 2.55)]
 
 
 def test_taxonomy_and_shelves(ev):
