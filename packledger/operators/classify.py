@@ -329,9 +329,9 @@ def scope_frontier(candidates: DataFrame, hints: DataFrame, least: float = 0.05)
         "on_shelf", F.coalesce("__on", F.lit(False))).drop("__t", "__p", "__on")
     share = marked.agg((F.count_if("on_shelf") / F.count(F.lit(1))).alias("share"))
     low = share.where(F.col("share") < least).select(F.lit(False).alias("trusted"))
-    # one row at most: an equi-join on a constant flag keeps this a hash join
-    return (marked.withColumn("__k", F.lit(False))
-            .join(low.withColumnRenamed("trusted", "__k2"), F.col("__k") == F.col("__k2"), "left")
+    # a global aggregate gives one row at most, whatever the size of the lists
+    return (marked.withColumn("__k", F.lit(False)).join(F.broadcast(
+        low.withColumnRenamed("trusted", "__k2")), F.col("__k") == F.col("__k2"), "left")
             .where(F.col("on_shelf") | F.col("__k2").isNotNull()).drop("__k", "__k2"))
 
 

@@ -29,12 +29,11 @@ def drop_removed(products: DataFrame, roster: DataFrame):
 
 def drop_shadowed(bags: DataFrame, aggregator: str = "aggregator:"):
     """An aggregator's row gives way where a direct source carries the brand."""
-    from_agg = F.startswith("source", F.lit(aggregator))
-    direct = bags.where(~from_agg).select(F.lower("brand").alias("__b")).distinct()
-    marked = bags.withColumn("__key", F.when(from_agg, F.lower("brand")))
-    kept = marked.join(direct, F.col("__key") == F.col("__b"), "left_anti").drop("__key")
-    shadowed = marked.join(direct, F.col("__key") == F.col("__b"), "left_semi").drop("__key")
-    return kept, shadowed
+    from_agg = F.coalesce(F.startswith("source", F.lit(aggregator)), F.lit(False))
+    direct, agg = bags.where(~from_agg), bags.where(from_agg)
+    known = direct.select(F.lower("brand").alias("__b")).distinct()
+    on = F.lower("brand") == F.col("__b")
+    return (direct.unionByName(agg.join(known, on, "left_anti")), agg.join(known, on, "left_semi"))
 
 
 # --- names ------------------------------------------------------------------
@@ -86,7 +85,6 @@ def merge_models(bags: DataFrame, variants: DataFrame) -> Models:
             None).cast("string")).alias("s"))
         return F.min_by(pair, F.when(F.col(value).isNotNull(), F.col("ord")))
 
-    vocab = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
     out = df.groupBy(*group).agg(
         F.max_by(row, rank).alias("base"), F.count(F.lit(1)).cast("int").alias("merged_from"),
         F.min_by("name", F.struct(F.length("name"), "ord")).alias("short"),
@@ -95,13 +93,12 @@ def merge_models(bags: DataFrame, variants: DataFrame) -> Models:
         fill("weight_g", "weight_source").alias("f_weight_g"),
         fill("laptop_in").alias("f_laptop_in"),
         F.min_by("image", F.when(F.col("image").isNotNull(), F.col("ord"))).alias("f_image"),
-        vocab("materials").alias("f_materials"), vocab("features").alias("f_features"),
-        vocab("color_families").alias("f_color_families"),
         F.bool_or("in_stock").alias("f_in_stock"), F.bool_or("on_sale").alias("f_on_sale"),
         F.min("price_min").alias("l_min"), F.max(F.greatest("price_max", "price_min")).alias("l_max"),
         F.min("ord").alias("f_ord"))
     out = out.withColumn("id", F.col("base.id"))
     ids = out.select(*group, "id")
+    out = out.join(_vocabularies(df, group), group, "left")
     members = (df.select(*group, F.col("id").alias("listing_id"), "url", "ord", "name")
                .join(ids, group).select("listing_id", "id", "url", "ord", "name"))
     moved = (variants.join(members.select("listing_id", F.col("id").alias("__m"),
@@ -122,8 +119,8 @@ def merge_models(bags: DataFrame, variants: DataFrame) -> Models:
     over = {
         "id": F.col("id"), "name": F.col("__sc.name"), "merged_from": F.col("merged_from"),
         "image": F.coalesce(base("image"), F.col("f_image")),
-        "materials": F.col("f_materials"), "features": F.col("f_features"),
-        "color_families": F.col("f_color_families"), "in_stock": F.col("f_in_stock"),
+        **{c: F.coalesce("f_" + c, F.array().cast("array<string>")) for c in VOCABULARIES},
+        "in_stock": F.col("f_in_stock"),
         "on_sale": F.col("f_on_sale"), "ord": F.col("f_ord"),
         "variant_count": F.coalesce("v_n", F.lit(0)),
         "price_min": F.round(F.coalesce("v_min", "l_min"), 2),
@@ -138,6 +135,19 @@ def merge_models(bags: DataFrame, variants: DataFrame) -> Models:
     return Models(merged, moved, members, model_values(df, members, group, out))
 
 
+VOCABULARIES = ["materials", "features", "color_families"]
+
+
+def _vocabularies(df: DataFrame, group: list[str]) -> DataFrame:
+    """Sorted union of each vocabulary column per group; repeats go before anything is gathered."""
+    tagged = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda v: F.struct(
+        F.lit(c).alias("kind"), v.alias("value")))
+    seen = df.select(*group, F.explode(F.concat(*[tagged(c) for c in VOCABULARIES])).alias("x")).select(
+        *group, "x.kind", "x.value").distinct()
+    return seen.groupBy(*group).agg(*[F.array_sort(F.collect_set(F.when(
+        F.col("kind") == c, F.col("value")))).alias("f_" + c) for c in VOCABULARIES])
+
+
 def model_values(listings: DataFrame, members: DataFrame, group: list[str],
                  models: DataFrame) -> DataFrame:
     """Ordered-distinct unions over the listings of a model, one row per value."""

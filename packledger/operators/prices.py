@@ -56,7 +56,10 @@ def adopt_split(current: DataFrame, state: DataFrame) -> DataFrame:
     old = F.when((F.coalesce("sku", F.lit("")) != "") & F.col("split_from").isNotNull(),
                  F.concat("split_from", F.lit("::"), "sku"))
     df = current.join(side("__p"), F.col("key") == F.col("__pkey"), "left")
-    df = df.withColumn("__old", F.when(F.col("__pkey").isNull(), old))
+    # rows with nothing to adopt get a key of their own that no state has, so that
+    # they do not all meet on null
+    df = df.withColumn("__old", F.coalesce(F.when(F.col("__pkey").isNull(), old),
+                                           F.concat(F.lit("\x00"), "key")))
     df = df.join(side("__a"), F.col("__old") == F.col("__akey"), "left")
     return df.withColumn("prev", F.coalesce("__prow", "__arow")).withColumn(
         "adopted", F.col("__pkey").isNull() & F.col("__akey").isNotNull()).drop(

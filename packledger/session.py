@@ -25,10 +25,15 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors of a cluster (a local master has it already)."""
-    if spark.sparkContext.master.startswith("local"):
+    app = spark.sparkContext.applicationId
+    if spark.sparkContext.master.startswith("local") or app in _SHIPPED:
         return
+    _SHIPPED.add(app)
     root = os.path.dirname(os.path.abspath(__file__))
     path = os.path.join(tempfile.mkdtemp(), "packledger.zip")
     with zipfile.ZipFile(path, "w") as z:
