@@ -1,7 +1,7 @@
 """Brand master list, domain evidence and outreach worklists."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed as X, scalars as S
 from ..functions.rules import let, literal_map, lookup, matches, rx
@@ -163,10 +163,9 @@ def verdict_summary(verdicts: DataFrame) -> DataFrame:
     best = best_verdicts(verdicts)
     per = best.groupBy(F.substring_index("verdict", ":", 1).alias("kind")).agg(
         F.count(F.lit(1)).alias("brands"), F.sum("models").cast("bigint").alias("models"))
-    total = best.agg(F.sum("models").alias("__t")).withColumn("__k", F.lit(1))
-    return per.withColumn("__k", F.lit(1)).join(total, "__k").select(
-        "kind", "brands", "models", (F.col("models") / F.greatest("__t", F.lit(1)))
-        .alias("share"))
+    whole = F.sum("models").over(Window.partitionBy(F.lit(0)))   # a handful of kinds
+    return per.select("kind", "brands", "models", (F.col("models") / F.greatest(
+        whole, F.lit(1))).alias("share"))
 
 
 def marker_tally(verdicts: DataFrame) -> DataFrame:

@@ -327,12 +327,8 @@ def scope_frontier(candidates: DataFrame, hints: DataFrame, least: float = 0.05)
     marked = candidates.withColumn("__t", tail).join(
         held, F.col("__t") == F.col("__p"), "left").withColumn(
         "on_shelf", F.coalesce("__on", F.lit(False))).drop("__t", "__p", "__on")
-    share = marked.agg((F.count_if("on_shelf") / F.count(F.lit(1))).alias("share"))
-    low = share.where(F.col("share") < least).select(F.lit(False).alias("trusted"))
-    # a global aggregate gives one row at most, whatever the size of the lists
-    return (marked.withColumn("__k", F.lit(False)).join(F.broadcast(
-        low.withColumnRenamed("trusted", "__k2")), F.col("__k") == F.col("__k2"), "left")
-            .where(F.col("on_shelf") | F.col("__k2").isNotNull()).drop("__k", "__k2"))
+    share = marked.agg(F.count_if("on_shelf") / F.count(F.lit(1))).first()[0]
+    return marked if share is None or share < least else marked.where("on_shelf")
 
 
 def carry_categories(tree: DataFrame) -> DataFrame:

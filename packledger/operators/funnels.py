@@ -1,7 +1,7 @@
 """Referral and mail funnels."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed as X, scalars as S
 from ..functions.rules import matches
@@ -43,8 +43,8 @@ def by_seller(events: DataFrame, most: int = 25) -> DataFrame:
             .agg(clicks().alias("buys"),
                  F.count_if(F.col("name") == "brand_click").alias("brand_clicks"))
             .orderBy(F.desc("buys"), F.desc("brand_clicks"), "seller").limit(most))
-    total = rows.agg(F.sum("buys").alias("__t")).withColumn("__k", F.lit(1))
-    return rows.withColumn("__k", F.lit(1)).join(total, "__k").select(
+    total = F.sum("buys").over(Window.partitionBy(F.lit(0)))   # the few rows shown
+    return rows.withColumn("__t", total).select(
         "seller", "buys", "brand_clicks",
         F.when(F.col("__t") > 0, F.col("buys") / F.col("__t")).alias("share"))
 
@@ -93,10 +93,13 @@ def best_worst(bags: DataFrame, min_views: int = 20, shown: int = 10,
         "rate", F.col("clicks") / F.col("views"))
     best = rated.orderBy(F.desc("rate"), "bag_id", "brand", "model").limit(shown).withColumn(
         "list", F.lit("best"))
-    enough = rated.agg((F.count(F.lit(1)) >= least).alias("__ok"))
-    worst = rated.orderBy("rate", F.desc("bag_id"), F.desc("brand"), F.desc("model")).limit(
-        shown).withColumn("__k", F.lit(True)).join(
-        enough, F.col("__k") == F.col("__ok")).drop("__k", "__ok")
+    # the lowest ``least`` rows also tell whether there are that many
+    order = [F.col("rate"), F.desc("bag_id"), F.desc("brand"), F.desc("model")]
+    low = rated.orderBy(*order).limit(least)
+    one = Window.partitionBy(F.lit(0))
+    worst = (low.withColumn("__n", F.count(F.lit(1)).over(one))
+             .withColumn("__at", F.row_number().over(one.orderBy(*order)))
+             .where((F.col("__n") >= least) & (F.col("__at") <= shown)).drop("__n", "__at"))
     return best.unionByName(worst.withColumn("list", F.lit("worst")))
 
 
@@ -116,11 +119,12 @@ def funnel(pageviews: DataFrame, surfaces: DataFrame) -> DataFrame:
 def measured_share(surfaces: DataFrame, pageviews: DataFrame) -> DataFrame:
     """Share of model-page views that the beacon saw.  pageviews(route)."""
     seen = surfaces.where(F.col("surface") == "model-page").select(
-        F.col("views").alias("seen"), F.lit(1).alias("__k"))
+        F.col("views").alias("seen"), F.lit(None).cast("bigint").alias("loaded"))
     every = pageviews.where(F.startswith("route", F.lit("/bags/"))).agg(
-        F.count(F.lit(1)).alias("loaded")).withColumn("__k", F.lit(1))
-    return seen.join(every, "__k").select("seen", "loaded", F.when(
-        F.col("loaded") > 0, F.col("seen") * 100.0 / F.col("loaded")).alias("pct"))
+        F.lit(None).cast("bigint").alias("seen"), F.count(F.lit(1)).alias("loaded"))
+    both = seen.unionByName(every).agg(F.max("seen").alias("seen"), F.max("loaded").alias("loaded"))
+    return both.withColumn("pct", F.when(
+        F.col("loaded") > 0, F.col("seen") * 100.0 / F.col("loaded")))
 
 
 def traffic(pageviews: DataFrame) -> DataFrame:

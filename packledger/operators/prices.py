@@ -281,7 +281,8 @@ def sale_stats(bags: DataFrame, cuts: DataFrame) -> DataFrame:
     ranks = value_at_rank(offs, [], F.col("off"), {
         "deepest": F.col("n"), "median": F.col("n") - F.floor(F.col("n") / 2)}, 0.001)
     totals = on.agg(F.count(F.lit(1)).alias("models"),
-                    F.countDistinct("brand_slug").alias("brands")).withColumn("__k", F.lit(1))
+                    F.countDistinct("brand_slug").alias("brands"))
     picked = ranks.select(percent("deepest").alias("deepest_pct"),
-                          percent("median").alias("median_pct"), F.lit(1).alias("__k"))
-    return totals.join(picked, "__k", "left").drop("__k")
+                          percent("median").alias("median_pct"))
+    both = totals.unionByName(picked, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])

@@ -126,9 +126,10 @@ def s13(spark, d):
     path = scratch_path(spark, "catalogue")
     b = B.bags(spark, d)
     IO.write_catalogue(b, B.view(spark, d, "variant"), catalogue_meta(b), path)
-    n = lambda t: spark.read.parquet(f"{path}/{t}").agg(F.count(F.lit(1)).alias(t), F.lit(1).alias("k"))
-    meta = spark.read.parquet(f"{path}/meta").where("metric = 'brand_count'").select(F.col("value").cast("int").alias("meta_brands"), F.lit(1).alias("k"))
-    return n("bags").join(n("variants"), "k").join(meta, "k").drop("k")
+    n = lambda t: spark.read.parquet(f"{path}/{t}").agg(F.count(F.lit(1)).alias(t))
+    meta = spark.read.parquet(f"{path}/meta").where("metric = 'brand_count'").select(F.col("value").cast("int").alias("meta_brands"))
+    both = n("bags").unionByName(n("variants"), allowMissingColumns=True).unionByName(meta, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 @query("s14_write_rejects", (), "SELECT CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS reason, p_name AS title FROM part")
