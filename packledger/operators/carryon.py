@@ -16,8 +16,10 @@ from .models import indexable
 MAX_CARRIERS = 2000
 
 
-def carriers(airlines: DataFrame) -> Column:
-    """The carrier table as one constant array of structs (size-checked)."""
+def carriers(airlines: DataFrame | Column) -> Column:
+    """The carrier table as one constant array of structs (size-checked, read once)."""
+    if isinstance(airlines, Column):
+        return airlines
     rows = airlines.select("name", "region", "carry_on_cm", "carry_on_linear_cm",
                            "personal_cm").limit(MAX_CARRIERS + 1).collect()
     if len(rows) > MAX_CARRIERS:
@@ -63,7 +65,7 @@ def fits(dims: Column, table: Column) -> Column:
         f["carry_on"].alias("carry_on"), f["personal"].alias("personal"))))
 
 
-def with_fits(bags: DataFrame, airlines: DataFrame) -> DataFrame:
+def with_fits(bags: DataFrame, airlines: DataFrame | Column) -> DataFrame:
     return bags.withColumn("fits", fits(F.col("dims_cm"), carriers(airlines)))
 
 
@@ -77,7 +79,7 @@ def fit_matrix(bags: DataFrame, airlines: DataFrame) -> DataFrame:
         "id", "f.airline", "f.carry_on", "f.personal")
 
 
-def carriers_fitting(bags: DataFrame, airlines: DataFrame) -> DataFrame:
+def carriers_fitting(bags: DataFrame, airlines: DataFrame | Column) -> DataFrame:
     """Add ``airlines``: slugs of the carriers whose carry-on limit the bag meets."""
     out = with_fits(bags, airlines)
     yes = F.filter("fits", lambda f: F.coalesce(f["carry_on"], F.lit(False)))

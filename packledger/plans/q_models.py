@@ -14,7 +14,8 @@ CTX = {"brand_slug": "'brand-' || CAST(p_partkey % 25 AS STRING)", "brand_name":
 
 def _raw(spark, d, **cols):
     return B.table(spark, d, "part").selectExpr("p_partkey", "p_size", "p_name", "p_retailprice",
-                                                *[f"{e} AS {c}" for c, e in {**CTX, **cols}.items()])
+                                                *[f"{e} AS {c}" for c, e in {**CTX, **cols}.items()]).repartition(
+        spark.sparkContext.defaultParallelism)  # reading specs out is far dearer than reading rows
 
 
 def _arr(c):
