@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, mixing, packing, secret_scan, simhash, tokenfile
+from . import hnsw, langid, main_text, mixing, packing, pitman_yor, secret_scan, simhash, tokenfile, topk
 from .common import table
 
 
@@ -19,6 +19,11 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot of every document in the interleaved sources, under tempered weights."""
     return mixing.schedule(table(spark, sf_dir, "documents"))
@@ -40,12 +45,41 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.joined(F.col("spans")).alias("spans"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under the model of those outside the held-out seventh."""
+    docs = table(spark, sf_dir, "documents")
+    return pitman_yor.score(docs, pitman_yor.fit(docs.where(~pitman_yor.held_out())))
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest neighbours by cosine of every fiftieth vector."""
+    return hnsw.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in the packed sequences."""
     return packing.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (
-    op1_language, op2_near_duplicates, op4_source_mix, op5_token_files, op6_secrets, op9_packing)}
+def op10_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five largest inner products of every fiftieth vector, in whole numbers."""
+    return topk.inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
-ORACLE = {"op4_source_mix": mixing.SQL}
+
+QUERIES = {f.__name__: f for f in (
+    op1_language, op2_near_duplicates, op3_main_text, op4_source_mix, op5_token_files, op6_secrets, op7_lm_score,
+    op8_neighbours, op9_packing, op10_inner_products)}
+
+#: Every query against every row, without bounds or shards.
+_PRODUCTS = """
+WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.v, b.v),
+                 lambda p: p[1] * p[2]))::BIGINT AS score
+          FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 5
+"""
+
+ORACLE = {"op4_source_mix": mixing.SQL, "op10_inner_products": _PRODUCTS}
