@@ -102,19 +102,21 @@ class Model:
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Dense steps of all languages: entry = (next state's row << 1) | phrase ended."""
         width = len(self.alphabet) + 3
-        rows = sum(a.states for a in self.automata)
+        rows = sum(a.states + 1 for a in self.automata)
         steps = np.empty((rows, width), np.int32)
         roots, base = [], 0
         for a in self.automata:
-            root = np.full(width, base, np.int64)  # a symbol never seen is a phrase by itself
+            # one more state stands after a symbol never seen, which is a phrase by itself
+            start = np.full(width, base + a.states, np.int64)
             at_root = a.source == 0
-            root[a.symbol[at_root]] = a.target[at_root] + base
-            part = steps[base:base + a.states]
-            part[:] = ((root * width) << 1) | 1
+            start[a.symbol[at_root]] = a.target[at_root] + base
+            part = steps[base:base + a.states + 1]
+            part[:] = ((start * width) << 1) | 1
             part[a.source, a.symbol] = ((a.target.astype(np.int64) + base) * width) << 1
-            part[:, PAD] = ((np.arange(a.states) + base) * width) << 1
+            part[0, start == base + a.states] &= ~1  # the first phrase of a window is counted already
+            part[:, PAD] = ((np.arange(a.states + 1) + base) * width) << 1
             roots.append(base * width)
-            base += a.states
+            base += a.states + 1
         kind = np.full(_RARE, GAP, np.int32)
         for c, k in self.alphabet.items():
             kind[ord(c)] = k

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import written
+from .common import fresh, written
 
 #: What the weights add up to, about: each source's is rounded, with 1 at least.
 SCALE = 1000
@@ -96,12 +96,12 @@ def numbered(rows: DataFrame) -> DataFrame:
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, source, src, spot): what the schedule reads of a row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"))
-    return rows.select("doc_id", "source", source_key(F.col("source")).alias("src"), spot().alias("spot"))
+    return rows.select("doc_id", "source", source_key(F.col("source")).alias("src"), spot(F.col("doc_id")).alias("spot"))
 
 
-def spot() -> Column:
+def spot(doc_id: Column) -> Column:
     """Where a row stands in the order of its source."""
-    return F.md5(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).cast("binary"))
+    return F.md5(F.coalesce(doc_id.cast("long").cast("string"), F.lit("")).cast("binary"))
 
 
 def schedule(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -130,14 +130,19 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     A source keeps its rows up to its last one within the horizon; rows of a
     source that are alike in doc_id stay or go together.
     """
+    own, bound = fresh(docs, "own_source", "bound")
     last = (schedule(docs, weights).where("in_mix")
-            .select(source_key(F.col("source")).alias("__src"), F.struct(
-                spot().alias("spot"), F.coalesce("doc_id", F.lit(-2 ** 63)).alias("id")).alias("at"))
-            .groupBy("__src").agg(F.max("at").alias("__last")))
+            .select(source_key(F.col("source")).alias(own), _turn(F.col("doc_id")).alias("at"))
+            .groupBy(own).agg(F.max("at").alias(bound)))
     last = written(last, "mix-last")  # one row per source; its stored size decides how it is joined
-    at = F.struct(spot().alias("spot"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-2 ** 63)).alias("id"))
-    keyed = docs.withColumns({"__at": at, "__src": source_key(F.col("source").cast("string"))})
-    return keyed.join(last, "__src").where("__at <= __last").select(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.withColumn(own, source_key(F.col("source").cast("string")))
+    return keyed.join(last, own).where(_turn(F.col("doc_id")) <= F.col(bound)).select(
+        *(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _turn(doc_id: Column) -> Column:
+    """What orders the rows of a source; no id comes before all ids at the same spot."""
+    return F.struct(spot(doc_id).alias("spot"), F.coalesce(doc_id.cast("long"), F.lit(-2 ** 63)).alias("id"))
 
 
 #: The schedule in SQL, for the whole documents table and the default weights.

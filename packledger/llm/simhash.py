@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import written
+from .common import fresh, written
 from .components import components
 
 BITS = 64
@@ -92,10 +92,10 @@ def _bucket(fp: Column, bits: list[int]) -> Column:
     return F.struct(F.lit(_signed(_mask(bits))).alias("bits"), kept.alias("kept"))
 
 
-def _plan(bits_free: list[int], radius: int, spare: int) -> list[list[int]]:
+def _plan(bits_free: list[int], radius: int, spare: int) -> list[tuple[int, ...]]:
     """Sets of bits one of which agrees for any two values within the radius."""
     blocks = _split(bits_free, radius + spare)
-    return [sorted(int(b) for x in pick for b in x)
+    return [tuple(sorted(int(b) for x in pick for b in x))
             for pick in itertools.combinations(blocks, spare)]
 
 
@@ -109,25 +109,23 @@ def buckets(distinct: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame
     rows = distinct.select("fp", F.explode(F.array(*[_bucket(F.col("fp"), m) for m, _ in layer]))
                            .alias("k")).select("k.bits", "k.kept", "fp")
     done = []
-    while layer:
-        # free bits within the radius in one of radius + 1 blocks: that block agrees
-        finer = {m2: free2 for m, free in layer if len(free) > radius and (1 << len(free)) > bucket
-                 for m2, free2 in _finer(m, free, radius)}
-        if not finer:
-            done.append(rows)
+    while any((1 << len(free)) > bucket and len(free) > radius for _, free in layer):
+        hot = written(rows.groupBy("bits", "kept").count().where(F.col("count") > bucket).drop("count"), "simhash-hot")
+        if hot.isEmpty():
             break
-        hot = rows.groupBy("bits", "kept").count().where(F.col("count") > bucket).drop("count")
         done.append(rows.join(hot, ["bits", "kept"], "left_anti"))
-        big = rows.join(hot, ["bits", "kept"], "left_semi")
-        choices = F.lit(None).cast("array<struct<bits:bigint,kept:bigint>>")
-        for m, free in layer:
-            keys = [list(m2) for m2, _ in _finer(m, free, radius)]
-            choices = F.when(F.col("bits") == _signed(_mask(m)),
-                             F.array(*[_bucket(F.col("fp"), k) for k in keys])).otherwise(choices)
-        rows = big.select("fp", F.explode(choices).alias("k")).select("k.bits", "k.kept", "fp")
-        layer = [(list(m), free) for m, free in finer.items()]
-    out = done[0]
-    for d in done[1:]:
+        # free bits within the radius in one of radius + 1 blocks: that block agrees
+        finer = {m: list(_finer(m, free, radius)) for m, free in layer}
+        masks = F.create_map(*[x for m, more in finer.items() for x in (
+            F.lit(_signed(_mask(m))), F.array(*[F.lit(_signed(_mask(n))) for n, _ in more]))])
+        keys = F.transform(F.element_at(masks, F.col("bits")), lambda n: F.struct(
+            n.alias("bits"), F.col("fp").bitwiseAND(n).alias("kept")))
+        big = rows.join(hot, ["bits", "kept"], "left_semi").select("fp", F.explode(keys).alias("k"))
+        # two buckets may lead to one and the same finer bucket
+        rows = written(big.select("k.bits", "k.kept", "fp").distinct(), "simhash-finer")
+        layer = list({n: free for more in finer.values() for n, free in more}.items())
+    out = rows
+    for d in done:
         out = out.unionByName(d)
     return out
 
@@ -263,23 +261,27 @@ def links(distinct: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFra
 
 
 def groups(prints: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """(fp, component_id): the smallest doc_id that links reach, for each distinct fingerprint."""
+    """(fp, root, component_id) of each distinct fingerprint: its group's least fingerprint and doc_id."""
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     found = written(links(distinct.select("fp"), radius, bucket), "simhash-links")
     joined = components(found)  # (node, root), only for fingerprints with a link
     rooted = distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first_id", "root")
     least = rooted.where("root is not null").groupBy("root").agg(F.min("first_id").alias("least"))
-    alone = rooted.where("root is null").select("fp", F.col("first_id").alias("component_id"))
+    alone = rooted.where("root is null").select("fp", F.col("fp").alias("root"), F.col("first_id").alias("component_id"))
     return alone.unionByName(rooted.where("root is not null").join(least, "root").select(
-        "fp", F.col("least").alias("component_id")))
+        "fp", "root", F.col("least").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id) of every row of ``docs``."""
+    """(doc_id, text_hash, fp, root, component_id) of every row of ``docs``.
+
+    ``root`` tells groups apart; ``component_id`` is the least doc_id of the
+    group, which two groups share where an id stands for several texts.
+    """
     prints = written(fingerprints(docs, width), "simhash-prints")
     return prints.join(groups(prints, radius, bucket), "fp", "left").select(
-        "doc_id", "text_hash", "fp", "component_id")
+        "doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -296,11 +298,13 @@ def one_of_each(docs: DataFrame, width: int = 3, radius: int = 2, bucket: int =
     """
     found = near_duplicates(docs, width, radius, bucket)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    kept = found.groupBy("component_id").agg(first).select(
-        F.col("first.doc_id").alias("__id"), F.col("first.text_hash").alias("__hash"))
-    keyed = docs.withColumns({"__hash": F.xxhash64("text"), "__id": F.col("doc_id").cast("long")})
-    alike = Window.partitionBy("__id", "__hash").orderBy(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
-    single = keyed.withColumn("__r", F.row_number().over(alike)).where("__r = 1")
-    match = F.col("d.__id").eqNullSafe(F.col("k.__id")) & (F.col("d.__hash") == F.col("k.__hash"))
-    return single.alias("d").join(kept.alias("k"), match, "left_semi").select(
-        *(F.col(f"d.`{c}`") for c in docs.columns))
+    own_id, own_hash, place, kept_id, kept_hash = fresh(docs, "own_id", "own_hash", "place", "kept_id", "kept_hash")
+    kept = found.groupBy("root").agg(first).select(
+        F.col("first.doc_id").alias(kept_id), F.col("first.text_hash").alias(kept_hash))
+    keyed = docs.withColumns({own_id: F.col("doc_id").cast("long"), own_hash: F.xxhash64("text")})
+    ordered = [F.col(f"`{f.name}`") for f in docs.schema
+               if f.name != "text" and "map<" not in f.dataType.simpleString()]
+    alike = Window.partitionBy(own_id, own_hash).orderBy(*ordered)
+    single = keyed.withColumn(place, F.row_number().over(alike)).where(F.col(place) == 1)
+    match = F.col(own_id).eqNullSafe(F.col(kept_id)) & (F.col(own_hash) == F.col(kept_hash))
+    return single.join(kept, match, "left_semi").drop(own_id, own_hash, place)
