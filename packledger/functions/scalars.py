@@ -205,9 +205,9 @@ def strip(raw: Column) -> Column:
     return F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
 
 
-def capped(raw: Column, most: int = 120) -> Column:
-    """Trimmed and cut to a length; empty is null."""
-    return F.nullif(F.substring(strip(raw), 1, most), F.lit(""))
+def filled_text(raw: Column) -> Column:
+    """Trimmed; empty is null."""
+    return F.nullif(strip(raw), F.lit(""))
 
 
 def locale_currency(locale: Column) -> Column:

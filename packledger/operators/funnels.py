@@ -1,11 +1,11 @@
 """Referral and mail funnels."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed as X, scalars as S
 from ..functions.rules import matches
-from ..functions.skew import first_per_key
+from ..functions.skew import numbered
 
 SURFACES = {
     "model-page": ("product_page", ["product_page", "offers_table", "variant_row"]),
@@ -30,23 +30,27 @@ def by_placement(events: DataFrame) -> DataFrame:
     return events.groupBy("name", "placement").agg(F.count(F.lit(1)).alias("n"))
 
 
-def by_brand(events: DataFrame, most: int = 60) -> DataFrame:
-    return (events.where(F.col("brand").isNotNull()).groupBy("brand")
-            .agg(views().alias("views"), clicks().alias("clicks"))
-            .orderBy(F.desc("clicks"), F.desc("views"), "brand").limit(most))
+def _first(rows: DataFrame, order: list, k: int | None) -> DataFrame:
+    """All rows, or the first ``k`` in order."""
+    return rows if k is None else rows.orderBy(*order).limit(k)
 
 
-def by_seller(events: DataFrame, most: int = 25) -> DataFrame:
-    """Buys and brand clicks per seller, with each seller's share of the buys shown."""
+def by_brand(events: DataFrame, k: int | None = None) -> DataFrame:
+    rows = events.where(F.col("brand").isNotNull()).groupBy("brand").agg(
+        views().alias("views"), clicks().alias("clicks"))
+    return _first(rows, [F.desc("clicks"), F.desc("views"), F.col("brand")], k)
+
+
+def by_seller(events: DataFrame, k: int | None = None) -> DataFrame:
+    """Buys and brand clicks per seller, with each seller's share of all buys."""
     rows = (events.where(F.col("seller").isNotNull()
                          & F.col("name").isin("buy_click", "brand_click")).groupBy("seller")
             .agg(clicks().alias("buys"),
-                 F.count_if(F.col("name") == "brand_click").alias("brand_clicks"))
-            .orderBy(F.desc("buys"), F.desc("brand_clicks"), "seller").limit(most))
-    total = F.sum("buys").over(Window.partitionBy(F.lit(0)))   # the few rows shown
-    return rows.withColumn("__t", total).select(
-        "seller", "buys", "brand_clicks",
-        F.when(F.col("__t") > 0, F.col("buys") / F.col("__t")).alias("share"))
+                 F.count_if(F.col("name") == "brand_click").alias("brand_clicks")))
+    total = rows.agg(F.sum("buys")).scalar()
+    shares = rows.select("seller", "buys", "brand_clicks",
+                         F.when(total > 0, F.col("buys") / total).alias("share"))
+    return _first(shares, [F.desc("buys"), F.desc("brand_clicks"), F.col("seller")], k)
 
 
 def daily_series(events: DataFrame, now, days: int) -> DataFrame:
@@ -61,16 +65,16 @@ def daily_series(events: DataFrame, now, days: int) -> DataFrame:
         "day", F.coalesce("__v", zero).alias("views"), F.coalesce("__c", zero).alias("clicks"))
 
 
-def by_bag(events: DataFrame, most: int = 400) -> DataFrame:
-    return (events.where(F.col("bag_id").isNotNull()).groupBy("bag_id", "brand", "model")
-            .agg(views().alias("views"), clicks().alias("clicks"))
-            .orderBy(F.desc("clicks"), F.desc("views"), "bag_id", "brand", "model").limit(most))
+def by_bag(events: DataFrame, k: int | None = None) -> DataFrame:
+    rows = events.where(F.col("bag_id").isNotNull()).groupBy("bag_id", "brand", "model").agg(
+        views().alias("views"), clicks().alias("clicks"))
+    return _first(rows, [F.desc("clicks"), F.desc("views"), F.col("bag_id"), F.col("brand"), F.col("model")], k)
 
 
-def brand_clicks(events: DataFrame, most: int = 25) -> DataFrame:
-    return (events.where((F.col("name") == "brand_click") & F.col("brand").isNotNull())
-            .groupBy("brand").agg(F.count(F.lit(1)).alias("n"))
-            .orderBy(F.desc("n"), "brand").limit(most))
+def brand_clicks(events: DataFrame, k: int | None = None) -> DataFrame:
+    rows = (events.where((F.col("name") == "brand_click") & F.col("brand").isNotNull())
+            .groupBy("brand").agg(F.count(F.lit(1)).alias("n")))
+    return _first(rows, [F.desc("n"), F.col("brand")], k)
 
 
 def surface_rates(placements: DataFrame) -> DataFrame:
@@ -86,21 +90,18 @@ def surface_rates(placements: DataFrame) -> DataFrame:
         "s.*", F.when(F.col("s.views") > 0, F.col("s.clicks") / F.col("s.views")).alias("rate"))
 
 
-def best_worst(bags: DataFrame, min_views: int = 20, shown: int = 10,
-               least: int = 20) -> DataFrame:
-    """Best and worst click rates; the worst are listed only over ``least`` rated bags."""
+def best_worst(bags: DataFrame, min_views: int = 20, k: int | None = None) -> DataFrame:
+    """Click rate of every rated bag with its rank from the best and from the worst.
+
+    With ``k``, only the first k of either end.
+    """
     rated = bags.where(F.col("views") >= min_views).withColumn(
         "rate", F.col("clicks") / F.col("views"))
-    best = rated.orderBy(F.desc("rate"), "bag_id", "brand", "model").limit(shown).withColumn(
-        "list", F.lit("best"))
-    # the lowest ``least`` rows also tell whether there are that many
-    order = [F.col("rate"), F.desc("bag_id"), F.desc("brand"), F.desc("model")]
-    low = rated.orderBy(*order).limit(least)
-    one = Window.partitionBy(F.lit(0))
-    worst = (low.withColumn("__n", F.count(F.lit(1)).over(one))
-             .withColumn("__at", F.row_number().over(one.orderBy(*order)))
-             .where((F.col("__n") >= least) & (F.col("__at") <= shown)).drop("__n", "__at"))
-    return best.unionByName(worst.withColumn("list", F.lit("worst")))
+    order = [F.desc("rate"), F.col("bag_id"), F.col("brand"), F.col("model")]
+    out = numbered(rated, [], order, F.floor((1 - F.col("rate")) * 4096), "best_rank")
+    rated_bags = rated.agg(F.count(F.lit(1))).scalar()
+    out = out.withColumn("worst_rank", rated_bags - F.col("best_rank") + 1)
+    return out if k is None else out.where((F.col("best_rank") <= k) | (F.col("worst_rank") <= k))
 
 
 def funnel(pageviews: DataFrame, surfaces: DataFrame) -> DataFrame:
@@ -194,23 +195,23 @@ def silence(rates: DataFrame) -> DataFrame:
         ((F.col("sent") > 0) & (F.col("d") + F.col("b") + F.col("c") == 0)).alias("no_webhook"))
 
 
-def recent_problems(events: DataFrame, n: int = 25) -> DataFrame:
-    """Latest bounces, complaints and delays, with the fields of their JSON payload."""
+def recent_problems(events: DataFrame, k: int | None = None) -> DataFrame:
+    """Bounces, complaints and delays with the fields of their JSON payload; with ``k``, the latest."""
     bad = events.where(F.col("type").isin(
         "email.bounced", "email.complained", "email.delivery_delayed"))
     get = lambda p: F.get_json_object("payload", p)
-    return (bad.orderBy(F.desc("received_at"), F.desc("svix_id")).limit(n).select(
+    return _first(bad, [F.desc("received_at"), F.desc("svix_id")], k).select(
         "svix_id", "type", "received_at", get("$.subject").alias("subject"),
         get("$.bounce.type").alias("bounce_type"),
-        get("$.bounce.subType").alias("bounce_subtype")))
+        get("$.bounce.subType").alias("bounce_subtype"))
 
 
 def clean_clicks(raw: DataFrame) -> DataFrame:
-    """Allow-listed names and placements, capped texts, plausible prices, no robots."""
-    text = lambda c, n=120: S.capped(F.col(c), n)
+    """Allow-listed names and placements, trimmed texts, plausible prices, no robots."""
+    text = lambda c: S.filled_text(F.col(c))
     price = F.col("price").try_cast("double")
     df = raw.withColumns({
-        "name": text("name", 32), "placement": text("placement", 32), "brand": text("brand"),
+        "name": text("name"), "placement": text("placement"), "brand": text("brand"),
         "bag_id": text("bag_id"), "seller": text("seller"), "model": text("model"),
         "price": F.when((price >= 0) & (price < 100000), price).cast("decimal(10,2)")})
     return df.where(~matches(F.col("user_agent"), X.BOT_AGENT)

@@ -268,7 +268,7 @@ VC = """count(*) FILTER (WHERE name = 'product_view') AS views, count(*) FILTER
 
 
 @query("i02_by_brand", "raw_click", f"""
-WITH {RECENT} SELECT brand, {VC} FROM ev WHERE brand IS NOT NULL GROUP BY brand ORDER BY clicks DESC, views DESC, brand LIMIT 60""")
+WITH {RECENT} SELECT brand, {VC} FROM ev WHERE brand IS NOT NULL GROUP BY brand""")
 def i02(spark, d):
     return I.by_brand(_recent(spark, d))
 
@@ -276,7 +276,7 @@ def i02(spark, d):
 @query("i03_by_seller", "raw_click", f"""
 WITH {RECENT}, s AS (SELECT seller, count(*) FILTER (WHERE name = 'buy_click') AS buys,
   count(*) FILTER (WHERE name = 'brand_click') AS brand_clicks FROM ev WHERE name IN ('buy_click', 'brand_click')
-  GROUP BY seller ORDER BY buys DESC, brand_clicks DESC, seller LIMIT 25)
+  GROUP BY seller)
 SELECT *, buys / (SELECT sum(buys) FROM s) AS share FROM s""")
 def i03(spark, d):
     return I.by_seller(_recent(spark, d))
@@ -291,14 +291,13 @@ def i04(spark, d):
 
 
 @query("i05_by_bag", "raw_click", f"""
-WITH {RECENT} SELECT bag_id, brand, model, {VC} FROM ev WHERE bag_id IS NOT NULL GROUP BY 1, 2, 3
-ORDER BY clicks DESC, views DESC, bag_id, brand, model LIMIT 400""")
+WITH {RECENT} SELECT bag_id, brand, model, {VC} FROM ev WHERE bag_id IS NOT NULL GROUP BY 1, 2, 3""")
 def i05(spark, d):
     return I.by_bag(_recent(spark, d))
 
 
 @query("i06_brand_clicks", "raw_click", f"""
-WITH {RECENT} SELECT brand, count(*) AS n FROM ev WHERE name = 'brand_click' GROUP BY brand ORDER BY n DESC, brand LIMIT 25""")
+WITH {RECENT} SELECT brand, count(*) AS n FROM ev WHERE name = 'brand_click' GROUP BY brand""")
 def i06(spark, d):
     return I.brand_clicks(_recent(spark, d))
 
@@ -318,15 +317,11 @@ def i07(spark, d):
 
 @query("i08_best_worst", "raw_click", f"""
 WITH {RECENT}, g AS (SELECT bag_id, brand, model, {VC} FROM ev WHERE bag_id IS NOT NULL GROUP BY 1, 2, 3),
-r AS (SELECT *, clicks / views AS rate FROM g WHERE views >= 3),
-b AS (SELECT * FROM r ORDER BY rate DESC, bag_id, brand, model LIMIT 10),
-w AS (SELECT * FROM r WHERE (SELECT count(*) FROM r) >= 20 ORDER BY rate, bag_id DESC, brand DESC, model DESC LIMIT 10)
-SELECT 'best' AS list, bag_id, brand, views, clicks, rate FROM b UNION ALL
-SELECT 'worst', bag_id, brand, views, clicks, rate FROM w""")
+r AS (SELECT *, clicks / views AS rate FROM g WHERE views >= 3)
+SELECT bag_id, brand, model, views, clicks, rate, row_number() OVER (ORDER BY rate DESC, bag_id, brand, model) AS best_rank,
+  row_number() OVER (ORDER BY rate, bag_id DESC, brand DESC, model DESC) AS worst_rank FROM r""")
 def i08(spark, d):
-    ev = _recent(spark, d)
-    per = I.by_bag(ev, most=2 ** 31 - 1)
-    return I.best_worst(per, min_views=3).select("list", "bag_id", "brand", "views", "clicks", "rate")
+    return I.best_worst(I.by_bag(_recent(spark, d)), min_views=3)
 
 
 @query("i09_funnel", ("raw_click", "pageview"), f"""
@@ -404,7 +399,6 @@ def i14b(spark, d):
 
 @query("i15_recent_problems", "mail_event", f"""
 WITH {FIRST_MAIL} SELECT svix_id, type, received_at, payload->>'$.subject' AS subject, payload->>'$.bounce.type' AS bounce_type,
-  payload->>'$.bounce.subType' AS bounce_subtype FROM first_ WHERE type IN ('email.bounced', 'email.complained', 'email.delivery_delayed')
-ORDER BY received_at DESC, svix_id DESC LIMIT 25""")
+  payload->>'$.bounce.subType' AS bounce_subtype FROM first_ WHERE type IN ('email.bounced', 'email.complained', 'email.delivery_delayed')""")
 def i15(spark, d):
     return I.recent_problems(A.ingest_mail_events(B.mail_events(spark, d)))
