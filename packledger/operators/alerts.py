@@ -162,16 +162,16 @@ def derive_suppressions(raw: DataFrame, existing: DataFrame | None = None) -> Da
 # --- subscriptions ----------------------------------------------------------
 
 def valid_criteria(raw: DataFrame) -> DataFrame:
-    """Allow-listed, bounded criteria; ``error`` names what is wrong with the rest."""
-    most = lambda c, n: F.when(F.length(c) <= n, F.col(c))
+    """Allow-listed criteria; ``error`` names what is wrong: mailbox, no criteria, or one over its length."""
+    longer = lambda c, n: F.coalesce(F.length(c) > n, F.lit(False))
     price = F.col("max_price").try_cast("double")
     df = raw.withColumns({
-        "email": S.strip(F.col("email")), "watch_bag": most("watch_bag", 200),
-        "watch_brand": most("watch_brand", 80),
+        "email": S.strip(F.col("email")),
         "max_price": F.when((price > 0) & (price < 100000), F.floor(price + 0.5).cast("double"))})
     none = lambda c: F.coalesce(c, F.lit("")) == ""
     return df.withColumn("error", F.when(~S.valid_email(F.col("email")), "email")
-                         .when(none("watch_bag") & none("watch_brand"), "criteria"))
+                         .when(none("watch_bag") & none("watch_brand"), "criteria")
+                         .when(longer("watch_bag", 200) | longer("watch_brand", 80), "too-long"))
 
 
 def confirm_due(now, minutes: int = 15) -> Column:

@@ -69,7 +69,6 @@ def score_probes(probes: DataFrame, brands: DataFrame) -> DataFrame:
     title = F.regexp_extract(F.col("html"), r"(?is)<title[^>]*>(.*?)</title>", 1)
     site = F.regexp_extract(
         "html", r"(?i)<meta[^>]+property=[\"']og:site_name[\"'][^>]+content=[\"']([^\"']+)", 1)
-    head = F.substring("html", 1, 6000)
     away = S.registrable(host) != S.registrable(F.col("domain"))
     evidence = (F.when((title != "") & inside(key(title)), "title")
                 .when((site != "") & inside(key(site)), "site-name")
@@ -79,8 +78,8 @@ def score_probes(probes: DataFrame, brands: DataFrame) -> DataFrame:
     df = df.withColumn("evidence", evidence)
     outcome = (F.when(F.col("status") == 429, "rate-limited")
                .when((F.col("status") != 200) | (F.coalesce("html", F.lit("")) == ""), "no-answer")
-               .when(matches(head, X.PARKED) | away, "parked")
-               .when(matches(head, X.NOT_LIVE), "not-live")
+               .when(matches(F.col("html"), X.PARKED) | away, "parked")
+               .when(matches(F.col("html"), X.NOT_LIVE), "not-live")
                .when(F.col("evidence").isNull(), "no-name")
                .when(F.coalesce(F.size("vendors"), F.lit(-1)) <= 0, "probable")
                .when(vendor, "verified").otherwise("other-vendor"))
@@ -127,7 +126,7 @@ def programme_verdicts(homes: DataFrame, programme_pages: DataFrame, bags: DataF
                         C.platform_of(F.col("html")).alias("platform"),
                         ((F.col("status") == 200) & (F.coalesce("html", F.lit("")) != ""))
                         .alias("live"))
-    text = F.substring(F.regexp_replace("html", "<[^>]+>", " "), 1, 20000)
+    text = F.regexp_replace("html", "<[^>]+>", " ")
     pages = programme_pages.where(matches(text, X.PROGRAMME_TEXT)).select(
         "brand_slug", "url", "ord", first(F.col("html"), X.IN_HOUSE_MARKERS).alias("pv"),
         first(F.col("html"), X.NETWORK_MARKERS).alias("pn"))
@@ -177,15 +176,14 @@ def marker_tally(verdicts: DataFrame) -> DataFrame:
 
 # --- requests ---------------------------------------------------------------
 
-def request_queue(requests: DataFrame, most: int | None = 300) -> DataFrame:
+def request_queue(requests: DataFrame, k: int | None = None) -> DataFrame:
     """Requested brands by folded name: how often, spelled how, first and last."""
     per = requests.groupBy(F.lower(F.trim("name")).alias("folded")).agg(
         F.min("name").alias("name"), F.count(F.lit(1)).alias("requests"),
         F.countDistinct("name").alias("spellings"), F.countDistinct("url").alias("urls"),
         F.countDistinct("email").alias("emails"), F.min("created_at").alias("first_at"),
         F.max("created_at").alias("last_at"))
-    out = per.orderBy(F.desc("requests"), F.desc("last_at"), "folded")
-    return out if most is None else out.limit(most)
+    return per if k is None else per.orderBy(F.desc("requests"), F.desc("last_at"), "folded").limit(k)
 
 
 def split_held(queue: DataFrame, brands: DataFrame):

@@ -21,7 +21,7 @@ RANGES = {"volMin": ("volume_l", ">="), "volMax": ("volume_l", "<="),
           "priceMin": ("price_cmp", ">="), "priceMax": ("price_cmp", "<="),
           "weightMin": ("weight_g", ">="), "weightMax": ("weight_g", "<="),
           "linearMax": ("linear_cm", "<="), "laptopMin": (None, None)}
-PER_DEFAULT, PER_MAX, MAX_FAVS = 60, 100, 60
+PER_DEFAULT = 60
 
 
 @dataclass(frozen=True)
@@ -71,7 +71,7 @@ def parse_filter(query: str) -> Filter:
     f = Filter(terms=tuple(p.get("q", "").lower().split()), carryon="carryon" in presets,
                underseat="underseat" in presets, stock=p.get("stock") == "1",
                sale=p.get("sale") == "1", favonly=p.get("favonly") == "1",
-               fav=items("fav")[:MAX_FAVS], sort=p.get("sort") or "brand",
+               fav=items("fav"), sort=p.get("sort") or "brand",
                **{k: items(k) for k in LISTS})
     for k in RANGES:
         try:
@@ -81,8 +81,8 @@ def parse_filter(query: str) -> Filter:
         if n is not None and n == n and abs(n) != float("inf"):
             f = replace(f, **{k: n})
     per = p.get("per", str(PER_DEFAULT))
-    if not per.isdigit() or not 1 <= int(per) <= PER_MAX:
-        raise ValueError(f"per must be a whole number from 1 to {PER_MAX}")
+    if not per.isdigit() or int(per) < 1:
+        raise ValueError("per must be a whole number from 1 on")
     page = p.get("page", "0")
     f = replace(f, per=int(per), page=int(page) if page.isdigit() else 0)
     raw = p.get("scope")

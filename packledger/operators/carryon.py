@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed as X, scalars as S
 from ..functions.rules import let
-from ..functions.skew import top_k
+from ..functions.skew import numbered, top_k
 from .models import indexable
 
 MAX_CARRIERS = 2000
@@ -130,11 +130,14 @@ def just_misses(bags: DataFrame, airlines: DataFrame) -> DataFrame:
         "airline", F.desc("fit_count"), F.desc(F.coalesce("volume_l", F.lit(0.0))), "id")
 
 
-def largest_fits(bags: DataFrame, airlines: DataFrame, k: int = 100) -> DataFrame:
-    """The ``k`` largest bags of known volume that fit each carrier."""
+def largest_fits(bags: DataFrame, airlines: DataFrame, k: int | None = None) -> DataFrame:
+    """Bags of known volume that fit each carrier, with their place from the largest; with ``k``, the first k."""
     out = carriers_fitting(measured(bags).where(F.col("volume_l").isNotNull()), airlines)
     rows = out.select(F.explode("airlines").alias("airline"), "id", "volume_l", "category")
-    return top_k(rows, ["airline"], [F.desc("volume_l"), F.col("id")], k)
+    order = [F.desc("volume_l"), F.col("id")]
+    if k is not None:
+        return top_k(rows, ["airline"], order, k)
+    return numbered(rows, ["airline"], order, -F.floor("volume_l"), "rn")
 
 
 def category_mix(bags: DataFrame, airlines: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Category, colour and currency decisions, rulings, and shelf evidence."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed as X, scalars as S
 from ..functions.rules import all_matches, first_match, let, lookup, matches, rx
@@ -219,16 +219,13 @@ def stated_codes(product_json: Column) -> Column:
                        lambda c: F.upper(c))
 
 
-def observe_currency(products: DataFrame, pages: DataFrame, roster: DataFrame,
-                     sample: int = 25) -> DataFrame:
+def observe_currency(products: DataFrame, pages: DataFrame, roster: DataFrame) -> DataFrame:
     """What each brand prices in, and how that is known.
 
     products(slug, ord, product json), pages(slug, currency), roster(slug, locale,
     country, currency).  Feed > locale > country > product page > roster > assumed.
     """
-    codes = (top_k(products, ["slug"], [F.col("ord")], sample)
-             .select("slug", "ord", F.posexplode(stated_codes(F.col("product")))
-                     .alias("at", "code")))
+    codes = products.select("slug", "ord", F.posexplode(stated_codes(F.col("product"))).alias("at", "code"))
     feed = _most_common(codes.select("slug", "code", F.struct("ord", "at").alias("first")), "feed")
     page = _most_common(
         pages.where(F.col("currency").rlike("^[A-Za-z]{3}$"))
@@ -298,7 +295,7 @@ def shelf_hints(shelves: DataFrame, product_pattern: str) -> DataFrame:
     keep = ~(matches(slug, X.SHELF_NOISE) | matches(name, X.SPARE_PART)
              | matches(name, X.NOT_CARRY_SHELF))
     marked = F.regexp_extract_all("html", F.lit(
-        r'(?s)itemtype="[^"]*schema\.org/Product"[^>]*>.{0,3000}?href="([^"#?]+)"'), F.lit(1))
+        r'(?s)itemtype="[^"]*schema\.org/Product"[^>]*>(?:(?!itemtype=).)*?href="([^"#?]+)"'), F.lit(1))
     loose = F.filter(F.regexp_extract_all("html", F.lit(r'href="([^"#?]+)"'), F.lit(1)),
                      lambda h: matches(h, product_pattern))
     rank = F.struct(F.col("category").isNull().alias("a"),
@@ -320,28 +317,31 @@ def shelf_hints(shelves: DataFrame, product_pattern: str) -> DataFrame:
         "product", F.col("c.category").alias("category"), "url")
 
 
-def scope_frontier(candidates: DataFrame, hints: DataFrame, least: float = 0.05) -> DataFrame:
-    """Candidates on carry shelves; all of them when the shelves reach under 5 %."""
+def scope_frontier(candidates: DataFrame, hints: DataFrame) -> DataFrame:
+    """All candidates, marked where a carry shelf holds them, with the share that shelves reach."""
     tail = F.try_element_at(F.split(F.regexp_replace("url", r"/+$", ""), "/"), F.lit(-1))
     held = hints.select(F.col("product").alias("__p")).distinct().withColumn("__on", F.lit(True))
     marked = candidates.withColumn("__t", tail).join(
         held, F.col("__t") == F.col("__p"), "left").withColumn(
         "on_shelf", F.coalesce("__on", F.lit(False))).drop("__t", "__p", "__on")
-    share = marked.agg(F.count_if("on_shelf") / F.count(F.lit(1))).first()[0]
-    return marked if share is None or share < least else marked.where("on_shelf")
+    share = marked.agg(F.count_if("on_shelf") / F.count(F.lit(1))).scalar()
+    return marked.withColumn("shelf_share", share)
 
 
 def carry_categories(tree: DataFrame) -> DataFrame:
     """Flatten a nested category tree (uid, name, product_count, children json) and select carry.
 
-    ``children`` is a JSON array at every level, at most four levels below the roots.
+    ``children`` is a JSON array at every level; levels are opened until none has children.
     """
     schema = "array<struct<uid:string,name:string,product_count:bigint,children:string>>"
     level = tree.select("uid", "name", "product_count", "children", F.lit(0).alias("depth"))
-    flat = level
-    for depth in range(1, 5):
+    flat, depth = level, 0
+    while True:
+        depth += 1
         level = (level.select(F.explode(F.from_json("children", schema)).alias("c"))
                  .select("c.*", F.lit(depth).alias("depth")))
+        if level.isEmpty():
+            break
         flat = flat.unionByName(level)
     return (flat.where(F.coalesce("product_count", F.lit(0)) > 0)
             .where(F.col("uid").isNotNull())
@@ -366,7 +366,7 @@ def markers_in(page: Column, rules) -> Column:
 
 
 def programme_links(pages: DataFrame) -> DataFrame:
-    """Same-host programme links of stored pages (url, html): two strong, one weak."""
+    """Same-host programme links of stored pages (url, html), with their place by strength."""
     href = F.regexp_extract_all("html", F.lit(
         r"(?is)<a\b[^>]*?href=[\"']([^\"'#]+)[\"'][^>]*>(.*?)</a>"), F.lit(1))
     inner = F.regexp_extract_all("html", F.lit(
@@ -388,12 +388,11 @@ def programme_links(pages: DataFrame) -> DataFrame:
             .where(F.col("strength").isNotNull())
             .where(F.lower(F.try_parse_url("target", F.lit("HOST"))) == F.col("host"))
             .groupBy("url", "strength", "target").agg(F.min("at").alias("at")))
-    ranked = top_k(hits, ["url", "strength"], [F.col("at")], 2)
-    return ranked.where((F.col("strength") == 1) | (F.col("rn") == 1)).select(
-        "url", "strength", "target", "at")
+    place = Window.partitionBy("url", "strength").orderBy("at")   # the links of one page
+    return hits.withColumn("rn", F.row_number().over(place)).select("url", "strength", "target", "at", "rn")
 
 
-def unknown_hosts(pages: DataFrame, most: int = 30) -> DataFrame:
+def unknown_hosts(pages: DataFrame, k: int | None = None) -> DataFrame:
     """Census of third-party script hosts that no rule knows."""
     known = "|".join(p for _, p in X.IN_HOUSE_MARKERS + X.NETWORK_MARKERS)
     src = F.regexp_extract_all("html", F.lit(r"(?i)<script\b[^>]*?src=[\"']([^\"']+)[\"']"),
@@ -405,5 +404,5 @@ def unknown_hosts(pages: DataFrame, most: int = 30) -> DataFrame:
              .withColumn("host", F.lower(F.try_parse_url(full, F.lit("HOST"))))
              .where(F.col("host").isNotNull() & ~F.contains("host", F.col("own")))
              .where(~matches(F.col("host"), X.BORING_HOST) & ~matches(F.col("host"), known)))
-    return (hosts.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-            .orderBy(F.desc("n"), "host").limit(most))
+    census = hosts.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    return census if k is None else census.orderBy(F.desc("n"), "host").limit(k)

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed as X, scalars as S
 from ..functions.rules import literal_map
-from ..functions.skew import exact_median, top_k
+from ..functions.skew import exact_median, numbered, top_k
 from .models import indexable
 
 
@@ -49,13 +49,14 @@ def volume_band() -> Column:
 
 
 def volume_facets(bags: DataFrame, least: int = X.MIN_FACET) -> DataFrame:
+    """Bags per category and volume band; ``listed`` where there are enough for a page."""
     return (bags.where(F.col("volume_l").isNotNull()).withColumn("band", volume_band())
             .where(F.col("band").isNotNull()).groupBy("category", "band")
-            .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least))
+            .agg(F.count(F.lit(1)).alias("n")).withColumn("listed", F.col("n") >= least))
 
 
 def laptop_facets(bags: DataFrame, least: int = X.MIN_FACET, share: float = 0.75) -> DataFrame:
-    """Nested laptop sizes; a size stays only if it is clearly smaller than the last kept."""
+    """Nested laptop sizes; ``listed`` where large enough and clearly smaller than the last listed."""
     sizes = X.LAPTOP_HUB_SIZES
     per = bags.groupBy("category").agg(
         *[F.count_if(F.col("laptop_in") >= s).alias(f"n{s}") for s in sizes])
@@ -63,10 +64,10 @@ def laptop_facets(bags: DataFrame, least: int = X.MIN_FACET, share: float = 0.75
     for s in sizes:
         n = F.col(f"n{s}")
         ok = (n >= least) & (kept.isNull() | (n <= kept * F.lit(share)))
-        cols.append(F.when(ok, F.struct(F.lit(s).alias("inches"), n.alias("n"))))
+        cols.append(F.struct(F.lit(s).alias("inches"), n.alias("n"), ok.alias("listed")))
         kept = F.when(ok, n).otherwise(kept)
-    return per.select("category", F.explode(F.array_compact(F.array(*cols))).alias("f")).select(
-        "category", "f.inches", "f.n")
+    return per.select("category", F.explode(F.array(*cols)).alias("f")).select(
+        "category", "f.inches", "f.n", "f.listed")
 
 
 def hubs(bags: DataFrame) -> DataFrame:
@@ -79,20 +80,27 @@ def hubs(bags: DataFrame) -> DataFrame:
             .orderBy(F.desc("listed"), "category"))
 
 
-def lightest(bags: DataFrame, k: int = 25) -> DataFrame:
+def _ranked(rows: DataFrame, keys: list[str], value: str, width: float, k: int | None) -> DataFrame:
+    """Place ``rn`` of every row by a figure; with ``k``, the first k."""
+    order = [F.col(value), F.col("ord")]
+    if k is not None:
+        return top_k(rows, keys, order, k)
+    return numbered(rows, keys, order, F.floor(F.col(value) / width), "rn")
+
+
+def lightest(bags: DataFrame, k: int | None = None) -> DataFrame:
     rows = bags.where(indexable() & rankable()).withColumn("gpl", gpl())
-    return top_k(rows, ["category"], [F.col("gpl"), F.col("ord")], k)
+    return _ranked(rows, ["category"], "gpl", 0.25, k)
 
 
-def cheapest(bags: DataFrame, k: int = 25) -> DataFrame:
+def cheapest(bags: DataFrame, k: int | None = None) -> DataFrame:
     """Cheapest per litre, dollars only."""
     rows = bags.where(indexable() & rankable() & (F.col("currency") == "USD")).withColumn(
         "ppl", S.price_per_litre(F.col("price_min"), F.col("volume_l")))
-    return top_k(rows.where(F.col("ppl").isNotNull()), ["category"],
-                 [F.col("ppl"), F.col("ord")], k)
+    return _ranked(rows.where(F.col("ppl").isNotNull()), ["category"], "ppl", 0.25, k)
 
 
-def leaderboards(bags: DataFrame, k: int = 25) -> DataFrame:
+def leaderboards(bags: DataFrame, k: int | None = None) -> DataFrame:
     a = lightest(bags, k).select("category", F.lit("lightest").alias("board"), "rn", "id",
                                  F.col("gpl").alias("value"))
     b = cheapest(bags, k).select("category", F.lit("cheapest").alias("board"), "rn", "id",
@@ -106,14 +114,23 @@ def makers(bags: DataFrame) -> DataFrame:
             .orderBy("category", F.desc("n"), "brand"))
 
 
-def facet_rows(bags: DataFrame, shown: int = 250) -> DataFrame:
-    """Bags of each volume facet in density order, cut at ``shown``, with the count withheld."""
+def facet_rows(bags: DataFrame, k: int | None = None) -> DataFrame:
+    """Bags of each volume facet with their place in density order and the facet's members.
+
+    With ``k``, the first k of a facet, and how many that leaves out.
+    """
     rows = bags.where(indexable() & F.col("volume_l").isNotNull()).withColumn(
         "band", volume_band()).where(F.col("band").isNotNull())
     sizes = volume_facets(bags.where(indexable())).withColumnRenamed("n", "members")
-    top = top_k(rows, ["category", "band"], by_density(), shown)
-    return top.join(sizes, ["category", "band"]).withColumn(
-        "withheld", F.greatest(F.col("members") - shown, F.lit(0)))
+    keys = ["category", "band"]
+    if k is None:
+        bucket = F.struct(F.coalesce(F.when(rankable(), F.floor(gpl() * 4)), F.lit(2 ** 60)),
+                          F.coalesce(F.when(~rankable(), F.lower("brand")), F.lit("")))
+        top = numbered(rows, keys, by_density(), bucket, "rn")
+    else:
+        top = top_k(rows, keys, by_density(), k)
+    left_out = F.lit(0).cast("bigint") if k is None else F.greatest(F.col("members") - k, F.lit(0))
+    return top.join(sizes, keys).withColumn("withheld", left_out)
 
 
 def brand_shelves(bags: DataFrame) -> DataFrame:
@@ -123,7 +140,7 @@ def brand_shelves(bags: DataFrame) -> DataFrame:
         F.max("price_min").alias("price_high"), F.min_by("currency", "ord").alias("currency"))
 
 
-def related(bags: DataFrame, k: int = 8) -> DataFrame:
+def related(bags: DataFrame, k: int) -> DataFrame:
     """Other bags of the same brand and category, then of the category, in catalogue order.
 
     Only the first ``k + 1`` bags of a brand shelf and the first ``2k`` of a
@@ -149,7 +166,6 @@ def related(bags: DataFrame, k: int = 8) -> DataFrame:
 
 def siblings(bags: DataFrame) -> DataFrame:
     """Sizes of one split model, smallest first, with their place in the line."""
-    from ..functions.skew import numbered
     kids = bags.where(F.col("split_from").isNotNull()).select(
         "split_from", "id", "volume_l", "ord")
     size = F.coalesce("volume_l", F.lit(0.0))
@@ -173,17 +189,14 @@ def lastmod(bags: DataFrame, changes: DataFrame) -> DataFrame:
     roll = lambda rows, kind, key: rows.groupBy(key.alias("key")).agg(
         F.max("stamp").alias("stamp")).select(F.lit(kind).alias("kind"), "key", "stamp")
     listed = df.where(indexable())
-    facet = F.concat_ws("/", "category", "band")
-    facets = volume_facets(bags.where(indexable())).select(F.concat_ws(
-        "/", "category", "band").alias("__f"))
-    in_facet = listed.where(F.col("band").isNotNull()).withColumn("__k", facet).join(
-        facets, F.col("__k") == F.col("__f"), "left_semi")
+    in_facet = listed.where(F.col("band").isNotNull()).withColumn(
+        "__k", F.concat_ws("/", "category", "band"))
     return (bag.unionByName(roll(df, "brand", F.col("brand_slug")))
             .unionByName(roll(listed, "hub", F.col("category")))
             .unionByName(roll(in_facet, "facet", F.col("__k"))))
 
 
-def hub_samples(bags: DataFrame, k: int = 12) -> DataFrame:
+def hub_samples(bags: DataFrame, k: int) -> DataFrame:
     """The first bags of each hub by label."""
     order = S.label_order(F.col("brand")) + S.label_order(F.col("name")) + [F.col("ord")]
     return top_k(bags.where(indexable()), ["category"], order, k)

@@ -85,7 +85,7 @@ def _rejects(df: DataFrame, title: Column, shelf: Column, tags: Column,
     out = _missing(df, ruling_ruled="boolean").where(F.col("outcome.reason").isNotNull())
     return out.select(
         "brand_slug", F.col("outcome.reason").alias("reason"), title.alias("title"),
-        F.nullif(shelf, F.lit("")).alias("product_type"), F.slice(tags, 1, 6).alias("tags"),
+        F.nullif(shelf, F.lit("")).alias("product_type"), tags.alias("tags"),
         url.alias("url"),
         (F.coalesce("ruling_ruled", F.lit(False)) & F.col("ruling").isNull()).alias("reviewed"))
 
@@ -672,13 +672,13 @@ def normalize_pages(raw: DataFrame) -> Normalised:
         "volume_source": where("__vol"), "dims_cm": F.col("__dims.value"),
         "dims_source": where("__dims"), "weight_g": F.col("__wt.value"),
         "weight_source": where("__wt"),
-        "laptop_in": X2.laptop(F.concat_ws("\n", blob, F.substring("text", 1, 4000))),
+        "laptop_in": X2.laptop(F.concat_ws("\n", blob, "text")),
         "price_min": F.round(F.array_min(prices), 2),
         "price_max": F.round(F.array_max(prices), 2), "on_sale": cut,
         "in_stock": F.col("__available") | F.exists("variants", lambda v: v["available"]),
         "colors": filled(F.transform("variants", lambda v: v["color"])), "sizes": no_tags(),
         "materials": F.array_sort(X2.materials(blob)),
-        "features": X2.features(F.concat_ws("\n", blob, F.substring("text", 1, 8000))),
+        "features": X2.features(F.concat_ws("\n", blob, "text")),
         "tags": no_tags(), "source": F.lit("pages:crawl")})
     return _finish(df, F.col("__title"), F.array_join("__crumbs", " > "), no_tags(),
                    F.col("url"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars as S
-from ..functions.skew import top_k, value_at_rank
+from ..functions.skew import numbered, top_k, value_at_rank
 
 OBSERVED = ["price", "compare_at", "available"]
 
@@ -220,10 +220,13 @@ def price_series(rows: DataFrame, bag: str = "bag_id") -> DataFrame:
             .agg(F.min("price").alias("price")))
 
 
-def price_changes(rows: DataFrame, bag: str = "bag_id", most: int = 20) -> DataFrame:
-    """Newest moves first, at most ``most`` per bag."""
+def price_changes(rows: DataFrame, bag: str = "bag_id", k: int | None = None) -> DataFrame:
+    """Every move with its place ``rn`` from the newest of its bag; with ``k``, the newest k."""
     moved = rows.where(F.col("direction").isNotNull()).withColumn("__bag", F.col(bag))
-    return top_k(moved, ["__bag"], [F.desc("ts"), F.asc("ord")], most).drop("__bag")
+    order = [F.desc("ts"), F.asc("ord")]
+    if k is not None:
+        return top_k(moved, ["__bag"], order, k).drop("__bag")
+    return numbered(moved, ["__bag"], order, -F.unix_date(F.to_date("ts")), "rn").drop("__bag")
 
 
 def price_spans(series: DataFrame) -> DataFrame:
@@ -264,13 +267,13 @@ def deepest_cut(variants: DataFrame) -> DataFrame:
         F.struct("off", -F.col("pos"))).alias("c")).select("bag_id", "c.*")
 
 
-def sale_strip(bags: DataFrame, limit: int = 12, least: float = 0.05) -> DataFrame:
-    """Models whose price fell lately by 5 % or more, deepest first."""
+def sale_strip(bags: DataFrame, k: int | None = None, least: float = 0.05) -> DataFrame:
+    """Models whose price fell lately by 5 % or more; with ``k``, the deepest k."""
     off = F.lit(1.0) - F.col("price_min") / F.col("previous_price")
     fell = ((F.col("price_direction") == "down") & (F.col("price_min") > 0)
             & (F.col("previous_price") > F.col("price_min")))
-    return (bags.where(fell).withColumn("off", off).where(F.col("off") >= least)
-            .orderBy(F.desc("off"), "price_min", "id").limit(limit))
+    rows = bags.where(fell).withColumn("off", off).where(F.col("off") >= least)
+    return rows if k is None else rows.orderBy(F.desc("off"), "price_min", "id").limit(k)
 
 
 def sale_stats(bags: DataFrame, cuts: DataFrame) -> DataFrame:

@@ -275,8 +275,7 @@ def p14(spark, d):
 
 @query("p15_price_changes", "ledger", """
 SELECT bag_id, rn, ts, price, direction FROM (SELECT *, row_number() OVER
-  (PARTITION BY bag_id ORDER BY ts DESC, ord) AS rn FROM ledger WHERE direction IS NOT NULL) t
-WHERE rn <= 20""")
+  (PARTITION BY bag_id ORDER BY ts DESC, ord) AS rn FROM ledger WHERE direction IS NOT NULL) t""")
 def p15(spark, d):
     return P.price_changes(_ledger(spark, d)).select(
         "bag_id", F.col("rn").cast("bigint").alias("rn"), "ts", "price", "direction")
@@ -327,7 +326,7 @@ def p18(spark, d):
 @query("p19_sale_strip", ("observation", "ledger", "bag"), f"""
 WITH {ANNOTATED}, f AS (SELECT id, price_min, previous_price, 1.0::DOUBLE - price_min / previous_price
   AS off FROM ann WHERE price_direction = 'down' AND price_min > 0 AND previous_price > price_min)
-SELECT * FROM f WHERE off >= 0.05 ORDER BY off DESC, price_min, id LIMIT 12""")
+SELECT * FROM f WHERE off >= 0.05""")
 def p19(spark, d):
     return P.sale_strip(_annotated(spark, d)[0]).select("id", "price_min", "previous_price", "off")
 

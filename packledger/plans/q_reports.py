@@ -35,8 +35,8 @@ def h01(spark, d):
 
 
 @query("h02_volume_facets", "bag", f"""
-WITH {IDX} SELECT category, {BAND} AS band, count(*) AS n FROM idx WHERE volume_l IS NOT NULL
-GROUP BY 1, 2 HAVING count(*) >= 25""")
+WITH {IDX} SELECT category, {BAND} AS band, count(*) AS n, count(*) >= 25 AS listed FROM idx WHERE volume_l IS NOT NULL
+GROUP BY 1, 2""")
 def h02(spark, d):
     return H.volume_facets(_listed(spark, d))
 
@@ -48,8 +48,8 @@ WITH {IDX}, c AS (SELECT category, count(*) FILTER (WHERE laptop_in >= 13) AS n1
 k AS (SELECT *, n13 >= 25 AS k13, n15 >= 25 AND (n13 < 25 OR n15 <= n13 * 0.75) AS k15 FROM c),
 m AS (SELECT *, n16 >= 25 AND ((NOT k13 AND NOT k15) OR n16 <= CASE WHEN k15 THEN n15 ELSE n13 END * 0.75)
   AS k16 FROM k)
-SELECT category, 13 AS inches, n13 AS n FROM m WHERE k13 UNION ALL
-SELECT category, 15, n15 FROM m WHERE k15 UNION ALL SELECT category, 16, n16 FROM m WHERE k16""")
+SELECT category, 13 AS inches, n13 AS n, k13 AS listed FROM m UNION ALL
+SELECT category, 15, n15, k15 FROM m UNION ALL SELECT category, 16, n16, k16 FROM m""")
 def h03(spark, d):
     return H.laptop_facets(_listed(spark, d))
 
@@ -79,7 +79,7 @@ a AS (SELECT category, 'lightest' AS board, id, gpl AS value, row_number() OVER
 b AS (SELECT category, 'cheapest' AS board, id, price_min / volume_l AS value, row_number() OVER
   (PARTITION BY category ORDER BY price_min / volume_l, ord) AS rn FROM r
   WHERE currency = 'USD' AND price_min <> 0)
-SELECT * FROM a WHERE rn <= 25 UNION ALL SELECT * FROM b WHERE rn <= 25""")
+SELECT * FROM a UNION ALL SELECT * FROM b""")
 def h06(spark, d):
     return H.leaderboards(_bags(spark, d)).withColumn("rn", F.col("rn").cast("bigint"))
 
@@ -92,14 +92,14 @@ def h07(spark, d):
 
 @query("h08_facet_rows", "bag", f"""
 WITH {IDX}, x AS (SELECT *, {BAND} AS band FROM idx WHERE volume_l IS NOT NULL),
-s AS (SELECT category, band, count(*) AS members FROM x GROUP BY 1, 2 HAVING count(*) >= 25),
+s AS (SELECT category, band, count(*) AS members FROM x GROUP BY 1, 2),
 r AS (SELECT x.category, x.band, x.id, members, row_number() OVER (PARTITION BY x.category, x.band ORDER BY
   CASE WHEN gpl >= 5 THEN gpl END ASC NULLS LAST,
   CASE WHEN coalesce(gpl >= 5, FALSE) THEN NULL ELSE lower(brand) END ASC NULLS LAST, ord) AS rn
   FROM x JOIN s ON x.category = s.category AND x.band = s.band)
-SELECT category, band, id, greatest(members - 30, 0) AS withheld FROM r WHERE rn <= 30""")
+SELECT category, band, id, rn, members >= 25 AS listed, members FROM r""")
 def h08(spark, d):
-    return H.facet_rows(_bags(spark, d), shown=30).select("category", "band", "id", "withheld")
+    return H.facet_rows(_bags(spark, d)).select("category", "band", "id", F.col("rn").cast("bigint").alias("rn"), "listed", "members")
 
 
 @query("h09_brand_shelves", "bag", """
@@ -116,7 +116,7 @@ WITH p AS (SELECT a.id, b.id AS related_id, CASE WHEN a.brand_slug = b.brand_slu
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY far, ord) AS rn FROM p)
 SELECT id, related_id, CAST(rn - 1 AS INT) AS place FROM r WHERE rn <= 8""")
 def h10(spark, d):
-    return H.related(_bags(spark, d))
+    return H.related(_bags(spark, d), 8)
 
 
 @query("h11_siblings", "bag", """
@@ -132,13 +132,12 @@ WITH {IDX}, m AS (SELECT bag_id, max(ts) AS t FROM ledger WHERE direction IS NOT
 s AS (SELECT b.*, greatest(CAST(CAST(replace(b.updated_at, '+02:00', '') AS TIMESTAMP)
   - INTERVAL 2 HOUR AS TIMESTAMP), m.t) AS stamp, {BAND} AS band,
   EXISTS (SELECT 1 FROM idx i WHERE i.id = b.id) AS listed
-  FROM bag b LEFT JOIN m ON b.id = m.bag_id),
-f AS (SELECT category, band FROM s WHERE listed AND volume_l IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 25)
+  FROM bag b LEFT JOIN m ON b.id = m.bag_id)
 SELECT 'bag' AS kind, id AS key, stamp FROM s UNION ALL
 SELECT 'brand', brand_slug, max(stamp) FROM s GROUP BY 2 UNION ALL
 SELECT 'hub', category, max(stamp) FROM s WHERE listed GROUP BY 2 UNION ALL
-SELECT 'facet', s.category || '/' || s.band, max(stamp) FROM s JOIN f
-  ON s.category = f.category AND s.band = f.band WHERE listed GROUP BY 2""")
+SELECT 'facet', s.category || '/' || s.band, max(stamp) FROM s
+  WHERE listed AND volume_l IS NOT NULL GROUP BY 2""")
 def h12(spark, d):
     moved = B.view(spark, d, "ledger").where(F.col("direction").isNotNull())
     return H.lastmod(_bags(spark, d), moved.select("bag_id", "ts"))
@@ -149,7 +148,7 @@ WITH {IDX} SELECT category, id FROM (SELECT category, id, row_number() OVER (PAR
   ORDER BY CASE WHEN regexp_matches(brand, '^[0-9]') THEN 1 ELSE 0 END, lower(brand), brand,
   CASE WHEN regexp_matches(name, '^[0-9]') THEN 1 ELSE 0 END, lower(name), name, ord) AS rn FROM idx) t WHERE rn <= 12""")
 def h13(spark, d):
-    return H.hub_samples(_bags(spark, d)).select("category", "id")
+    return H.hub_samples(_bags(spark, d), 12).select("category", "id")
 
 
 RULINGS = [(f"brand-{i}", k, v) for i in range(0, 25, 3)

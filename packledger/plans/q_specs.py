@@ -547,25 +547,28 @@ def c15(spark, d):
 
 
 @query("c16_scope_frontier", (), """
-SELECT 'wide' AS part, count(*) AS n FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 'thin', count(*) FROM part""")
+WITH m AS (SELECT 'wide' AS part, p_partkey AS k, p_partkey % 3 = 0 AS on_shelf FROM part UNION ALL
+ SELECT 'thin', p_partkey, p_partkey % 50 = 0 FROM part)
+SELECT *, count(*) FILTER (WHERE on_shelf) OVER (PARTITION BY part) / count(*) OVER (PARTITION BY part) AS shelf_share FROM m""")
 def c16(spark, d):
-    cand = _part(spark, d, url="'https://shop.example.com/products/m-' || " + K("p_partkey")).select("url")
+    cand = _part(spark, d, url="'https://shop.example.com/products/m-' || " + K("p_partkey")).select("k", "url")
     hint = lambda test: _part(spark, d, product="'m-' || " + K("p_partkey")).where(test).select("product")
-    n = F.count(F.lit(1)).alias("n")
-    return C.scope_frontier(cand, hint("k % 3 = 0")).agg(n).select(F.lit("wide").alias("part"), "n").unionByName(
-        C.scope_frontier(cand, hint("k % 50 = 0")).agg(n).select(F.lit("thin").alias("part"), "n"))
+    one = lambda part, test: C.scope_frontier(cand, hint(test)).select(F.lit(part).alias("part"), "k", "on_shelf", "shelf_share")
+    return one("wide", "k % 3 = 0").unionByName(one("thin", "k % 50 = 0"))
 
 
 @query("c17_carry_categories", (), """
 SELECT 'u' || CAST(n_nationkey AS STRING) AS uid, 0 AS depth, CAST(n_nationkey + 1 AS BIGINT) AS product_count FROM nation WHERE n_nationkey % 3 = 0 UNION ALL
-SELECT 'c' || CAST(n_nationkey AS STRING), 1, n_nationkey + 2 FROM nation UNION ALL SELECT 'g' || CAST(n_nationkey AS STRING), 2, 9 FROM nation""")
+SELECT 'c' || CAST(n_nationkey AS STRING), 1, n_nationkey + 2 FROM nation UNION ALL SELECT letter || CAST(n_nationkey AS STRING), depth, 11 - depth FROM nation,
+ (VALUES ('g', 2), ('h', 3), ('i', 4), ('j', 5)) t(letter, depth)""")
 def c17(spark, d):
     n = K("n_nationkey")
     tree = B.table(spark, d, "nation").selectExpr(
         f"'u' || {n} AS uid", "CASE n_nationkey % 3 WHEN 0 THEN 'Rucksäcke' WHEN 1 THEN 'Schlafsäcke' ELSE 'Root' END AS name",
         "CAST(n_nationkey + 1 AS BIGINT) AS product_count",
         f"""'[{{"uid":"c' || {n} || '","name":"Travel Bags","product_count":' || {K('n_nationkey + 2')} ||
-          ',"children":[{{"uid":"g' || {n} || '","name":"Duffel","product_count":9}},{{"uid":"z","name":"Bags","product_count":0}}]}}]' AS children""")
+          ',"children":[{{"uid":"g' || {n} || '","name":"Duffel","product_count":9,"children":[{{"uid":"h' || {n} || '","name":"Duffel","product_count":8,"children":[{{"uid":"i' || {n} ||
+          '","name":"Duffel","product_count":7,"children":[{{"uid":"j' || {n} || '","name":"Duffel","product_count":6}}]}}]}}]}},{{"uid":"z","name":"Bags","product_count":0}}]}}]' AS children""")
     return C.carry_categories(tree).select("uid", "depth", "product_count")
 
 
@@ -608,7 +611,8 @@ def c21(spark, d):
 @query("c22_programme_links", (), """
 WITH h AS (SELECT page_id, url, regexp_extract(url, '^(https?)://', 1) AS s, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages)
 SELECT page_id, 1 AS strength, s || '://' || host || '/pages/affiliates' AS target FROM h UNION ALL
-SELECT page_id, 1, s || '://' || host || '/b?x=ambassador' FROM h UNION ALL SELECT page_id, 2, s || '://' || host || '/creators' FROM h""")
+SELECT page_id, 1, s || '://' || host || '/b?x=ambassador' FROM h UNION ALL SELECT page_id, 1, s || '://' || host || '/third-affiliate' FROM h UNION ALL
+SELECT page_id, 2, s || '://' || host || '/r' FROM h UNION ALL SELECT page_id, 2, s || '://' || host || '/creators' FROM h""")
 def c22(spark, d):
     tail = ("<a href='/pages/affiliates'>Join</a><a href='https://elsewhere.example.net/affiliate'>no</a><a href='/b?x=ambassador'>b</a>"
             "<a href='/third-affiliate'>c</a><a href='/creators'>Creators</a><a href='/r'><b>refer a friend</b></a>")

@@ -231,15 +231,11 @@ def sitemap_urls(bodies: DataFrame, patterns: dict[str, str]):
     return urls, listed.where(child).select(F.col("loc").alias("url")).distinct(), refused
 
 
-def lookup(bags: DataFrame, ids: list[str], most: int = 100) -> DataFrame:
-    """Bags by id in the order asked; unknown ids are left out."""
-    if not ids or len(ids) > most:
-        raise ValueError(f"between 1 and {most} ids")
-    asked = F.array(*[F.lit(i) for i in ids])
-    spots = F.filter(F.transform(asked, lambda a, i: F.when(a == F.col("id"), i)),
-                     lambda i: i.isNotNull())
-    return (bags.where(F.col("id").isin(list(ids))).withColumn("place", F.explode(spots))
-            .orderBy("place"))
+def lookup(bags: DataFrame, ids: list[str] | DataFrame) -> DataFrame:
+    """Bags by id in the order asked (a list, or a table of id and place); unknown ids are left out."""
+    if isinstance(ids, list):
+        ids = bags.sparkSession.createDataFrame(list(zip(ids, range(len(ids)))), "id string, place int")
+    return bags.join(ids.select("id", "place"), "id").select(*bags.columns, "place").orderBy("place")
 
 
 def dedupe_feed(items: DataFrame) -> DataFrame:
