@@ -294,8 +294,10 @@ def shelf_hints(shelves: DataFrame, product_pattern: str) -> DataFrame:
     category = collection_category(name)
     keep = ~(matches(slug, X.SHELF_NOISE) | matches(name, X.SPARE_PART)
              | matches(name, X.NOT_CARRY_SHELF))
-    marked = F.regexp_extract_all("html", F.lit(
-        r'(?s)itemtype="[^"]*schema\.org/Product"[^>]*>(?:(?!itemtype=).)*?href="([^"#?]+)"'), F.lit(1))
+    # each product's mark-up runs up to the next mark; its first link is the product's
+    spans = F.regexp_extract_all("html", F.lit(
+        r'(?s)itemtype="[^"]*schema\.org/Product"[^>]*>(.*?)(?=itemtype=|\z)'), F.lit(1))
+    marked = F.filter(F.transform(spans, lambda s: F.regexp_extract(s, r'href="([^"#?]+)"', 1)), lambda h: h != "")
     loose = F.filter(F.regexp_extract_all("html", F.lit(r'href="([^"#?]+)"'), F.lit(1)),
                      lambda h: matches(h, product_pattern))
     rank = F.struct(F.col("category").isNull().alias("a"),

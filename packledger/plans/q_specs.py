@@ -240,6 +240,28 @@ def x18(spark, d):
         "page_id", "title", "h1", F.size("images").alias("images"), F.size("tables").alias("tables"), F.size("jsonld").alias("blocks"))
 
 
+@query("x18_digest_fields", (), """
+SELECT p_partkey AS k, p_name AS title, 'd ' || p_name AS description, 'The ' || p_name AS h1, '{"@type": "Product", "sku": "' || CAST(p_partkey AS STRING) || '"}' AS jsonld,
+ 'Volume=' || CAST(p_size AS STRING) || ' L;Weight=' || CAST(p_partkey + 100 AS STRING) || ' g;Origin=' || p_brand AS pairs,
+ 'H|W/' || CAST(p_size AS STRING) || ' cm|<4>' AS cells, 14 AS tables, 'price box|' || CAST(p_partkey AS STRING) AS vals, 60 AS images, '/i/' || CAST(p_partkey AS STRING) || '.jpg' AS image,
+ 'The ' || p_name || ' Volume ' || CAST(p_size AS STRING) || ' L Weight ' || CAST(p_partkey + 100 AS STRING) || ' g Origin ' || p_brand || ' ' ||
+ repeat('H W ' || CAST(p_size AS STRING) || ' cm <4> ', 14) || repeat('word ', 7000) || 'Capacity ' || CAST(p_size AS STRING) || ' L' AS text FROM part""")
+def x18b(spark, d):
+    n, size = K("p_partkey"), K("p_size")
+    page = f"""'<html><head><title> ' || p_name || '</title><meta name="Description" content="d ' || p_name || '"><meta name=description content=other>
+      <script type="application/ld+json">[{{"@type":"Product","sku":"' || {n} || '"}}, 3]</script><script type="application/ld+json">{{broken</script>
+      <style>h1{{}}</style></head><body><h1>The&nbsp;' || p_name || '</h1>' || repeat('<img src="/i/' || {n} || '.jpg"><img src="data:x">', 60) ||
+      '<dl><dt>Volume<dd>' || {size} || ' L<dt>Weight</dt><dd>' || {K('p_partkey + 100')} || ' g</dd></dl><div class="box"><span class="spec-name">Origin</span> <b class="spec-value">'
+      || p_brand || '</b><i class="price" content="' || {n} || '"></i></div>' || repeat('<table><tr><th>H<th>W</tr><tr><td>' || {size} || ' cm</td><td>&lt;4></td></tr></table>', 14)
+      || '<!-- <p>no</p> --><noscript>no</noscript><p>' || repeat('word ', 7000) || '</p>Capacity ' || {size} || ' L</body></html>'"""
+    rows = P.digest(_part(spark, d, html=page).select("k", "html"))
+    flat = lambda c, sep: F.array_join(F.transform(c, lambda p: F.array_join(p, sep)), ";")
+    return rows.select(
+        "k", "title", F.col("meta")["description"].alias("description"), F.regexp_replace("h1", "\u00a0", " ").alias("h1"), F.array_join("jsonld", ";").alias("jsonld"),
+        flat("pairs", "=").alias("pairs"), F.array_join(F.transform(F.get("tables", F.lit(13)), lambda r: F.array_join(r, "|")), "/").alias("cells"),
+        F.size("tables").alias("tables"), flat("values", "|").alias("vals"), F.size("images").alias("images"), F.get("images", F.lit(59)).alias("image"), "text")
+
+
 def _product_pages(spark, d):
     """Product pages rendered from parts, every second one wrapped in a real page's markup."""
     body = f"""'<script type="application/ld+json">{{"@type":"Product","name":"' || p_name || '","description":"A trusty ' || p_name ||
@@ -252,8 +274,7 @@ def _product_pages(spark, d):
     theme = f"""CASE WHEN p_partkey % 4 = 3 THEN '<script type="application/json">{{"a":[{{"spec":{{"Feature text size":"<b>RFID</b> pocket ' ||
       {K('p_partkey')} || '"}}}}]}}</script>' ELSE '' END"""
     return _part(spark, d, page_key="'pg' || " + K("p_partkey"),
-                 html=f"'<html><head><title>x</title></head><body>' || {body} || {theme} || '</body></html>'").select("page_key", "html", "k").repartition(
-                     spark.sparkContext.defaultParallelism)  # parsing is far dearer than reading
+                 html=f"'<html><head><title>x</title></head><body>' || {body} || {theme} || '</body></html>'").select("page_key", "html", "k")
 
 
 @query("x22_parse_pages", (), f"""
@@ -285,11 +306,11 @@ def x19(spark, d):
 
 
 @query("x20_product_scope", (), """
-SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'menu The ' || p_name || ' carries everything you need daily. Holds '
+SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'The ' || p_name || ' carries everything you need daily. ' || repeat('On and on. ', 400) || 'Holds '
   || CAST(p_size AS STRING) || ' L. ' END AS v FROM part""")
 def x20(spark, d):
-    df = _part(spark, d, desc="CASE WHEN p_partkey % 3 = 0 THEN 'too short' ELSE 'The ' || p_name || ' carries  everything you need daily.' END",
-               t=f"'menu The ' || p_name || '  carries everything you need daily. Holds ' || {K('p_size')} || ' L. Related products: 99L'")
+    df = _part(spark, d, desc="CASE WHEN p_partkey % 3 = 0 THEN 'another text' ELSE 'The ' || p_name || ' carries  everything you need daily.' END",
+               t=f"'menu The ' || p_name || '  carries everything you need daily. ' || repeat('On and on. ', 400) || 'Holds ' || {K('p_size')} || ' L. Related products: 99L'")
     return df.select("k", T.product_scope(F.col("t"), F.col("desc")).alias("v"))
 
 
