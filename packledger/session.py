@@ -15,6 +15,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",  # a page or text still travels whole
 }
 
 
@@ -29,9 +30,9 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors of a cluster (a local master has it already)."""
+    """Send this package to the Python workers, wherever the session was started from."""
     app = spark.sparkContext.applicationId
-    if spark.sparkContext.master.startswith("local") or app in _SHIPPED:
+    if app in _SHIPPED:
         return
     _SHIPPED.add(app)
     root = os.path.dirname(os.path.abspath(__file__))

@@ -74,12 +74,12 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).option("mode", "DROPMALFORMED").json(path)
 
 
-def append_ledger(rows: DataFrame, path: str) -> None:
-    """Append this run's rows, one folder per month."""
+def append_ledger(rows: DataFrame, path: str, run: str) -> None:
+    """This run's rows, one folder per run and month; a repeated run replaces its own rows."""
     cols = [c.split()[0] for c in LEDGER.split(", ")]
     have = [c for c in cols if c in rows.columns]
-    rows.select(*have, "ord", F.trunc("ts", "month").alias("dt")).write.mode("append").partitionBy(
-        "dt").parquet(path)
+    rows.select(*have, "ord", F.trunc("ts", "month").alias("dt")).write.mode("overwrite").partitionBy(
+        "dt").parquet(f"{path}/run={run}")
 
 
 def save_state(state: DataFrame, path: str, run: str) -> None:
@@ -88,15 +88,21 @@ def save_state(state: DataFrame, path: str, run: str) -> None:
         "overwrite").parquet(f"{path}/run={run}")
 
 
+def finished_runs(spark: SparkSession, path: str, within: str = "") -> list[str]:
+    """Runs below a folder whose write was committed, in order; a lost run's folder is passed over."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(n[4:] for n in names if n.startswith("run=") and fs.exists(
+        jvm.org.apache.hadoop.fs.Path(f"{path}/{n}{within}/_SUCCESS")))
+
+
 def load_state(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
-    """The named snapshot, or the latest one; empty before the first run."""
+    """The named snapshot, or the latest one that was committed; empty before the first run."""
     schema = ", ".join(f"{c} {t}" for c, t in STATE.items())
     if run is None:
-        jvm = spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(path)
-        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-        runs = sorted(n[4:] for n in names if n.startswith("run="))
+        runs = finished_runs(spark, path)
         if not runs:
             return spark.createDataFrame([], schema)
         run = runs[-1]
@@ -159,10 +165,16 @@ def write_worklist(rows: DataFrame, path: str) -> None:
         "escape", '"').csv(path)
 
 
-def write_catalogue(bags: DataFrame, variants: DataFrame, meta: DataFrame, path: str) -> None:
-    bags.write.mode("overwrite").parquet(f"{path}/bags")
-    variants.write.mode("overwrite").parquet(f"{path}/variants")
-    meta.write.mode("overwrite").parquet(f"{path}/meta")
+def write_catalogue(bags: DataFrame, variants: DataFrame, meta: DataFrame, path: str, run: str) -> None:
+    """A version of its own per run; it counts from the moment its last table is committed."""
+    for name, rows in (("bags", bags), ("variants", variants), ("meta", meta)):
+        rows.write.mode("overwrite").parquet(f"{path}/run={run}/{name}")
+
+
+def read_catalogue(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """A table of the latest whole version, none before the first."""
+    runs = finished_runs(spark, path, "/meta")
+    return spark.read.parquet(f"{path}/run={runs[-1]}/{name}") if runs else None
 
 
 def write_rejects(rejects: DataFrame, path: str) -> None:
