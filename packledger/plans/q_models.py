@@ -14,8 +14,7 @@ CTX = {"brand_slug": "'brand-' || CAST(p_partkey % 25 AS STRING)", "brand_name":
 
 def _raw(spark, d, **cols):
     return B.table(spark, d, "part").selectExpr("p_partkey", "p_size", "p_name", "p_retailprice",
-                                                *[f"{e} AS {c}" for c, e in {**CTX, **cols}.items()]).repartition(
-        spark.sparkContext.defaultParallelism)  # reading specs out is far dearer than reading rows
+                                                *[f"{e} AS {c}" for c, e in {**CTX, **cols}.items()])
 
 
 def _arr(c):
@@ -40,7 +39,7 @@ def _reasons(part):
 VARS = "sequence(0, CAST(p_partkey % 4 AS INT))"
 
 
-def _shopify(spark, d):
+def _raw_shopify(spark, d):
     df = _raw(
         spark, d, id="p_partkey",
         title=f"""CASE p_partkey % 8 WHEN 0 THEN 'Travel Pack ' || {K('p_size')} || 'L' WHEN 1 THEN p_name || ' Sling' WHEN 2 THEN 'T-Shirt ' || p_name
@@ -59,7 +58,11 @@ def _shopify(spark, d):
         hint_category="CASE WHEN p_partkey % 8 = 4 AND p_partkey % 5 = 0 THEN 'pouch' END",
         hint_is_bag="CASE WHEN p_partkey % 8 = 4 AND p_partkey % 5 = 0 THEN TRUE WHEN p_partkey % 8 = 4 AND p_partkey % 7 = 1 THEN TRUE END",
         ruling="CASE WHEN p_partkey % 40 = 12 THEN 'wallet' END")
-    return N.normalize_shopify(df)
+    return df
+
+
+def _shopify(spark, d):
+    return N.normalize_shopify(_raw_shopify(spark, d))
 
 
 M8 = "p_partkey % 8"
@@ -106,14 +109,18 @@ def n01c(spark, d):
 
 # --- SKU feed ---------------------------------------------------------------
 
-def _feed(spark, d):
+def _raw_feed(spark, d):
     df = _raw(spark, d, name="CASE p_partkey % 5 WHEN 4 THEN 'Phone Thing' ELSE p_name || ' Pack' END", sku="'S' || " + K("p_partkey"), barcode=K("p_partkey"),
               canonical_uri="'/p/' || replace(p_name, ' ', '-') || '?x=1'", price_in_cents="CAST(p_partkey * 7 + 100 AS BIGINT)", currency_code="'usd'",
               dimensions=f"""map('size', array(CASE WHEN p_partkey % 2 = 0 THEN '16in' ELSE '13in' END), 'color', array(CASE WHEN p_partkey % 3 = 0 THEN 'jet_black' ELSE 'sand' END),
                 'filter_sub_category', array(CASE p_partkey % 5 WHEN 4 THEN 'phone_case' ELSE 'backpack' END), 'product_type', array('Bag'), 'material', array('recycled_nylon'),
                 'filter_feature', array(CASE WHEN p_partkey % 4 = 0 THEN 'trolley_sleeve' ELSE 'rfid' END), 'capacity_litres', array('21'), 'net_weight_g', array('850'),
                 'product_dim_h_cm', array('45'), 'product_dim_l_cm', array('30'), 'product_dim_d_cm', array('15'), 'filter_device_storage', array('laptop_13_inch', 'laptop_16_inch'))""")
-    return N.normalize_sku_feed(df)
+    return df
+
+
+def _feed(spark, d):
+    return N.normalize_sku_feed(_raw_feed(spark, d))
 
 
 FEED = f"""f AS (SELECT p_partkey, 'brand-' || {K('p_partkey % 25')} AS b, p_name || ' Pack' AS name, CASE WHEN p_partkey % 2 = 0 THEN '16IN' ELSE '13IN' END AS sz,
@@ -140,13 +147,17 @@ def n02b(spark, d):
 
 # --- aggregator -------------------------------------------------------------
 
-def _aggregator(spark, d):
+def _raw_aggregator(spark, d):
     df = _raw(spark, d, url=f"'https://agg.example.com/x/item-' || {K('p_partkey')} || '.html'",
               breadcrumbs="CASE p_partkey % 4 WHEN 1 THEN array('Petzl', 'Climb', 'Petzl Climb') WHEN 2 THEN array('Clothing', 'Jackets') ELSE array('Packs') END",
               product=f"""'{{"@type":"Product","name":"' || p_name || CASE p_partkey % 4 WHEN 2 THEN '' ELSE ' Sling' END || '","brand":{{"name":"Petzl"}},"description":"Holds ' ||
                 CASE p_partkey % 4 WHEN 3 THEN '1,710 cu in' ELSE {K('p_size')} || ' liters' END || '. 22in x 13in x 9in. 2 lbs","image":["https://i.example.com/1"],"offers":{{"price":"' ||
                 {K('p_partkey + 5')} || '","sku":"A","availability":"http://schema.org/InStock"}}}}'""").drop("brand_name", "brand_slug")
-    return N.normalize_aggregator(df)
+    return df
+
+
+def _aggregator(spark, d):
+    return N.normalize_aggregator(_raw_aggregator(spark, d))
 
 
 @query("n03_aggregator_bags", (), f"""
@@ -165,7 +176,7 @@ def n03b(spark, d):
 
 # --- WooCommerce ------------------------------------------------------------
 
-def _woo(spark, d):
+def _raw_woo(spark, d):
     df = _raw(spark, d, name="'<b>' || p_name || '</b> ' || CASE p_partkey % 3 WHEN 0 THEN 'Rucksack' WHEN 1 THEN 'Thing' ELSE 'Gift Card' END", slug="'w-' || " + K("p_partkey"),
               permalink="CAST(NULL AS STRING)", sku="'W' || " + K("p_partkey"), description=f"'<p>Weight: 900 g. ' || {K('p_size')} || ' litres</p>'", short_description="''",
               categories="array(named_struct('name', CASE p_partkey % 2 WHEN 0 THEN 'Pouches' ELSE 'Misc' END))", tags="array(named_struct('name', 'new'))",
@@ -173,7 +184,11 @@ def _woo(spark, d):
               attributes="array(named_struct('name', 'Colour', 'terms', array(named_struct('name', 'Sand'))), named_struct('name', 'Size', 'terms', array(named_struct('name', 'M'), named_struct('name', 'L'))))",
               prices=f"named_struct('price', {K('p_partkey + 1000')}, 'regular_price', {K('p_partkey + 1100')}, 'currency_code', 'EUR', 'currency_minor_unit', 2)",
               images="array(named_struct('src', 'https://i.example.com/w'))")
-    return N.normalize_woo(df)
+    return df
+
+
+def _woo(spark, d):
+    return N.normalize_woo(_raw_woo(spark, d))
 
 
 @query("n04_woo_bags", (), f"""
@@ -194,7 +209,7 @@ def n04b(spark, d):
 
 # --- Magento ----------------------------------------------------------------
 
-def _magento(spark, d):
+def _raw_magento(spark, d):
     item = lambda c, v: f"named_struct('code', '{c}', 'value', {v}, 'selected_options', CAST(NULL AS array<struct<label:string>>))"
     df = _raw(spark, d, name="p_name || CASE p_partkey % 4 WHEN 0 THEN ' Rucksack' WHEN 1 THEN ' Regenhülle' ELSE ' Aqua' END", sku="'M' || " + K("p_partkey"),
               url_key="'m-' || " + K("p_partkey"), url_suffix="'.html'", stock_status="'OUT_OF_STOCK'", weight="CAST(0.88 AS DOUBLE)",
@@ -209,7 +224,11 @@ def _magento(spark, d):
                 CASE WHEN i = 1 THEN 'IN_STOCK' ELSE 'OUT' END, 'final_price', p_retailprice + i, 'regular_price', p_retailprice + 5 * i, 'image', 'https://i.example.com/m',
                 'attributes', array(named_struct('code', 'col', 'label', CASE WHEN i = 1 THEN 'Sand' ELSE 'Navy' END), named_struct('code', 'sz', 'label', 'L'))))""",
               final_price="p_retailprice", regular_price="p_retailprice", top_price="p_retailprice", image_url="'https://i.example.com/m'")
-    return N.normalize_magento(df)
+    return df
+
+
+def _magento(spark, d):
+    return N.normalize_magento(_raw_magento(spark, d))
 
 
 @query("n05_magento_bags", (), f"""
@@ -232,7 +251,7 @@ def n05b(spark, d):
 
 # --- page digests -----------------------------------------------------------
 
-def _pages(spark, d):
+def _raw_pages(spark, d):
     a, w = "(20 + p_partkey % 45)", "(5 + p_partkey % 20)"
     node = f"""'{{"@type":"ProductGroup","name":"' || p_name || ' Duffel","description":"A duffel. Volume: ' || {K('p_size')} || ' L","hasVariant":[{{"sku":"V1","color":"navy-blue","offers":{{"price":"' ||
       {K('p_partkey + 20')} || '","availability":"InStock"}}}},{{"sku":"V2","color":["sand"],"offers":{{"price":5000}}}}]}}'"""
@@ -241,7 +260,11 @@ def _pages(spark, d):
               pairs=f"CASE WHEN p_partkey % 2 = 0 THEN array(array('Dimensions', '{{}}')) ELSE array() END".replace("'{}'", f"{K(a)} || ' x ' || {K(w)} || ' x 8 cm'"),
               tables=f"array(array(array('Height', 'Width', 'Weight'), array({K(a)} || ' cm', {K(w)}, '700 g')))",
               values="array(array('price sales', '99.50'), array('price strike', '120'))", images="array('/nav/logo.svg', '/media/product/1.jpg')", text="'Capacity 12 L of things'")
-    return N.normalize_pages(df)
+    return df
+
+
+def _pages(spark, d):
+    return N.normalize_pages(_raw_pages(spark, d))
 
 
 @query("n06_page_bags", (), f"""
@@ -255,29 +278,33 @@ def n06(spark, d):
                                         "on_sale", "variant_count", _arr("colors"), "image")
 
 
-RAWS = {"shopify": _shopify, "woocommerce": _woo, "magento": _magento}
+RAWS = {"shopify": _raw_shopify, "sku_feed": _raw_feed, "aggregator": _raw_aggregator, "woocommerce": _raw_woo, "magento": _raw_magento,
+        "pages": lambda spark, d: _raw_pages(spark, d).withColumn("brand_slug", F.concat(F.lit("site-"), "brand_slug"))}
 
 
-def _all(spark, d):
-    """Three platforms, disjoint brands, through the union and the colour rulings."""
-    parts = [RAWS[k](spark, d) for k in RAWS]
-    tag = lambda df, c, i: df.withColumn(c, F.concat(F.lit(f"p{i}-"), c))
-    out = [N.Normalised(tag(p.bags, "id", i), tag(p.variants, "bag_id", i), p.rejects) for i, p in enumerate(parts)]
-    one = out[0]
-    for p in out[1:]:
-        one = N.Normalised(one.bags.unionByName(p.bags), one.variants.unionByName(p.variants), one.rejects.unionByName(p.rejects))
-    from .q_reports import colour_rulings
-    return N.assign_families(one, colour_rulings(spark))
+def raws(spark, d):
+    """Payloads of all six platforms, and what their brands price in."""
+    money = B.table(spark, d, "nation").selectExpr(
+        "'brand-' || CAST(n_nationkey AS STRING) AS slug", "CASE WHEN n_nationkey % 2 = 0 THEN 'EUR' ELSE 'GBP' END AS currency",
+        "CASE WHEN n_nationkey % 2 = 0 THEN 'feed' ELSE 'locale' END AS currency_source")
+    return {k: fn(spark, d) for k, fn in RAWS.items()}, money
 
 
 @query("n07_normalize_all", (), f"""
-WITH {SHOP} SELECT 'shopify:products.json' AS source, count(*) AS n, CAST(sum(m + 1) AS BIGINT) AS skus FROM shop WHERE category IS NOT NULL UNION ALL
-SELECT 'woocommerce:store-api', count(*), count(*) FROM part WHERE p_partkey % 3 = 0 OR (p_partkey % 3 = 1 AND p_partkey % 2 = 0) UNION ALL
-SELECT 'magento:graphql', count(*), count(*) * 2 FROM part WHERE p_partkey % 4 IN (0, 2)""")
+WITH {SHOP}, {FEED}, g AS (SELECT b, name, sz, count(*) AS skus FROM f GROUP BY ALL),
+x AS (SELECT 'shopify:products.json' AS source, 'brand-' || CAST(p_partkey % 25 AS STRING) AS b, m + 1 AS skus FROM shop WHERE category IS NOT NULL UNION ALL
+ SELECT 'sku-feed:products', b, skus FROM g UNION ALL SELECT 'aggregator:jsonld', 'petzl', 1 FROM part WHERE p_partkey % 4 IN (0, 3) UNION ALL
+ SELECT 'woocommerce:store-api', 'brand-' || CAST(p_partkey % 25 AS STRING), 1 FROM part WHERE p_partkey % 3 = 0 OR (p_partkey % 3 = 1 AND p_partkey % 2 = 0) UNION ALL
+ SELECT 'magento:graphql', 'brand-' || CAST(p_partkey % 25 AS STRING), 2 FROM part WHERE p_partkey % 4 IN (0, 2) UNION ALL
+ SELECT 'pages:crawl', 'site-brand-' || CAST(p_partkey % 25 AS STRING), CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END FROM part)
+SELECT source, CASE WHEN b LIKE 'brand-%' THEN CASE WHEN CAST(substr(b, 7) AS INT) % 2 = 0 THEN 'EUR' ELSE 'GBP' END ELSE 'USD' END AS currency,
+ count(*) AS n, CAST(sum(skus) AS BIGINT) AS skus FROM x GROUP BY 1, 2""")
 def n07(spark, d):
-    part = _all(spark, d)
+    from .q_reports import colour_rulings
+    raw, money = raws(spark, d)
+    part = N.normalize_all(raw, money, colour_rulings(spark))
     n = part.variants.groupBy("bag_id").agg(F.count(F.lit(1)).alias("v"))
-    return part.bags.join(n, F.col("id") == F.col("bag_id")).groupBy("source").agg(
+    return part.bags.join(n, F.col("id") == F.col("bag_id")).groupBy("source", "currency").agg(
         F.count(F.lit(1)).alias("n"), F.sum("v").alias("skus"))
 
 

@@ -1,7 +1,7 @@
 """Queries over the catalogue: hub reports, audits and the publish gate."""
 from pyspark.sql import functions as F
 
-from ..functions import fixed as X
+from ..functions import fixed as X, scalars as S
 from ..operators import hubs as H, models as M, prices as P, quality as V
 from . import bindings as B
 from .registry import query
@@ -188,6 +188,28 @@ def h14b(spark, d):
     return H.colour_coverage(_bags(spark, d), B.view(spark, d, "variant"))
 
 
+@query("h16_reject_audit", ("bag", "variant"), """
+WITH r AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'unclassified' ELSE 'not-a-bag' END AS reason, 'brand-' || CAST(p_partkey % 40 AS STRING) AS brand,
+  p_partkey % 40 IN (0, 3) AND p_partkey % 5 = 0 AS decided FROM part)
+SELECT reason, count(*) AS n, count(*) FILTER (WHERE brand IN (SELECT brand_slug FROM bag)) AS in_catalogue, count(*) FILTER (WHERE decided) AS decided FROM r GROUP BY 1""")
+def h16(spark, d):
+    part = B.table(spark, d, "part")
+    url = "'https://shop.example.com/products/item-' || CAST(p_partkey AS STRING)"
+    rejects = part.selectExpr("CASE WHEN p_partkey % 2 = 0 THEN 'unclassified' ELSE 'not-a-bag' END AS reason",
+                              "'brand-' || CAST(p_partkey % 40 AS STRING) AS brand_slug", f"{url} AS url")
+    rulings = part.where("p_partkey % 40 IN (0, 3) AND p_partkey % 5 = 0").selectExpr(
+        "'brand-' || CAST(p_partkey % 40 AS STRING) AS brand", f"{url} AS url").select("brand", S.product_key(F.col("url")).alias("key"))
+    return H.reject_audit(rejects, _bags(spark, d), rulings)
+
+
+@query("h16_admitted", "bag", """
+SELECT brand_slug AS brand, id FROM bag WHERE pk % 7 = 0""")
+def h16b(spark, d):
+    bags = _bags(spark, d)
+    rulings = bags.where("pk % 7 = 0").select(F.col("brand_slug").alias("brand"), S.product_key(F.col("url")).alias("key"), F.lit("pouch").alias("value"))
+    return H.admitted(bags, rulings).select("brand", "id")
+
+
 @query("h15_ruling_check", ("bag", "variant"), f"""
 WITH {RULED}, n AS (SELECT b.brand_slug AS brand, lower(v.color) AS key, v.color_family FROM variant v
   JOIN bag b ON v.bag_id = b.id)

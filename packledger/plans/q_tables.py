@@ -100,6 +100,28 @@ def s08(spark, d):
     return IO.read_cache(spark, path)
 
 
+@query("s10_read_airlines", (), """
+SELECT 'Carrier ' || CAST(n_nationkey AS STRING) AS name, CASE WHEN n_nationkey % 3 > 0 THEN CAST(50 + n_nationkey AS STRING) || ',40,20' END AS carry_on,
+  CASE WHEN n_nationkey % 3 = 0 THEN CAST(115 AS INT) END AS linear FROM nation""")
+def s10(spark, d):
+    path = scratch_path(spark, "airlines")
+    one = B.table(spark, d, "nation").selectExpr("'Carrier ' || CAST(n_nationkey AS STRING) AS name", "n_name AS region",
+        "CASE WHEN n_nationkey % 3 > 0 THEN array(50 + n_nationkey, 40, 20) END AS carry_on_cm", "CASE WHEN n_nationkey % 3 = 0 THEN 115 END AS carry_on_linear_cm")
+    doc = one.agg(F.to_json(F.struct(F.collect_list(F.struct(*one.columns)).alias("airlines"))).alias("value"))
+    doc.write.text(path)
+    return IO.read_airlines(spark, path).select("name", F.array_join(F.col("carry_on_cm").cast("array<string>"), ",").alias("carry_on"), F.col("carry_on_linear_cm").alias("linear"))
+
+
+@query("s16_read_pages", (), "SELECT count(*) AS files, count(DISTINCT html) AS pages, sum(length(html))::BIGINT AS chars FROM pages")
+def s16(spark, d):
+    path = scratch_path(spark, "stored")
+    pages = B.table(spark, d, "pages").select(F.replace("html", F.lit("\r"), F.lit("")).alias("value"))
+    # a file for each of some tasks; the reader opens gzip and takes a file as one page
+    pages.repartition(4).write.option("compression", "gzip").option("lineSep", "\x1e").text(path)
+    got = IO.read_pages(spark, path).select(F.explode(F.split("html", "\x1e")).alias("html")).where("html <> ''")
+    return got.agg(F.count(F.lit(1)).alias("files"), F.countDistinct("html").alias("pages"), F.sum(F.length("html")).alias("chars"))
+
+
 @query("s11_read_fx", (), """
 SELECT DATE '2026-01-05' AS date, CASE n_nationkey WHEN 0 THEN 'USD' ELSE chr(65 + n_nationkey) || 'AA' END AS currency, round((n_nationkey + 2) / 2.0::DOUBLE, 6) AS per_usd FROM nation WHERE n_nationkey < 20
 UNION ALL SELECT DATE '2026-01-05', 'EUR', 0.5""")
@@ -363,12 +385,26 @@ def t09(spark, d):
 
 @query("r01_build_catalogue")
 def r01(spark, d):
-    from .q_models import _raw
+    from .q_models import raws
+    from .q_reports import colour_rulings
+    raw, money = raws(spark, d)
+    out = R.build_catalogue(raw, money, colour_rulings(spark), B.rates(spark))
+    return out.bags.groupBy("source").agg(F.count(F.lit(1)).alias("bags"), F.sum("variant_count").alias("skus"), F.countDistinct("slug").alias("slugs"))
+
+
+@query("r01_rejects", (), """
+WITH r AS (SELECT CASE p_partkey % 8 WHEN 2 THEN 'not-a-bag' WHEN 7 THEN 'not-a-bag:product-type' ELSE CASE WHEN p_partkey % 7 = 1 THEN 'unclassified:known-bag' ELSE 'unclassified' END END AS reason
+  FROM part WHERE p_partkey % 40 <> 12 AND (p_partkey % 8 IN (2, 7) OR (p_partkey % 8 = 4 AND p_partkey % 5 <> 0 AND p_partkey % 3 <> 0)) UNION ALL
+ SELECT CASE p_partkey % 4 WHEN 1 THEN 'not-a-bag:climbing' ELSE 'not-a-bag:breadcrumb' END FROM part WHERE p_partkey % 4 IN (1, 2) UNION ALL
+ SELECT CASE p_partkey % 4 WHEN 1 THEN 'not-a-bag:de' ELSE 'unclassified' END FROM part WHERE p_partkey % 4 IN (1, 3))
+SELECT reason, count(*) AS n FROM r GROUP BY 1""")
+def r01b(spark, d):
+    from .q_models import raws
     from .q_reports import colour_rulings
-    from . import q_models as Q
-    part = Q._all(spark, d)
-    bags, variants, _ = R.M.build(part.bags, part.variants, B.rates(spark))
-    return bags.groupBy("source").agg(F.count(F.lit(1)).alias("bags"), F.sum("variant_count").alias("skus"), F.countDistinct("slug").alias("slugs"))
+    raw, money = raws(spark, d)
+    picked = {k: raw[k] for k in ("shopify", "aggregator", "magento")}
+    out = R.N.normalize_all(picked, money, colour_rulings(spark))
+    return out.rejects.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("r02_enrich", "bag", """
@@ -397,16 +433,29 @@ def r03(spark, d):
     return _run(spark, d)[2].meta
 
 
-@query("r04_gate_and_publish")
+@query("r04_gate_and_publish", ("bag", "variant"), """
+SELECT part, blocking, published, CASE WHEN published THEN (SELECT count(*) FROM bag) ELSE 0 END AS bags, (SELECT count(*) FROM variant) AS state_rows
+FROM (VALUES ('same', FALSE, TRUE), ('shrunk', TRUE, FALSE)) t(part, blocking, published)""")
 def r04(spark, d):
+    """A catalogue published over itself, and one that was three times as large before."""
     from .q_reports import NOW, _log, _roster
-    bags, v, run = _run(spark, d)
+    _, v, run = _run(spark, d)
     allowed = spark.createDataFrame([], "brand_slug string")
-    gate = R.gate(bags, _log(spark, d), _roster(spark), bags, allowed, NOW)
-    path = scratch_path(spark, "publish")
-    published = R.publish(run, v, gate.verdict, path, "2001-12-01")
-    return gate.verdict.withColumn("published", F.lit(published)).withColumn(
-        "state_rows", F.lit(IO.load_state(spark, f"{path}/state").count()))
+    # a catalogue without faults of its own: the comparison alone decides
+    bags = B.bags(spark, d).withColumns({"slug": F.concat_ws("-", "slug", "pk"), "split_from": F.lit(None).cast("string")})
+    log = _log(spark, d).withColumn("fail_streak", F.lit(0))
+    more = bags.withColumn("id", F.explode(F.array("id", F.concat("id", F.lit("-b")), F.concat("id", F.lit("-c")))))
+    out = None
+    for part, base in (("same", bags), ("shrunk", more)):
+        verdict = R.gate(bags, log, _roster(spark), base, allowed, NOW).verdict
+        path = scratch_path(spark, "publish")
+        published = R.publish(run, v, verdict, path, "2001-12-01")
+        kept = IO.read_catalogue(spark, f"{path}/catalogue", "bags")
+        row = verdict.select(F.lit(part).alias("part"), "blocking", F.lit(published).alias("published"),
+                             F.lit(kept.count() if kept is not None else 0).cast("bigint").alias("bags"),
+                             F.lit(IO.load_state(spark, f"{path}/state").count()).cast("bigint").alias("state_rows"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("r05_alert_run", ("ledger", "bag", "subscription"), f"""
