@@ -200,11 +200,14 @@ def colour_family(df: DataFrame, rulings: DataFrame, brand: str, name: str,
                   out: str = "color_family") -> DataFrame:
     """Reviewed ruling first (a null ruling included), then the words of the name.
 
-    The words are read once per distinct name, not once per variant.
+    The words are read once per distinct name, not once per variant.  Variants
+    without a name say nothing; each gets a key of its own, so they do not meet.
     """
-    names = df.select(name).distinct().withColumn("__words", family_of_words(F.col(name)))
-    df = df.join(names.withColumnRenamed(name, "__n"), F.col(name).eqNullSafe(F.col("__n")),
-                 "left").drop("__n")
+    names = df.select(F.col(name).alias("__n")).where("__n is not null").distinct().withColumn(
+        "__words", family_of_words(F.col("__n")))
+    nameless = F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))
+    df = df.withColumn("__key", F.coalesce(F.col(name), nameless)).join(
+        names, F.col("__key") == F.col("__n"), "left").drop("__n", "__key")
     df = with_ruling(df, rulings, brand, S.norm_key(F.col(name)), "__fam")
     return df.withColumn(out, F.when(F.col("__fam_ruled"), F.col("__fam"))
                          .otherwise(F.col("__words"))).drop("__fam", "__fam_ruled", "__words")
