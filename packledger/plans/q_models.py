@@ -149,8 +149,8 @@ def n02b(spark, d):
 
 def _raw_aggregator(spark, d):
     df = _raw(spark, d, url=f"'https://agg.example.com/x/item-' || {K('p_partkey')} || '.html'",
-              breadcrumbs="CASE p_partkey % 4 WHEN 1 THEN array('Petzl', 'Climb', 'Petzl Climb') WHEN 2 THEN array('Clothing', 'Jackets') ELSE array('Packs') END",
-              product=f"""'{{"@type":"Product","name":"' || p_name || CASE p_partkey % 4 WHEN 2 THEN '' ELSE ' Sling' END || '","brand":{{"name":"Petzl"}},"description":"Holds ' ||
+              breadcrumbs="CASE p_partkey % 4 WHEN 1 THEN array('Ravel', 'Climb', 'Ravel Climb') WHEN 2 THEN array('Clothing', 'Jackets') ELSE array('Packs') END",
+              product=f"""'{{"@type":"Product","name":"' || p_name || CASE p_partkey % 4 WHEN 2 THEN '' ELSE ' Sling' END || '","brand":{{"name":"Ravel"}},"description":"Holds ' ||
                 CASE p_partkey % 4 WHEN 3 THEN '1,710 cu in' ELSE {K('p_size')} || ' liters' END || '. 22in x 13in x 9in. 2 lbs","image":["https://i.example.com/1"],"offers":{{"price":"' ||
                 {K('p_partkey + 5')} || '","sku":"A","availability":"http://schema.org/InStock"}}}}'""").drop("brand_name", "brand_slug")
     return df
@@ -161,7 +161,7 @@ def _aggregator(spark, d):
 
 
 @query("n03_aggregator_bags", (), f"""
-SELECT 'aggregator__item-' || {K('p_partkey')} AS id, 'petzl' AS brand_slug, 'sling' AS category, CASE WHEN p_partkey % 4 = 3 THEN 28.0 ELSE p_size END::DOUBLE AS volume_l,
+SELECT 'aggregator__item-' || {K('p_partkey')} AS id, 'ravel' AS brand_slug, 'sling' AS category, CASE WHEN p_partkey % 4 = 3 THEN 28.0 ELSE p_size END::DOUBLE AS volume_l,
  CASE WHEN p_partkey % 4 = 3 THEN 'aggregator:cubic-inches' ELSE 'aggregator:description' END AS volume_source, CAST(907 AS INT) AS weight_g,
  'aggregator:description:in' AS dims_source, (p_partkey + 5)::DOUBLE AS price_min, 'https://i.example.com/1' AS image FROM part WHERE p_partkey % 4 IN (0, 3)""")
 def n03(spark, d):
@@ -293,7 +293,7 @@ def raws(spark, d):
 @query("n07_normalize_all", (), f"""
 WITH {SHOP}, {FEED}, g AS (SELECT b, name, sz, count(*) AS skus FROM f GROUP BY ALL),
 x AS (SELECT 'shopify:products.json' AS source, 'brand-' || CAST(p_partkey % 25 AS STRING) AS b, m + 1 AS skus FROM shop WHERE category IS NOT NULL UNION ALL
- SELECT 'sku-feed:products', b, skus FROM g UNION ALL SELECT 'aggregator:jsonld', 'petzl', 1 FROM part WHERE p_partkey % 4 IN (0, 3) UNION ALL
+ SELECT 'sku-feed:products', b, skus FROM g UNION ALL SELECT 'aggregator:jsonld', 'ravel', 1 FROM part WHERE p_partkey % 4 IN (0, 3) UNION ALL
  SELECT 'woocommerce:store-api', 'brand-' || CAST(p_partkey % 25 AS STRING), 1 FROM part WHERE p_partkey % 3 = 0 OR (p_partkey % 3 = 1 AND p_partkey % 2 = 0) UNION ALL
  SELECT 'magento:graphql', 'brand-' || CAST(p_partkey % 25 AS STRING), 2 FROM part WHERE p_partkey % 4 IN (0, 2) UNION ALL
  SELECT 'pages:crawl', 'site-brand-' || CAST(p_partkey % 25 AS STRING), CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END FROM part)

@@ -51,11 +51,11 @@ SELECT p_partkey AS k, CASE p_partkey % 5 WHEN 4 THEN NULL ELSE CAST(p_size AS D
 def x03(spark, d):
     n = K("p_size")
     return _read(spark, d, f"""CASE p_partkey % 5
-      WHEN 0 THEN 'Comes with a 2L Reservoir. Capacity: ' || {n} || ' L'
-      WHEN 1 THEN 'Fits Session 96L, Drafter 98L, Drafter 94L. Volume ' || {n} || 'L'
-      WHEN 2 THEN 'fits under most airline seats and offers ' || {n} || ' liters of organized space'
-      WHEN 3 THEN 'designed for the traveler this versatile ' || {n} || 'L bag'
-      ELSE 'can be easily attached to or removed from our Iterus ' || {n} || 'L' END""", T.volume_bag)
+      WHEN 0 THEN 'Ships with a 2L Reservoir. Capacity: ' || {n} || ' L'
+      WHEN 1 THEN 'Fits Harbour 96L, Quarry 98L, Quarry 94L. Volume ' || {n} || 'L'
+      WHEN 2 THEN 'slides under a seat and offers ' || {n} || ' liters of tidy space'
+      WHEN 3 THEN 'made for weekends this plain ' || {n} || 'L bag'
+      ELSE 'can be easily attached to or removed from our Quarry ' || {n} || 'L' END""", T.volume_bag)
 
 
 @query("x04_volume_cuin", (), """
@@ -362,13 +362,12 @@ def x25(spark, d):
 
 
 @query("x26_reparse", (), """
-SELECT CAST(count(*) FILTER (WHERE p_partkey % 2 = 0) AS BIGINT) AS reparsed, CAST(count(*) FILTER (WHERE p_partkey % 2 = 1 AND p_partkey % 3 = 0) AS BIGINT) AS unreachable,
- CAST(count(*) FILTER (WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0) AS BIGINT) AS n FROM part""")
+SELECT 'pg' || CAST(p_partkey AS STRING) AS page_key, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_partkey + 4000000 AS STRING) ELSE 'old' END AS gtin,
+ p_partkey % 2 = 0 AS reparsed, p_partkey % 2 = 1 AS unreachable FROM part""")
 def x26(spark, d):
     pages = _product_pages(spark, d)
-    cache = pages.where("k % 3 = 0").select("page_key", F.lit("old").alias("gtin"))
-    out = P.reparse(pages.where("k % 2 = 0").select("page_key", "html"), cache)
-    return out.agg(F.count_if("reparsed").alias("reparsed"), F.count_if("unreachable").alias("unreachable"), F.count(F.lit(1)).alias("n"))
+    cache = pages.where("k % 2 = 1 OR k % 3 = 0").select("page_key", F.lit("old").alias("gtin"))
+    return P.reparse(pages.where("k % 2 = 0").select("page_key", "html"), cache).select("page_key", "gtin", "reparsed", "unreachable")
 
 
 @query("x27_page_outcome", (), """
@@ -436,9 +435,9 @@ def c04(spark, d):
 
 @query("c05_climb_veto", (), "SELECT p_partkey AS k, p_partkey % 3 = 0 AS v FROM part")
 def c05(spark, d):
-    df = _part(spark, d, y="CASE WHEN p_partkey % 3 = 1 THEN 'Climb On' ELSE 'Petzl' END", c="CASE WHEN p_partkey % 3 = 2 THEN 'daypack' ELSE 'sling' END")
+    df = _part(spark, d, y="CASE WHEN p_partkey % 3 = 1 THEN 'Climb On' ELSE 'Ravel' END", c="CASE WHEN p_partkey % 3 = 2 THEN 'daypack' ELSE 'sling' END")
     crumbs = F.when(F.col("k") % 3 == 1, F.array(F.lit("Camp & Hike"), F.lit("Climb On Camp & Hike"))).otherwise(
-        F.array(F.lit("Petzl"), F.lit("Climb"), F.lit("Petzl Climb")))
+        F.array(F.lit("Ravel"), F.lit("Climb"), F.lit("Ravel Climb")))
     return df.select("k", C.climb_veto(F.col("c"), F.array_join(C.shelf_crumbs(crumbs, F.col("y")), " ")).alias("v"))
 
 
