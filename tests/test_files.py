@@ -76,5 +76,28 @@ def test_worklist_round_trip(spark, tmp_path):
 def test_lookup_bounds(spark):
     df = spark.createDataFrame([("a",), ("b",)], "id string")
     assert [(r.id, r.place) for r in IO.lookup(df, ["b", "x", "a", "b"]).collect()] == [("b", 0), ("a", 2), ("b", 3)]
-    with pytest.raises(ValueError):
-        IO.lookup(df, [])
+    assert IO.lookup(df, []).count() == 0
+    many = IO.lookup(df, ["a"] * 500)
+    assert many.count() == 500
+    asked = spark.createDataFrame([("b", 7)], "id string, place int")
+    assert [(r.id, r.place) for r in IO.lookup(df, asked).collect()] == [("b", 7)]
+
+
+def test_a_lost_run_is_passed_over(spark, tmp_path):
+    path = str(tmp_path / "state")
+    df = spark.createDataFrame([("a", 1.0)], "key string, price double")
+    IO.save_state(df, path, "1")
+    IO.save_state(df.withColumn("price", df.price + 1), path, "2")
+    (tmp_path / "state" / "run=2" / "_SUCCESS").unlink()  # as a lost job leaves it
+    assert [r.price for r in IO.load_state(spark, path).collect()] == [1.0]
+    IO.write_catalogue(df, df, df, str(tmp_path / "c"), "1")
+    IO.write_catalogue(df.limit(0), df, df, str(tmp_path / "c"), "2")
+    (tmp_path / "c" / "run=2" / "meta" / "_SUCCESS").unlink()
+    assert IO.read_catalogue(spark, str(tmp_path / "c"), "bags").count() == 1
+
+
+def test_a_repeated_run_replaces_its_ledger_rows(spark, tmp_path):
+    rows = spark.sql("select timestamp_ntz'2026-01-02 00:00:00' as ts, 'a' as bag_id, 1.0D as price, 1L as ord")
+    for run in ("1", "2", "2"):
+        IO.append_ledger(rows, str(tmp_path / "l"), run)
+    assert spark.read.parquet(str(tmp_path / "l")).count() == 2

@@ -120,7 +120,9 @@ def test_lifted_and_every_of_facets(spark):
     assert [count("laptopMin=16")["laptop", str(n)] for n in (13, 16)] == [3, 3]
     assert W.totals(W.marked(base, W.parse_filter("volMin=0"))).first().total == 2
     assert W.parse_filter("per=60&scope=brand:x").scope == ("brand", "x")
-    for bad in ("per=0", "per=101", "scope=brand:", "scope=shop:x"):
+    assert W.parse_filter("per=5000").per == 5000
+    assert len(W.parse_filter("fav=" + ",".join(f"x__{i}" for i in range(200))).fav) == 200
+    for bad in ("per=0", "per=x", "scope=brand:", "scope=shop:x"):
         with pytest.raises(ValueError):
             W.parse_filter(bad)
 

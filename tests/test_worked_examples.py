@@ -12,7 +12,7 @@ def test_volume(ev):
 
 
 def test_bag_volume(ev):
-    assert ev(T.volume_bag, "Octane 16 with Fusion 2L Reservoir",
+    assert ev(T.volume_bag, "Quarry 16 with Pebble 2L Reservoir",
               "Capacity: 20 liters  Hydration Bladder Capacity: No",
               "can be easily attached to or removed from our Iterus 38L",
               "Fits Session 16L, Drafter 18L, Drafter 14L", "fits laptops up to 16in\nCapacity: 24 L",
@@ -85,3 +85,32 @@ def test_taxonomy_and_shelves(ev):
     veto = lambda c: C.climb_veto(F.lit("sling"), F.array_join(C.shelf_crumbs(
         F.array(F.lit("Climb On"), c), F.lit("Climb On")), " "))
     assert ev(veto, "Camp & Hike", "Climb") == [False, True]
+
+
+def test_figures_outside_the_plausible_range_are_harmless(spark):
+    from packledger.functions import scalars as S
+    rows = [("500 cm", "40 cm"), ("999 in", "10 in"), ("450", "30"), ("50 cm", "30 cm")]
+    df = spark.createDataFrame([([["Height", "Width"], list(r)],) for r in rows], "t array<array<string>>").select(
+        T.table_specs(F.array("t")).alias("s"))
+    assert [None if r.s is None else r.s.dims for r in df.collect()] == [None, None, None, [50.0, 30.0]]
+    w = spark.sql("select explode(array(100000.0D, 1234.0D, 999999999.0D)) as g").select(S.weight_text(F.col("g"))).collect()
+    assert [r[0] for r in w] == ["100.00 kg", "1.23 kg", "1000000.00 kg"]
+    d = spark.sql("select array(500.0D, 40.25D) as d").select(S.dims_text(F.col("d"))).first()[0]
+    assert d == "500.0 × 40.3 cm"
+
+
+def test_digest_has_no_limits(spark):
+    from packledger.operators import markup
+    page = ("<img src='/i.jpg'>" * 60 + "<table><tr><td>1</td></tr></table>" * 20 + "<dl>" + "<dt>a<dd>b" * 150 + "</dl><p>"
+            + "word " * 10_000 + "</p>Capacity 33 L")
+    d = markup.digest(page)
+    assert (len(d["images"]), len(d["tables"]), len(d["pairs"])) == (60, 20, 150)
+    assert d["text"].endswith("Capacity 33 L") and len(d["text"]) > 50_000
+    deep = "[" * 5000 + "]" * 5000
+    assert markup.parsed("{broken") is None and markup.spec_lines(deep) == [] and markup.spec_lines("{}") == []
+    nested = {"size": "1 L"}
+    for _ in range(300):
+        nested = {"x": [nested]}
+    import json
+    assert markup.spec_lines(json.dumps(nested)) == ["size: 1 L"]
+    assert markup.product_and_trail(["{broken", '{"@graph": [{"@type": ["Product"], "name": "x"}]}'])[0] is not None
