@@ -1,6 +1,9 @@
 """Session settings, tables and written intermediates shared by the operators."""
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 
 from packledger.durable import scratch_path
@@ -39,3 +42,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
             name += "_"
         out.append(name)
     return out
+
+
+_KEPT: dict[tuple, Any] = {}
+
+
+def kept(operator: str, key: str, make: Callable[[], Any]) -> Any:
+    """What an operator keeps in a worker process between tasks, made once.
+
+    Workers serve one operator after another; what the one before kept is let go.
+    """
+    if (operator, key) not in _KEPT:
+        for old in [k for k in _KEPT if k[0] != operator]:
+            del _KEPT[old]
+        _KEPT[operator, key] = make()
+    return _KEPT[operator, key]

@@ -31,9 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import kept
+
 #: Labelled rows asked for per language, and symbols of text kept of each and in all.
 SAMPLE_ROWS, SAMPLE_OF_ROW, SAMPLE = 300, 1000, 40_000
 WINDOW = 512
+#: Characters parsed together, about: whole texts, at least one.
+AT_ONCE = 1 << 20
 #: Symbol classes: 0 pads, 1 is a gap, 2 is a letter outside the sample.
 PAD, GAP, OTHER = 0, 1, 2
 UNKNOWN = "und"
@@ -131,7 +135,6 @@ def _letters() -> np.ndarray:
 
 
 _IS_LETTER: np.ndarray | None = None
-_DENSE: dict[str, tuple] = {}
 
 
 def build(samples: dict[str, list[str]], sample: int = SAMPLE) -> Model:
@@ -244,7 +247,14 @@ def classify(texts: list[str | None], model: Model, dense: tuple) -> tuple[list[
     """
     if not model.languages:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
-    total, sizes, seen = phrases(texts, dense)
+    cuts, held = [0], 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held > AT_ONCE and i > cuts[-1]:
+            cuts.append(i)
+            held = len(t or "")
+    parts = [phrases(texts[a:b], dense) for a, b in zip(cuts, [*cuts[1:], len(texts)])]
+    total, sizes, seen = (np.concatenate(x) for x in zip(*parts))
     rate = total / np.maximum(sizes, 1)[:, None]
     best = np.argmin(rate, axis=1)
     ranked = np.sort(rate, axis=1)
@@ -259,10 +269,7 @@ def classify(texts: list[str | None], model: Model, dense: tuple) -> tuple[list[
 def _ready(shared) -> tuple[Model, tuple]:
     """The model and its dense tables, made once in a worker process."""
     model = shared.value
-    if model.key not in _DENSE:
-        _DENSE.clear()
-        _DENSE[model.key] = model.tables() if model.languages else ()
-    return model, _DENSE[model.key]
+    return model, kept("langid", model.key, lambda: model.tables() if model.languages else ())
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -61,9 +61,9 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: i
                     out.append((doc, k, at, n, ids[4 * at:4 * (at + n)], lane % LANES))
                     lane += 1
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32()]
-            if out:
+            for at in range(0, len(out), 500):  # a piece is bounded, so these batches are
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                    [pa.array(c, t) for c, t in zip(zip(*out[at:at + 500]), kinds)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids binary, lane int")
@@ -175,8 +175,15 @@ def sequences(placed: DataFrame) -> DataFrame:
 
 
 def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, piece, start, length, ids, sequence_id, offset) of every piece of ``docs``."""
-    return place(written(pieces(docs, path, size, end_id), "pieces"), size)
+    """(doc_id, piece, start, length, ids, sequence_id, offset) of every piece of ``docs``.
+
+    The ids stay in the stored pieces while places are found, and are joined to them.
+    """
+    made = pieces(docs, path, size, end_id).withColumn("row", F.monotonically_increasing_id())
+    stored = written(made, "pieces")
+    placed = place(stored.drop("ids"), size)
+    return placed.join(stored.select("row", "ids"), "row").select(
+        "doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
 
 
 def digests(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: int = END_ID) -> DataFrame:

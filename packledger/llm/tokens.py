@@ -7,8 +7,10 @@ from itertools import chain
 
 import numpy as np
 
+from .common import kept
+
 #: Words after which a worker process starts a new store; the one before is kept for look-ups.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 # White space as the tokenizer's own splitting pattern sees it, the
 # letters of Latin script below U+0100, and marks that always end a run of letters.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -18,9 +20,6 @@ _MARKS = frozenset(".,;:!?|$%&*#()\"")
 _PIECE = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _INNER_SPACE = re.compile(rf"\n?[^{_SPACE}]*[{_SPACE}]")
 
-_LOADED: dict[str, "Encoder"] = {}
-
-
 def default_path() -> str:
     import public_tokenizers
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -107,6 +106,4 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """One encoder per file in a worker process."""
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+    return kept("tokens", path, lambda: Encoder(path))
