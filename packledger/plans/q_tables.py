@@ -443,7 +443,7 @@ def r04(spark, d):
     allowed = spark.createDataFrame([], "brand_slug string")
     # a catalogue without faults of its own: the comparison alone decides
     bags = B.bags(spark, d).withColumns({"slug": F.concat_ws("-", "slug", "pk"), "split_from": F.lit(None).cast("string")})
-    log = _log(spark, d).withColumn("fail_streak", F.lit(0))
+    log = _log(spark, d).withColumns({"fail_streak": F.lit(0), "fetched_at": F.lit(NOW).cast("timestamp_ntz")})
     more = bags.withColumn("id", F.explode(F.array("id", F.concat("id", F.lit("-b")), F.concat("id", F.lit("-c")))))
     out = None
     for part, base in (("same", bags), ("shrunk", more)):
