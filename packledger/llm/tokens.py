@@ -10,7 +10,7 @@ import numpy as np
 from .common import kept
 
 #: Words after which a worker process starts a new store; the one before is kept for look-ups.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 # White space as the tokenizer's own splitting pattern sees it, the
 # letters of Latin script below U+0100, and marks that always end a run of letters.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -47,12 +47,12 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _runs(self, runs: list[str]) -> list[bytes]:
-        """Ids of runs of letters, each after a space, many in one call."""
-        # a line end after each run marks where its ids end: no run of letters gives that id
-        marked = ["\n"] * (2 * len(runs))
-        marked[::2] = [" " + r for r in runs]
-        e = self.letters.encode_batch_fast([marked], add_special_tokens=False, is_pretokenized=True)[0]
+    def _many(self, tokenizer, texts: list[str]) -> list[bytes]:
+        """Ids of texts without a line end, many in one call."""
+        # a line end after each text marks where its ids end: nothing else gives that id
+        marked = ["\n"] * (2 * len(texts))
+        marked[::2] = texts
+        e = tokenizer.encode_batch_fast([marked], add_special_tokens=False, is_pretokenized=True)[0]
         got = np.array(e.ids, "<u4")
         raw, stops = got.tobytes(), (4 * np.flatnonzero(got == self.stop)).tolist()
         return [raw[a:b] for a, b in zip([0, *(x + 4 for x in stops)], stops)]
@@ -77,10 +77,11 @@ class Encoder:
         new = list(runs)
         for at in range(0, len(new), 5000):
             part = new[at:at + 5000]
-            known.update(zip(part, self._runs(part)))
+            known.update(zip(part, self._many(self.letters, [" " + w for w in part])))
         for at in range(0, len(others), 5000):
             part = others[at:at + 5000]
-            known.update(zip(part, self._plain([w if w[0] == "\n" else " " + w for w in part])))
+            ids = self._many(self.tokenizer, [w[1:] if w[0] == "\n" else " " + w for w in part])
+            known.update((w, self.line_end + i if w[0] == "\n" else i) for w, i in zip(part, ids))
         for w in marked:
             known[w] = known[w[:-1]] + self.marks[w[-1]]
 
