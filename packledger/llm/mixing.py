@@ -11,7 +11,8 @@ is worked out and every block finds its slot by a join on its place in the perio
 A block is one row.  Rows of a source are taken in the order of a hash of their
 doc_id.  All rows are given a slot; ``in_mix`` says whether the slot lies within
 the horizon up to which every source still has blocks, which is the part of the
-schedule that holds the weights.
+schedule that holds the weights.  ``in_order`` gives all rows: a source that has
+run dry leaves its slots empty, and the others go on at their weights.
 
 Scale: DataFrame functions only.  Rows are numbered within (source, bucket of
 the hash) and the counts of the buckets before are added, so a hot source is
@@ -116,14 +117,28 @@ def schedule(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
         given = weights.select(source_key(F.col("source").cast("string")).alias("src"), F.col("q").cast("long").alias("q"))
         sizes = sizes.drop("q").join(given, "src")
     k, q, total = F.col("k"), F.col("q"), F.col("period_slots")
-    placed = numbered(rows).join(period(sizes), "src").withColumn(
-        "slot", F.floor(k / q) * total + F.element_at("slots", (k % q + 1).cast("int")))
-    return placed.select(
+    return _placed(rows, period(sizes)).select(
         "doc_id", "source", k.alias("block"), q.alias("weight"), "period_slots",
         F.floor(k * total / q).alias("release_at"), F.ceil((k + 1) * total / q).alias("due_at"),
         "slot", (F.col("slot") < F.col("horizon")).alias("in_mix"))
 
 
+def _placed(rows: DataFrame, periods: DataFrame) -> DataFrame:
+    """The numbered rows with their source's period and their ``slot``."""
+    k, q, total = F.col("k"), F.col("q"), F.col("period_slots")
+    return numbered(rows).join(periods, "src").withColumn(
+        "slot", F.floor(k / q) * total + F.element_at("slots", (k % q + 1).cast("int")))
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """All rows of ``docs``, whole, in the order of their slots under tempered weights."""
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.col("doc_id").cast("long").alias("doc_id"),
+        source_key(F.col("source").cast("string")).alias("src"), spot(F.col("doc_id")).alias("spot"))
+    periods = written(period(tempered(rows)), "mix-period")  # its stored size decides how it is joined
+    return _placed(rows, periods).orderBy("slot").select("whole.*")
+
+
 def mixed(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs``, whole, that lie in the mix.
 
