@@ -6,7 +6,9 @@ The lexer reads assignments as they stand in source and configuration files
 ``--name=literal``), keeps the constants it has seen, follows names through
 other names to the literals behind them, and scores a literal by the names it
 ends up in.  A literal that reaches the threshold is added as kind ``named``
-unless a pattern's match covers it.
+unless a pattern's match covers it; where no piece of a concatenation reaches it
+alone, the pieces are scored as one value and added together.  A word is a
+reference if the text assigns that name, digits or not.
 
 Spans are code points, end exclusive.  One pass over the texts, no shuffle.
 
@@ -85,29 +87,48 @@ def literal_score(literal: str) -> float:
 
 
 def pairs(text: str):
-    """(name, literals, references) of each assignment; a literal is (start, end)."""
-    for m in _PAIR.finditer(text):
-        literals, references = [], []
+    """(name, terms) of each assignment; a term is a literal's (start, end) or the name it refers to."""
+    found = list(_PAIR.finditer(text))
+    assigned = {m["name"] for m in found}
+    for m in found:
+        terms: list[tuple[int, int] | str] = []
         for t in _TERMS.finditer(text, m.start("value"), m.end("value")):
             word = t[0]
+            r = _REFERENCE.fullmatch(word)
+            name = (r[1] or r[2]) if r else word
             if word[0] in "\"'":
-                literals.append((t.start() + 1, t.end() - 1))
-            elif (r := _REFERENCE.fullmatch(word)) and not any(c.isdigit() for c in word):
-                references.append(r[1] or r[2])
+                terms.append((t.start() + 1, t.end() - 1))
+            elif name in assigned or r and not any(c.isdigit() for c in word):
+                terms.append(name)
             else:
-                literals.append(t.span())
-        yield m["name"], literals, references
+                terms.append(t.span())
+        yield m["name"], terms
+
+
+def folded(terms: list, held: dict[str, list[list]]) -> list[tuple[int, int]]:
+    """The literals that an assignment's terms put together, in order; a name stands for its last value.
+
+    A literal or name met again is not put in again, so a value is no longer than its text.
+    """
+    out: dict[tuple[int, int], None] = {}
+    seen, todo = set(), list(reversed(terms))
+    while todo:
+        t = todo.pop()
+        if not isinstance(t, str):
+            out[t] = None
+        elif t in held and t not in seen:
+            seen.add(t)
+            todo.extend(reversed(held[t][-1]))
+    return list(out)
 
 
 def named_spans(text: str) -> list[tuple[int, int, str]]:
-    """Literals that a sensitive name holds, directly or through other names."""
+    """Literals that a sensitive name holds, directly, through other names or put together from pieces."""
     if "=" not in text and ":" not in text:
         return []
-    held: dict[str, list[tuple[int, int]]] = {}
-    refers: dict[str, list[str]] = {}
-    for name, literals, references in pairs(text):
-        held.setdefault(name, []).extend(literals)
-        refers.setdefault(name, []).extend(references)
+    held: dict[str, list[list]] = {}
+    for name, terms in pairs(text):
+        held.setdefault(name, []).append(terms)
     out = set()
     for name in held:
         weight = name_score(name)
@@ -115,15 +136,20 @@ def named_spans(text: str) -> list[tuple[int, int, str]]:
             continue
         reached, todo = {name}, [name]
         while todo:  # constants behind the name; a circle of names ends itself
-            for r in refers.get(todo.pop(), ()):
-                if r in held and r not in reached:
-                    reached.add(r)
-                    todo.append(r)
+            for terms in held[todo.pop()]:
+                for r in terms:
+                    if isinstance(r, str) and r in held and r not in reached:
+                        reached.add(r)
+                        todo.append(r)
+        alone = {t for r in reached for terms in held[r] for t in terms if not isinstance(t, str)
+                 and weight * literal_score(text[t[0]:t[1]]) >= THRESHOLD}
+        out |= alone
         for r in reached:
-            for a, b in held[r]:
-                if weight * literal_score(text[a:b]) >= THRESHOLD:
-                    out.add((a, b, "named"))
-    return sorted(out)
+            for terms in held[r]:
+                if len(terms) > 1 and alone.isdisjoint(pieces := folded(terms, held)) and \
+                        weight * literal_score("".join(text[a:b] for a, b in pieces)) >= THRESHOLD:
+                    out.update((a, b) for a, b in pieces if a < b)
+    return sorted((a, b, "named") for a, b in out)
 
 
 def spans(text: str | None) -> list[tuple[int, int, str]]:
