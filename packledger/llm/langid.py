@@ -29,12 +29,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import kept
+from .common import kept, written
 
-#: Labelled rows asked for per language, and symbols of text kept of each and in all.
+#: Distinct labelled texts asked for per language, and symbols of text kept of each and in all.
 SAMPLE_ROWS, SAMPLE_OF_ROW, SAMPLE = 300, 1000, 40_000
+#: Pieces that what is kept of a text is read in.
+PIECES = 8
 WINDOW = 512
 #: Characters parsed together, about: whole texts, at least one.
 AT_ONCE = 1 << 20
@@ -162,24 +164,27 @@ def held_out() -> Column:
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, of_row: int = SAMPLE_OF_ROW, sample: int = SAMPLE) -> Model:
     """Learn from (text, lang) rows.
 
-    The sample is bounded: about ``rows`` rows of each language, evenly by a hash
-    of the text, of each the first ``of_row`` characters, ``sample`` symbols in all.
+    Copies count once: of the distinct texts of each language, the first ``rows``
+    by hash are taken, all of them if there are fewer.  Of each up to ``of_row``
+    characters are read, in ``PIECES`` pieces spread over the text; pieces of all
+    texts take turns until there are ``sample`` symbols.
     """
-    known = labelled.where("lang is not null and text is not null").select("lang", "text")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return build({})
-    span = 1 << 30
-    share = F.lit(0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, int(span * min(1.0, rows / n))).otherwise(share)
-    spot = F.pmod(F.xxhash64("text"), F.lit(span))
-    picked = known.where(spot < share).select(
-        "lang", F.substring("text", 1, of_row).alias("text"), F.xxhash64("text").alias("h"))
-    by_lang: dict[str, list[str]] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
-        by_lang.setdefault(r["lang"], []).append(r["text"])
-    return build(by_lang, sample)
+    known = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
+    first = Window.partitionBy("lang").orderBy("h")
+    picked = known.select("lang", "h").distinct().withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= rows)
+    picked = written(picked.drop("nth"), "langid-picked")  # bounded; its stored size decides how it is joined
+    size = max(1, of_row // PIECES)
+    length = F.length("text")
+    last = F.greatest(F.lit(1), F.least(F.lit(PIECES), F.ceil(length / size))) - 1
+    spread = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.substring(
+        F.col("text"), (F.floor(i * (length - size) / F.greatest(last, F.lit(1))) + 1).cast("int"), F.lit(size)))
+    pieces = known.join(picked, ["lang", "h"], "left_semi").select("lang", "h", spread.alias("pieces"))
+    by_lang: dict[str, list[tuple]] = {}
+    for r in pieces.groupBy("lang", "h").agg(F.min("pieces").alias("pieces")).collect():
+        held = [x for x in r["pieces"] if x]
+        turn = r["h"] % max(1, len(held))  # not every text begins with its head
+        by_lang.setdefault(r["lang"], []).extend((i, r["h"], x) for i, x in enumerate(held[turn:] + held[:turn]))
+    return build({lang: [x for _, _, x in sorted(held)] for lang, held in by_lang.items()}, sample)
 
 
 def _symbols(texts: list[str | None], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
