@@ -29,6 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import kept, written
@@ -294,13 +295,25 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, whole, whose text has a language."""
+    """The rows of ``docs``, whole, whose text has a letter; a null ``lang`` becomes the predicted one.
+
+    With nothing learned the rows stay as they are, their languages null.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         known, dense = _ready(shared)
         for b in batches:
-            langs, _ = classify(b.column("text").to_pylist(), known, dense)
-            yield b.filter(pa.array([x != UNKNOWN for x in langs], pa.bool_()))
+            texts = b.column("text").to_pylist()
+            if known.languages:
+                langs, _ = classify(texts, known, dense)
+                lang = pa.array([x if x != UNKNOWN else None for x in langs], pa.string())
+                at = b.schema.get_field_index("lang")
+                seen = lang.is_valid()
+                filled = pc.coalesce(b.column(at), lang.cast(b.schema.field(at).type))
+                b = pa.RecordBatch.from_arrays([filled if i == at else c for i, c in enumerate(b.columns)], b.schema.names)
+            else:
+                seen = pa.array(_symbols(texts, np.full(_RARE, GAP, np.int32))[2], pa.bool_())
+            yield b.filter(seen)
 
     return docs.mapInArrow(run, docs.schema)
