@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import hnsw, langid, main_text, mixing, packing, pitman_yor, secret_scan, simhash, tokenfile, topk
+from . import dialogues, hnsw, langid, main_text, mixing, packing, pitman_yor, secret_scan, simhash, tokenfile, topk
 from .common import table
 
 
@@ -66,9 +66,15 @@ def op10_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and a digest of the repair of every conversation, damaged by a checksum first."""
+    conversations = table(spark, sf_dir, "conversations")
+    return dialogues.audited(conversations, dialogues.damaged(conversations))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language, op2_near_duplicates, op3_main_text, op4_source_mix, op5_token_files, op6_secrets, op7_lm_score,
-    op8_neighbours, op9_packing, op10_inner_products)}
+    op8_neighbours, op9_packing, op10_inner_products, op11_dialogue_repair)}
 
 #: Every query against every row, without bounds or shards.
 _PRODUCTS = """
