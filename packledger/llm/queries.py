@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import dialogues, hnsw, langid, main_text, mixing, packing, pitman_yor, secret_scan, simhash, tokenfile, topk
+from . import dialogues, harmonic, hnsw, langid, main_text, mixing, packing, pitman_yor, secret_scan, simhash, tokenfile, topk
 from .common import table
 
 
@@ -72,9 +72,15 @@ def op11_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogues.audited(conversations, dialogues.damaged(conversations))
 
 
+def op12_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences without padding."""
+    return harmonic.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language, op2_near_duplicates, op3_main_text, op4_source_mix, op5_token_files, op6_secrets, op7_lm_score,
-    op8_neighbours, op9_packing, op10_inner_products, op11_dialogue_repair)}
+    op8_neighbours, op9_packing, op10_inner_products, op11_dialogue_repair,
+    op12_harmonic_packing)}
 
 #: Every query against every row, without bounds or shards.
 _PRODUCTS = """
