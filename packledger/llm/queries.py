@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import dialogues, harmonic, hnsw, langid, main_text, mixing, packing, pitman_yor, secret_scan, simhash, tokenfile, topk
+from . import dialogues, harmonic, hnsw, langid, main_text, mixing, packing, pitman_yor, secret_scan, simhash, tokenfile, topk, walsh
 from .common import table
 
 
@@ -77,10 +77,15 @@ def op12_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors by their nearest entries of learned codebooks, with errors."""
+    return walsh.compressed(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language, op2_near_duplicates, op3_main_text, op4_source_mix, op5_token_files, op6_secrets, op7_lm_score,
     op8_neighbours, op9_packing, op10_inner_products, op11_dialogue_repair,
-    op12_harmonic_packing)}
+    op12_harmonic_packing, op13_vector_codes)}
 
 #: Every query against every row, without bounds or shards.
 _PRODUCTS = """
@@ -94,4 +99,4 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM pairs QUALIFY rank <= 5
 """
 
-ORACLE = {"op4_source_mix": mixing.SQL, "op10_inner_products": _PRODUCTS}
+ORACLE = {"op4_source_mix": mixing.SQL, "op10_inner_products": _PRODUCTS, "op13_vector_codes": walsh.SQL}
