@@ -109,7 +109,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: int
 
         for b in batches:
             placed: list[tuple] = []
-            for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):
+            for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text"))):
                 ids += end
                 total = len(ids) // 4
                 for at, n in cuts(total, size):

@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, end_id: i
         lane = TaskContext.get().partitionId() * 97
         for b in batches:
             out: list[tuple] = []
-            for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):
+            for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text"))):
                 ids += end
                 for k, (at, n) in enumerate(cuts(len(ids) // 4, size)):
                     out.append((doc, k, at, n, ids[4 * at:4 * (at + n)], lane % LANES))

@@ -153,7 +153,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int = E
             if not b.num_rows:
                 continue
             made = made or Writer(file)
-            for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist())):
+            for doc, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text"))):
                 made.add(doc, ids + end)
                 docs_in, ids_in = docs_in + 1, ids_in + len(ids) // 4 + 1
         if made:

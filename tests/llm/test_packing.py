@@ -43,6 +43,8 @@ def test_ids_equal_the_tokenizer_on_whole_texts(prepared):
     docs = [r["text"] for r in prepared.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     docs += ["a  b \n c\n\n d", "  x", "　 y z", "a\x1fb \x1f c", "<|endoftext|> k<|endoftext|>", "", None, "\t \n",
              "ab  c ’s it's  'll I'LL", "x\n", "\n", "a\nb\n\nc", "don't. (yes)!? 1,234.5% naïve­́ \U0001f600 a b",
+             "end### two$$$ !!! WORD!! word,### (word) a|b a<b [x]_{y} --- it's! 'tis ''quoted'' 3.14 x2y 2x \nStart\n(Next)\n###\n5th",
+             "пример текст слово слово, 日本語 mixed語 éa à̀b ßtraße ÿ ÷ × ªº µ", "a\n\nb\n \n c", "tab\there", "\nx", " \nx",
              "word.\n word,, \"q\" $5 &c; x.y z|", "a" * 3000]
     whole = Tokenizer.from_file(default_path())
     enc = Encoder(default_path())
