@@ -216,10 +216,14 @@ def locale_currency(locale: Column) -> Column:
     return F.when(F.size(parts) > 1, lookup(X.LOCALE_CURRENCY, F.try_element_at(parts, F.lit(-1))))
 
 
+def collated(col: Column) -> Column:
+    """Text that compares as a reader sorts it: accents and case only decide between equal letters."""
+    return F.collate(F.coalesce(col, F.lit("")), "UNICODE")
+
+
 def label_order(col: Column) -> list[Column]:
-    """Sort keys that list names opening with a digit after all the others."""
-    return [F.coalesce(col, F.lit("")).rlike(r"^[0-9]").asc(),
-            F.lower(F.coalesce(col, F.lit(""))).asc(), col.asc()]
+    """Sort keys that list names opening with a digit after all the others, each by collation."""
+    return [F.coalesce(col, F.lit("")).rlike(r"^[0-9]").asc(), collated(col).asc()]
 
 
 def labelled(table: dict, key: Column) -> Column:

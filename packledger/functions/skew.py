@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..durable import cut
+
 _B, _OFF = "__bucket", "__offset"
 
 
@@ -45,6 +47,30 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], bucket: Column
     return df.withColumn(name, F.row_number().over(here) + F.col(_OFF)).drop(_B, _OFF)
 
 
+#: What a task numbers at most 2 ** 33 rows with (``monotonically_increasing_id``).
+_IN_TASK = 33
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "rn") -> DataFrame:
+    """Exact 1-based position of every row inside its key, however keys and order values are spread.
+
+    Rows are dealt by sampled split points of (keys, order), so ranges are even
+    and a hot key is divided among them.  The sorted ranges are written with each
+    row's place in its range; the counts of a key in the ranges before are added.
+    ``order`` should end with something unique, or equal rows stay together.
+    """
+    keyed = [F.col(k) for k in keys]
+    spread = cut(df.repartitionByRange(*keyed, *order).sortWithinPartitions(*keyed, *order)
+                 .withColumn("__at", F.monotonically_increasing_id())
+                 .withColumn(_B, F.shiftright("__at", _IN_TASK)))
+    held = spread.groupBy(*keys, _B).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(
+        _B).rowsBetween(Window.unboundedPreceding, -1)
+    held = held.withColumn(_OFF, F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    out = _attach(spread, held, [*keys, _B], ["__first", _OFF])
+    return out.withColumn(name, F.col("__at") - F.col("__first") + F.col(_OFF) + 1).drop("__at", _B, "__first", _OFF)
+
+
 def running_sum(df: DataFrame, keys: list[str], order: list[Column], bucket: Column,
                 value: Column, name: str) -> DataFrame:
     """Exact running sum (current row included) inside a key, bucket by bucket."""

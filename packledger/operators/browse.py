@@ -126,15 +126,14 @@ def browse_rows(bags: DataFrame, airlines: DataFrame, cuts: DataFrame | None = N
     """What a browse question reads: haystack, comparison price, densities, presets, flags."""
     empty = F.array().cast("array<string>")
     arr = lambda c: F.coalesce(F.col(c), empty)
-    table = K.carriers(airlines)
-    df = K.carriers_fitting(bags, table).withColumn("airlines", F.coalesce("airlines", empty))
+    df = K.carriers_fitting(bags, airlines)
     if cuts is not None:
         side = cuts.select(F.col("bag_id").alias("__b"), F.col("off").alias("__off"))
         df = df.join(side, F.col("id") == F.col("__b"), "left").withColumn(
             "discount", F.when(F.col("on_sale"), F.col("__off"))).drop("__b", "__off")
     else:
         df = df.withColumn("discount", F.lit(None).cast("double"))
-    n = F.size(F.filter(table, K.publishes))
+    n = K.carriers(airlines).agg(F.count_if(K.publishes(F.col))).scalar()
     hay = F.lower(F.concat_ws(" ", "brand", "name", "category", arr("materials"),
                               arr("features"), arr("colors"), arr("tags")))
     fits_all = (F.size("airlines") == n) & (n > 0)

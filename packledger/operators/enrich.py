@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed as X, text as X2
-from ..functions.skew import first_per_key, numbered
+from ..functions.skew import first_per_key, ranked
 
 PAGE_FIELDS = ["dims_cm", "dims_source", "laptop_in", "volume_l", "volume_source", "weight_g",
                "weight_source", "gtin"]
@@ -46,7 +46,7 @@ def dedupe(df: DataFrame, key: str = "page_key") -> DataFrame:
 def interleave(df: DataFrame, key: str = "brand_slug") -> DataFrame:
     """Round-robin position across brands: (round, first sight of the brand)."""
     seen = df.groupBy(key).agg(F.min("ord").alias("__seen")).withColumnRenamed(key, "__k")
-    out = numbered(df, [key], [F.col("ord")], F.floor(F.col("ord") / 65536), "turn")
+    out = ranked(df, [key], [F.col("ord")], "turn")
     return out.join(seen, F.col(key) == F.col("__k")).drop("__k").withColumn(
         "turn_order", F.col("__seen")).drop("__seen").orderBy("turn", "turn_order")
 

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import fixed as X, scalars as S
 from ..functions.rules import literal_map
-from ..functions.skew import exact_median, numbered, top_k
+from ..functions.skew import exact_median, ranked, top_k
 from .models import indexable
 
 
@@ -20,7 +20,7 @@ def rankable() -> Column:
 def by_density() -> list[Column]:
     """Lightest per litre first; implausible and unknown densities last, by brand."""
     return [F.when(rankable(), gpl()).asc_nulls_last(), F.when(
-        ~rankable(), F.lower("brand")).asc_nulls_last(), F.col("ord").asc()]
+        ~rankable(), S.collated(F.col("brand"))).asc_nulls_last(), F.col("ord").asc()]
 
 
 def hub_stats(bags: DataFrame, keys: list[str] = ["category"]) -> DataFrame:
@@ -80,24 +80,24 @@ def hubs(bags: DataFrame) -> DataFrame:
             .orderBy(F.desc("listed"), "category"))
 
 
-def _ranked(rows: DataFrame, keys: list[str], value: str, width: float, k: int | None) -> DataFrame:
+def _ranked(rows: DataFrame, keys: list[str], value: str, k: int | None) -> DataFrame:
     """Place ``rn`` of every row by a figure; with ``k``, the first k."""
     order = [F.col(value), F.col("ord")]
     if k is not None:
         return top_k(rows, keys, order, k)
-    return numbered(rows, keys, order, F.floor(F.col(value) / width), "rn")
+    return ranked(rows, keys, order)
 
 
 def lightest(bags: DataFrame, k: int | None = None) -> DataFrame:
     rows = bags.where(indexable() & rankable()).withColumn("gpl", gpl())
-    return _ranked(rows, ["category"], "gpl", 0.25, k)
+    return _ranked(rows, ["category"], "gpl", k)
 
 
 def cheapest(bags: DataFrame, k: int | None = None) -> DataFrame:
     """Cheapest per litre, dollars only."""
     rows = bags.where(indexable() & rankable() & (F.col("currency") == "USD")).withColumn(
         "ppl", S.price_per_litre(F.col("price_min"), F.col("volume_l")))
-    return _ranked(rows.where(F.col("ppl").isNotNull()), ["category"], "ppl", 0.25, k)
+    return _ranked(rows.where(F.col("ppl").isNotNull()), ["category"], "ppl", k)
 
 
 def leaderboards(bags: DataFrame, k: int | None = None) -> DataFrame:
@@ -124,9 +124,7 @@ def facet_rows(bags: DataFrame, k: int | None = None) -> DataFrame:
     sizes = volume_facets(bags.where(indexable())).withColumnRenamed("n", "members")
     keys = ["category", "band"]
     if k is None:
-        bucket = F.struct(F.coalesce(F.when(rankable(), F.floor(gpl() * 4)), F.lit(2 ** 60)),
-                          F.coalesce(F.when(~rankable(), F.lower("brand")), F.lit("")))
-        top = numbered(rows, keys, by_density(), bucket, "rn")
+        top = ranked(rows, keys, by_density())
     else:
         top = top_k(rows, keys, by_density(), k)
     left_out = F.lit(0).cast("bigint") if k is None else F.greatest(F.col("members") - k, F.lit(0))
@@ -169,8 +167,7 @@ def siblings(bags: DataFrame) -> DataFrame:
     kids = bags.where(F.col("split_from").isNotNull()).select(
         "split_from", "id", "volume_l", "ord")
     size = F.coalesce("volume_l", F.lit(0.0))
-    out = numbered(kids, ["split_from"], [size, F.col("ord")],
-                   F.struct(F.floor(size), F.floor(F.col("ord") / 65536)), "place")
+    out = ranked(kids, ["split_from"], [size, F.col("ord")], "place")
     n = kids.groupBy("split_from").agg(F.count(F.lit(1)).alias("sizes"))
     return out.join(n, "split_from").select("split_from", "id", "volume_l", "place", "sizes")
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..durable import cut
 from ..functions import fixed as X, scalars as S, text as X2
 from ..functions.rules import let, rx
-from ..functions.skew import numbered
+from ..functions.skew import numbered, ranked, running_sum
 
 
 # --- sources ----------------------------------------------------------------
@@ -106,8 +106,7 @@ def merge_models(bags: DataFrame, variants: DataFrame) -> Models:
                            F.col("bag_id") == F.col("listing_id"))
              .withColumn("bag_id", F.col("__m")).withColumn("__at", F.struct("__o", "pos")))
     # variant position inside the model: listing order, then the listing's own order
-    block = F.struct(F.col("__o"), F.floor(F.col("pos") / 4096))
-    moved = numbered(moved.drop("listing_id", "__m"), ["bag_id"], [F.col("__at")], block, "__rn")
+    moved = ranked(moved.drop("listing_id", "__m"), ["bag_id"], [F.col("__at")], "__rn")
     moved = moved.withColumn("pos", F.col("__rn") - 1).select(*variants.columns)
     prices = moved.groupBy("bag_id").agg(
         F.min("price").alias("v_min"), F.max("price").alias("v_max"),
@@ -177,20 +176,35 @@ def uniq_id(candidates: DataFrame, taken: DataFrame, candidate: str = "candidate
     held = taken.select(F.col("id").alias("__t")).distinct()
     df = candidates.join(held, F.col(candidate) == F.col("__t"), "left").withColumn(
         "__held", F.col("__t").isNotNull().cast("int")).drop("__t")
-    df = numbered(df, [candidate], order, F.floor(F.col("ord") / 65536), "__c")
+    df = ranked(df, [candidate], order, "__c")
     # claimant k (1-based) needs the (k - 1 + held)-th free suffix, 0 meaning none
     df = df.withColumn("__need", F.col("__c") - 1 + F.col("__held"))
-    used = (held.select(F.regexp_extract("__t", r"^(.*)-(\d+)$", 1).alias("__stem"),
-                        F.regexp_extract("__t", r"^(.*)-(\d+)$", 2).try_cast("int").alias("__k"))
-            .where(F.col("__k") >= 2).groupBy("__stem")
-            .agg(F.array_sort(F.collect_set("__k")).alias("__ks")))
-    df = df.join(used, F.col(candidate) == F.col("__stem"), "left")
-    skip = F.aggregate(F.coalesce("__ks", F.array().cast("array<int>")),
-                       (F.col("__need") + 1).cast("bigint"),
-                       lambda n, k: F.when(k <= n, n + 1).otherwise(n))
+    suffix = r"^(.*)-([2-9]|[1-9]\d{1,17})$"
+    used = (held.select(F.regexp_extract("__t", suffix, 1).alias("__stem"),
+                        F.nullif(F.regexp_extract("__t", suffix, 2), F.lit("")).cast("bigint").alias("__k"))
+            .where(F.col("__k").isNotNull()))
+    used = used.join(df.select(F.col(candidate).alias("__stem")).distinct(), "__stem", "left_semi")
+    wanted = df.where("__need > 0").select(F.col(candidate).alias("__stem"), F.col("__need").alias("__free"),
+                                           F.lit(0).alias("__gap"), F.lit(0).cast("bigint").alias("__taken"))
+    # the need-th free suffix comes after as many taken ones as have fewer than need free ones below
+    met = running_sum(wanted.unionByName(_gaps(used)), ["__stem"], [F.col("__free"), F.col("__gap")],
+                      F.floor(F.col("__free") / _DENSE), F.col("__taken"), "__skip")
+    met = met.where("__gap = 0").select("__stem", "__free", "__skip")
+    df = df.join(met, (F.col(candidate) == F.col("__stem")) & (F.col("__need") == F.col("__free")), "left")
     return df.withColumn(out, F.when(F.col("__need") == 0, F.col(candidate)).otherwise(
-        F.concat(F.col(candidate), F.lit("-"), skip))).drop(
-        "__held", "__c", "__need", "__stem", "__ks")
+        F.concat(F.col(candidate), F.lit("-"), F.col("__need") + 1 + F.col("__skip")))).drop(
+        "__held", "__c", "__need", "__stem", "__free", "__skip")
+
+
+#: Whole numbers that differ within a key, to a bucket.
+_DENSE = 65536
+
+
+def _gaps(used: DataFrame) -> DataFrame:
+    """Where taken suffixes stand: how many lie behind ``__free`` free ones of their stem (2 is the first)."""
+    placed = numbered(used, ["__stem"], [F.col("__k")], F.floor(F.col("__k") / _DENSE), "__nth")
+    return placed.groupBy("__stem", (F.col("__k") - 1 - F.col("__nth")).alias("__free")).agg(
+        F.count(F.lit(1)).alias("__taken")).select("__stem", "__free", F.lit(1).alias("__gap"), "__taken")
 
 
 def split_sizes(bags: DataFrame, variants: DataFrame):
@@ -251,8 +265,8 @@ class Collapsed(NamedTuple):
     bags: DataFrame        # (bag_id, collapsed_from, kept)
 
 
-def collapse_variants(variants: DataFrame, above: int = X.COLLAPSE_ABOVE) -> Collapsed:
-    """One variant per (colour, price) where a bag lists more than ``above`` of them."""
+def collapse_variants(variants: DataFrame, above: int) -> Collapsed:
+    """One variant per (colour, price) where a bag lists more than ``above`` of them; 0 takes every bag."""
     colour = F.coalesce(F.nullif("color", F.lit("")), F.nullif("color_family", F.lit("")), "title")
     v = variants.withColumn("__colour", colour)
     pairs = v.groupBy("bag_id", "__colour", "price").agg(
@@ -284,8 +298,7 @@ def permalink(bags: DataFrame) -> DataFrame:
         F.when(F.contains("id", F.lit("__")), F.regexp_replace("id", r"^.*?__", ""))
         .otherwise(F.col("id"))))
     order = [F.lower("brand"), F.lower("name"), F.col("ord")]
-    bucket = F.struct(F.lower("brand"), F.lower("name"), F.floor(F.col("ord") / 65536))
-    df = numbered(df, ["brand_slug", "__slug"], order, bucket, "__n")
+    df = ranked(df, ["brand_slug", "__slug"], order, "__n")
     return df.withColumn("slug", F.when(F.col("__n") > 1, F.concat(
         "__slug", F.lit("-"), "__n")).otherwise(F.col("__slug"))).drop("__slug", "__n")
 
@@ -391,9 +404,11 @@ def offers(bags: DataFrame, listings: DataFrame) -> DataFrame:
         "price", F.when(F.col("canonical"), F.col("__p"))).drop("__p")
 
 
-def build(bags: DataFrame, variants: DataFrame, rates: DataFrame):
+def build(bags: DataFrame, variants: DataFrame, rates: DataFrame, collapse_above: int = 0):
     """Shadow filter, merge, split, collapse, permalink and dollar estimate, in that order.
 
+    Bags of more than ``collapse_above`` variants are collapsed: all of them, unless told otherwise.
+
     Each step reads its input several times, so every step's result is written
     to the shared folder before the next one starts.
     """
@@ -401,5 +416,5 @@ def build(bags: DataFrame, variants: DataFrame, rates: DataFrame):
     live = cut(variants.join(kept.select(F.col("id").alias("bag_id")), "bag_id", "left_semi"))
     merged = merge_models(kept, live)
     sized, sized_variants = split_sizes(cut(merged.bags), cut(merged.variants))
-    sized, slim = cut(sized), collapse_variants(cut(sized_variants))
+    sized, slim = cut(sized), collapse_variants(cut(sized_variants), collapse_above)
     return usd_approx(permalink(sized), rates), slim.variants, merged.values

@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X, scalars as S
+from ..functions.skew import ranked
 from ..operators import browse as W, carryon as K, prices as P
 from . import bindings as B
 from .registry import query
@@ -150,27 +151,32 @@ x AS (SELECT r.*, CASE WHEN on_sale THEN c.off END AS discount FROM rows_ r LEFT
 o AS (SELECT 'vol-asc' AS sort, id, row_number() OVER (ORDER BY volume_l ASC NULLS LAST, ord) AS rn FROM x UNION ALL
  SELECT 'price-desc', id, row_number() OVER (ORDER BY price_cmp DESC NULLS LAST, ord) FROM x UNION ALL
  SELECT 'gpl', id, row_number() OVER (ORDER BY gpl ASC NULLS LAST, ord) FROM x UNION ALL
- SELECT 'discount', id, row_number() OVER (ORDER BY discount DESC NULLS LAST, lower(brand), brand, lower(name), name, ord) FROM x)
-SELECT sort, id FROM o WHERE rn <= 100""")
+ SELECT 'discount', id, row_number() OVER (ORDER BY discount DESC NULLS LAST, icu_sort_key(brand, 'en'),
+   icu_sort_key(name, 'en'), ord) FROM x)
+SELECT sort, id, rn FROM o""")
 def b10(spark, d):
-    rows = W.marked(_cut_rows(spark, d), PLAIN)
+    rows = _cut_rows(spark, d).select("id", "ord", "volume_l", "price_cmp", "gpl", "discount", "brand", "name")
     out = None
     for s in ("vol-asc", "price-desc", "gpl", "discount"):
-        page, _ = W.page(rows, W.parse_filter(f"sort={s}&per=100"))
-        part = page.select(F.lit(s).alias("sort"), "id")
+        part = ranked(rows, [], W.sort(s)).select(F.lit(s).alias("sort"), "id", "rn")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query("b11_by_label", "bag", """
-SELECT category, id, rn FROM (SELECT category, id, row_number() OVER (PARTITION BY category ORDER BY
-  CASE WHEN regexp_matches(name, '^[0-9]') THEN 1 ELSE 0 END, lower(name), name, ord) AS rn FROM bag) t
-WHERE rn <= 40""")
+#: The table's names with accents, capitals and figures in front, in both engines.
+LABELS = ("CASE pk % 7 WHEN 0 THEN 'é' || substring(name, 2) WHEN 1 THEN upper(name) "
+          "WHEN 2 THEN CAST(pk % 100 AS STRING) || ' ' || name WHEN 3 THEN 'Ö' || name "
+          "WHEN 4 THEN replace(name, ' ', '-') WHEN 5 THEN name || ' é' ELSE name END")
+
+
+@query("b11_by_label", "bag", f"""
+SELECT category, id, label, row_number() OVER (PARTITION BY category ORDER BY
+  CASE WHEN regexp_matches(label, '^[0-9]') THEN 1 ELSE 0 END, icu_sort_key(label, 'en'), ord) AS rn
+FROM (SELECT *, {LABELS} AS label FROM bag) t""")
 def b11(spark, d):
-    from ..functions.skew import top_k
-    order = S.label_order(F.col("name")) + [F.col("ord")]
-    return top_k(B.bags(spark, d), ["category"], order, 40).select(
-        "category", "id", F.col("rn").cast("bigint").alias("rn"))
+    rows = B.bags(spark, d).selectExpr("category", "id", "ord", f"{LABELS} AS label")
+    return ranked(rows, ["category"], [*S.label_order(F.col("label")), F.col("ord").asc()]).select(
+        "category", "id", "label", "rn")
 
 
 @query("b12_facet_counts", VIEWS, f"""

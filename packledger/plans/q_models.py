@@ -1,7 +1,7 @@
 """Queries over the platform normalisers and model shaping."""
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
+from ..functions import fixed as X, scalars as S
 from ..operators import models as M, normalize as N
 from . import bindings as B
 from .registry import query
@@ -425,21 +425,27 @@ def _coarse(spark, d):
 
 COARSE = """cv AS (SELECT *, floor(price / 40000) * 100.0 AS p, coalesce(color, color_family, title) AS c FROM variant),
 pr AS (SELECT bag_id, c, p, count(*) AS n, min(pos) AS first_, bool_or(available) AS av FROM cv GROUP BY 1, 2, 3),
-hit AS (SELECT bag_id, sum(n) AS total, count(*) AS kept FROM pr GROUP BY 1 HAVING sum(n) > 25 AND count(*) < sum(n))"""
+hit AS (SELECT bag_id, sum(n) AS total, count(*) AS kept FROM pr GROUP BY 1 HAVING sum(n) > {above} AND count(*) < sum(n))"""
 
 
 @query("m07_collapse_variants", "variant", f"""
-WITH {COARSE} SELECT cv.bag_id, cv.pos, pr.av AS available FROM cv JOIN pr ON cv.bag_id = pr.bag_id AND cv.pos = pr.first_ AND cv.p = pr.p AND cv.c = pr.c
+WITH {COARSE.format(above=0)} SELECT cv.bag_id, cv.pos, pr.av AS available FROM cv JOIN pr ON cv.bag_id = pr.bag_id AND cv.pos = pr.first_ AND cv.p = pr.p AND cv.c = pr.c
  WHERE cv.bag_id IN (SELECT bag_id FROM hit) UNION ALL SELECT bag_id, pos, available FROM cv WHERE bag_id NOT IN (SELECT bag_id FROM hit)""")
 def m07(spark, d):
-    return M.collapse_variants(_coarse(spark, d)).variants.select("bag_id", "pos", "available")
+    return M.collapse_variants(_coarse(spark, d), 0).variants.select("bag_id", "pos", "available")
+
+
+@query("m07_collapse_above", "variant", f"""
+WITH {COARSE.format(above=X.COLLAPSE_ABOVE)} SELECT bag_id, CAST(total AS BIGINT) AS collapsed_from, kept FROM hit""")
+def m07c(spark, d):
+    return M.collapse_variants(_coarse(spark, d), X.COLLAPSE_ABOVE).bags.select("bag_id", "collapsed_from", "kept")
 
 
 @query("m07_variant_axes", "variant", f"""
-WITH {COARSE} SELECT DISTINCT bag_id, 'Size' AS axis, size AS value FROM cv WHERE size IS NOT NULL AND bag_id IN (SELECT bag_id FROM hit) UNION
+WITH {COARSE.format(above=0)} SELECT DISTINCT bag_id, 'Size' AS axis, size AS value FROM cv WHERE size IS NOT NULL AND bag_id IN (SELECT bag_id FROM hit) UNION
 SELECT bag_id, 'Colour', color FROM cv WHERE color IS NOT NULL AND bag_id IN (SELECT bag_id FROM hit)""")
 def m07b(spark, d):
-    return M.collapse_variants(_coarse(spark, d)).axes
+    return M.collapse_variants(_coarse(spark, d), 0).axes
 
 
 @query("m08_permalink", "bag", """

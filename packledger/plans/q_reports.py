@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X, scalars as S
+from ..functions.skew import ranked
 from ..operators import hubs as H, models as M, prices as P, quality as V
 from . import bindings as B
 from .registry import query
@@ -62,14 +63,13 @@ def h04(spark, d):
 
 
 @query("h05_by_density", "bag", """
-SELECT category, id, rn FROM (SELECT category, id, row_number() OVER (PARTITION BY category ORDER BY
+SELECT category, id, row_number() OVER (PARTITION BY category ORDER BY
   CASE WHEN weight_g / volume_l >= 5 THEN weight_g / volume_l END ASC NULLS LAST,
-  CASE WHEN coalesce(weight_g / volume_l >= 5, FALSE) THEN NULL ELSE lower(brand) END ASC NULLS LAST, ord)
-  AS rn FROM bag) t WHERE rn <= 50""")
+  CASE WHEN coalesce(weight_g / volume_l >= 5, FALSE) THEN NULL ELSE icu_sort_key(brand, 'en') END ASC NULLS LAST, ord)
+  AS rn FROM bag""")
 def h05(spark, d):
-    from ..functions.skew import top_k
-    return top_k(_bags(spark, d), ["category"], H.by_density(), 50).select(
-        "category", "id", F.col("rn").cast("bigint").alias("rn"))
+    return ranked(_bags(spark, d).select("category", "id", "ord", "brand", "weight_g", "volume_l"),
+                  ["category"], H.by_density()).select("category", "id", "rn")
 
 
 @query("h06_leaderboards", "bag", f"""
@@ -95,7 +95,7 @@ WITH {IDX}, x AS (SELECT *, {BAND} AS band FROM idx WHERE volume_l IS NOT NULL),
 s AS (SELECT category, band, count(*) AS members FROM x GROUP BY 1, 2),
 r AS (SELECT x.category, x.band, x.id, members, row_number() OVER (PARTITION BY x.category, x.band ORDER BY
   CASE WHEN gpl >= 5 THEN gpl END ASC NULLS LAST,
-  CASE WHEN coalesce(gpl >= 5, FALSE) THEN NULL ELSE lower(brand) END ASC NULLS LAST, ord) AS rn
+  CASE WHEN coalesce(gpl >= 5, FALSE) THEN NULL ELSE icu_sort_key(brand, 'en') END ASC NULLS LAST, ord) AS rn
   FROM x JOIN s ON x.category = s.category AND x.band = s.band)
 SELECT category, band, id, rn, members >= 25 AS listed, members FROM r""")
 def h08(spark, d):
@@ -145,8 +145,8 @@ def h12(spark, d):
 
 @query("h13_hub_samples", "bag", f"""
 WITH {IDX} SELECT category, id FROM (SELECT category, id, row_number() OVER (PARTITION BY category
-  ORDER BY CASE WHEN regexp_matches(brand, '^[0-9]') THEN 1 ELSE 0 END, lower(brand), brand,
-  CASE WHEN regexp_matches(name, '^[0-9]') THEN 1 ELSE 0 END, lower(name), name, ord) AS rn FROM idx) t WHERE rn <= 12""")
+  ORDER BY CASE WHEN regexp_matches(brand, '^[0-9]') THEN 1 ELSE 0 END, icu_sort_key(brand, 'en'),
+  CASE WHEN regexp_matches(name, '^[0-9]') THEN 1 ELSE 0 END, icu_sort_key(name, 'en'), ord) AS rn FROM idx) t WHERE rn <= 12""")
 def h13(spark, d):
     return H.hub_samples(_bags(spark, d), 12).select("category", "id")
 

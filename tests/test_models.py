@@ -64,11 +64,14 @@ def test_size_split(spark, sizes, names):
 def test_cross_product_collapses_to_pairs(spark):
     rows = [{"bag_id": "z__haul", "pos": i, "color": f"c{i % 21}", "price": 300.0 + 50 * (i % 2), "available": i == 239,
              "options": {"Torso": f"t{i % 6}"}} for i in range(241)]
-    out = M.collapse_variants(variants(spark, rows))
+    out = M.collapse_variants(variants(spark, rows), 25)
     # 21 colours and 2 prices, each pair once; the available one lends its stock to its pair
     assert out.variants.count() == len({(r["color"], r["price"]) for r in rows})
     assert out.variants.where("available").count() == 1
     assert out.axes.count() == 6
+    for n in (25, 26):  # no size at which bags begin to be treated otherwise
+        some = variants(spark, rows[:n])
+        assert M.collapse_variants(some, 0).variants.count() == len({(r["color"], r["price"]) for r in rows[:n]})
 
 
 def test_repeated_sku_is_not_a_key(spark):
@@ -157,3 +160,22 @@ def test_streaks(spark):
                                 "slug string, status string, night timestamp_ntz, ord int")
     assert {r.slug: r.fail_streak for r in O.fail_streak(log).collect()} == {"a": 2, "b": 1, "c": 0}
     assert [r.fail_streak for r in O.running_streak(log).orderBy("ord").collect()] == [0, 1, 2, 1, 0, 1, 0]
+
+
+def test_free_suffixes_of_crowded_stems(spark):
+    import random
+    rng = random.Random(8)
+    taken = {"a", "b-2", "b-3", "c", *(f"c-{k}" for k in range(2, 3000)), "d", "d-02", "d-1", "d-x", "d-99999999999"}
+    taken |= {f"e-{rng.randrange(2, 4000)}" for _ in range(1500)}
+    rows = [(rng.randrange(10 ** 12), rng.choice(["a", "b", "c", "d", "e", "e", "e", "f", "g-2"])) for _ in range(3000)]
+    got = {r["ord"]: r["id"] for r in M.uniq_id(spark.createDataFrame(rows, "ord long, candidate string"),
+                                               spark.createDataFrame([(t,) for t in taken], "id string")).collect()}
+    held = {}
+    for ord_, stem in sorted(rows):
+        n = held.get(stem, 1)
+        name = stem if n == 1 else f"{stem}-{n}"
+        while name in taken:
+            n += 1
+            name = f"{stem}-{n}"
+        held[stem] = n + 1
+        assert got[ord_] == name, (stem, n)

@@ -82,3 +82,25 @@ def test_first_per_key_prunes_before_the_shuffle(table):
     _, df = table
     plan = skew.first_per_key(df, ["key"], order())._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_ranked_divides_a_hot_key_whatever_its_order_values_are(spark):
+    from packledger.functions.skew import ranked
+    rng = random.Random(6)
+    rows = [("hot" if i % 3 else f"k{i % 50}", rng.randrange(10 ** 15) if i % 2 else i % 4, i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "key string, ord long, id long").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ranked(df, ["key"], [F.col("ord").desc(), F.col("id")])
+        found = {r["id"]: r["rn"] for r in got.collect()}
+        held = df.repartitionByRange("key", F.col("ord").desc(), "id").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert max(r["count"] for r in held) < 2 * len(rows) / 8  # no task has more than its share
+    by_key = {}
+    for key, ord_, id_ in sorted(rows, key=lambda r: (-r[1], r[2])):
+        by_key[key] = by_key.get(key, 0) + 1
+        assert found.pop(id_) == by_key[key]
+    assert not found and ranked(df.limit(0), ["key"], [F.col("id")]).count() == 0
+    alone = {r["id"]: r["rn"] for r in ranked(df, [], [F.col("id").desc()]).collect()}
+    assert alone == {i: 6000 - i for i in range(6000)}
