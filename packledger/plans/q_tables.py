@@ -317,14 +317,26 @@ def t03(spark, d):
     return out.where("user_id >= 0").select("user_id", "bag_id", F.col("start").cast("timestamp_ntz").alias("start"), "views", "clicks")
 
 
-def _with_closer(spark, stream):
+def _with_closer(spark, stream, names=("noise",)):
     path = scratch_path(spark, "closer")
-    spark.createDataFrame([("2030-01-01 00:00:00", -1, "x", "noise")], "created_at string, user_id bigint, bag_id string, name string").withColumn(
+    spark.createDataFrame([("2030-01-01 00:00:00", -1, "x", n) for n in names], "created_at string, user_id bigint, bag_id string, name string").withColumn(
         "created_at", F.col("created_at").cast(stream.schema["created_at"].dataType)).write.parquet(path)
     late = spark.readStream.schema(stream.schema).parquet(path)
     return stream.unionByName(late)
 
 
+@query("t03_stream_pairs", "raw_click", f"""
+WITH {CLEAN_DAY}, v AS (SELECT * FROM clean WHERE name = 'product_view' AND bag_id IS NOT NULL), c AS (SELECT * FROM clean WHERE name = 'buy_click' AND bag_id IS NOT NULL)
+SELECT coalesce(v.user_id, c.user_id) AS user_id, coalesce(v.bag_id, c.bag_id) AS bag_id, v.created_at AS view_at, c.created_at AS click_at
+FROM v FULL JOIN c ON v.user_id = c.user_id AND v.bag_id = c.bag_id AND v.created_at <= c.created_at AND c.created_at <= v.created_at + INTERVAL 12 HOUR""")
+def t03b(spark, d):
+    from ..operators.funnels import clean_clicks
+    clean = clean_clicks(_stream(spark, d, "raw_click")).select("created_at", "user_id", "bag_id", "name")
+    out = T.drain(T.stream_pairs(_with_closer(spark, clean, ("product_view", "buy_click")), "12 hours", "1 hour"), "pairs")
+    local = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return out.where("user_id >= 0").select("user_id", "bag_id", local("view_at"), local("click_at"))
+
+
 @query("t04_stream_mail_events", "mail_event", "SELECT DISTINCT svix_id, type FROM mail_event WHERE svix_id IS NOT NULL AND type IS NOT NULL")
 def t04(spark, d):
     return T.drain(T.stream_mail_events(_stream(spark, d, "mail_event").drop("recipient")), "mail").select("svix_id", "type")
@@ -342,16 +354,26 @@ def t05(spark, d):
 
 
 @query("t06_stream_daily_cap", "request", """
-SELECT ip_hash, id FROM (SELECT ip_hash, id, row_number() OVER (PARTITION BY ip_hash ORDER BY id) AS rn FROM request) t WHERE rn <= 3""")
+SELECT ip_hash, id FROM (SELECT ip_hash, id, row_number() OVER (PARTITION BY ip_hash ORDER BY created_at, id) AS rn FROM request) t WHERE rn <= 3""")
 def t06(spark, d):
-    req = _stream(spark, d, "request").select("id", "ip_hash")
+    req = _stream(spark, d, "request").select("id", "created_at", "ip_hash")
     return T.drain(T.stream_daily_cap(req, 3), "cap").select("ip_hash", "id")
 
 
-@query("t07_late_metrics", (), "SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n FROM events GROUP BY 1")
+@query("t07_late_metrics", (), """
+WITH r AS (SELECT ts, FALSE AS back FROM events UNION ALL SELECT ts - INTERVAL 400 DAY, TRUE FROM events WHERE event_id % 50 = 0),
+top AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events)
+SELECT date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n, (SELECT count(*) FROM r, top WHERE back AND ts < mark) AS dropped FROM r WHERE NOT back GROUP BY 1""")
 def t07(spark, d):
-    rows, _ = T.late_metrics(T.source(spark, d, "events").select("ts"), "1 day")
-    return rows.withColumn("day", F.col("day").cast("timestamp_ntz"))
+    """Daily counts of two batches, and the rows of a third that come long after the watermark has passed them."""
+    events = spark.read.parquet(f"{d}/events.parquet").select("ts", "event_id")
+    path = scratch_path(spark, "late-events")
+    for rows in (events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1"), events.where("event_id % 50 = 0").withColumn("ts", F.expr("ts - INTERVAL 400 DAYS"))):
+        rows.select(F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(path)  # a file, hence a batch, each
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rows, metrics = T.late_metrics(stream, "1 day")
+    return rows.select(F.col("day").cast("timestamp_ntz").alias("day"), "n",
+                       F.lit(metrics["dropped"]).cast("bigint").alias("dropped"))
 
 
 @query("t07_stream_suppressions", "mail_event", """
