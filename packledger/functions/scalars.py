@@ -184,15 +184,15 @@ def thumb_url(url: Column) -> Column:
     return F.when(ours, F.concat(base, F.lit("?"), F.array_join(want, "&"), frag)).otherwise(url)
 
 
-def storefront_url(raw: Column) -> Column:
-    """A cleaned storefront address, or null when it is not one."""
+def storefront_url(raw: Column, most: int | None = None) -> Column:
+    """A cleaned storefront address, or null when it is not one; with ``most``, null when longer than that."""
     s = F.regexp_replace(F.trim(raw), r"(?U)\s+", " ")
-    s = F.when((s != "") & (F.length(s) <= 200), s)
+    s = F.when((s != "") & (F.lit(True) if most is None else F.length(s) <= most), s)
     full = F.when(matches(s, r"^https?://"), s).otherwise(F.concat(F.lit("https://"), s))
     h = F.try_parse_url(full, F.lit("HOST"))
     bare = F.try_parse_url(full, F.lit("PATH"))
     full = F.when(F.coalesce(bare, F.lit("")) == "", F.concat(full, F.lit("/"))).otherwise(full)
-    return F.when(F.contains(h, F.lit(".")), F.substring(full, 1, 200))
+    return F.when(F.contains(h, F.lit(".")), full)
 
 
 def clean_text(raw: Column, most: int) -> Column:

@@ -333,21 +333,24 @@ def scope_frontier(candidates: DataFrame, hints: DataFrame) -> DataFrame:
     return marked.withColumn("shelf_share", share)
 
 
+#: Opens one level of children after the other until none has any.
+_TREE = """
+WITH RECURSIVE tree AS (
+  SELECT uid, name, product_count, children, 0 AS depth FROM {tree}
+  UNION ALL
+  SELECT c.uid, c.name, c.product_count, c.children, depth + 1 FROM (
+    SELECT depth, explode(from_json(children,
+      'array<struct<uid:string,name:string,product_count:bigint,children:string>>')) AS c FROM tree))
+SELECT uid, name, product_count, depth FROM tree
+"""
+
+
 def carry_categories(tree: DataFrame) -> DataFrame:
     """Flatten a nested category tree (uid, name, product_count, children json) and select carry.
 
-    ``children`` is a JSON array at every level; levels are opened until none has children.
+    ``children`` is a JSON array at every level; a level is read from the one above it.
     """
-    schema = "array<struct<uid:string,name:string,product_count:bigint,children:string>>"
-    level = tree.select("uid", "name", "product_count", "children", F.lit(0).alias("depth"))
-    flat, depth = level, 0
-    while True:
-        depth += 1
-        level = (level.select(F.explode(F.from_json("children", schema)).alias("c"))
-                 .select("c.*", F.lit(depth).alias("depth")))
-        if level.isEmpty():
-            break
-        flat = flat.unionByName(level)
+    flat = tree.sparkSession.sql(_TREE, tree=tree.select("uid", "name", "product_count", "children"))
     return (flat.where(F.coalesce("product_count", F.lit(0)) > 0)
             .where(F.col("uid").isNotNull())
             .where(matches(F.col("name"), X.TREE_CARRY) & ~matches(F.col("name"), X.TREE_NOT_CARRY))

@@ -182,15 +182,14 @@ def lastmod(bags: DataFrame, changes: DataFrame) -> DataFrame:
         "stamp", F.greatest(S.to_utc(F.col("updated_at")), F.col("__t")))
     df = df.where(F.col("stamp").isNotNull()).withColumn("band", F.when(
         indexable(), volume_band()))
-    bag = df.select(F.lit("bag").alias("kind"), F.col("id").alias("key"), "stamp")
-    roll = lambda rows, kind, key: rows.groupBy(key.alias("key")).agg(
-        F.max("stamp").alias("stamp")).select(F.lit(kind).alias("kind"), "key", "stamp")
-    listed = df.where(indexable())
-    in_facet = listed.where(F.col("band").isNotNull()).withColumn(
-        "__k", F.concat_ws("/", "category", "band"))
-    return (bag.unionByName(roll(df, "brand", F.col("brand_slug")))
-            .unionByName(roll(listed, "hub", F.col("category")))
-            .unionByName(roll(in_facet, "facet", F.col("__k"))))
+    # a struct is never null where its set takes the row, so a null brand is told from another set
+    kinds = {"bag": F.struct("id"), "brand": F.struct("brand_slug"), "hub": F.when(indexable(), F.struct("category")),
+             "facet": F.when(F.col("band").isNotNull(), F.struct(F.concat_ws("/", "category", "band").alias("k")))}
+    rows = df.select(*[k.alias(n) for n, k in kinds.items()], "stamp")
+    sets = rows.groupingSets([[F.col(n)] for n in kinds], *kinds).agg(F.max("stamp").alias("stamp"))
+    key = F.coalesce(*[F.when(F.col(n).isNotNull(), F.struct(
+        F.lit(n).alias("kind"), F.col(n).getField(list(rows.schema[n].dataType.names)[0]).alias("key"))) for n in kinds])
+    return sets.select(key.alias("k"), "stamp").where(F.col("k").isNotNull()).select("k.*", "stamp")
 
 
 def hub_samples(bags: DataFrame, k: int) -> DataFrame:

@@ -323,23 +323,40 @@ def coverage(bags: DataFrame, fields: list[str] = X.COVERAGE_FIELDS) -> DataFram
         F.lit(100.0) * F.col("have") / F.col("n"), 0).cast("int")).otherwise(0).alias("pct"))
 
 
+#: Columns whose mix is counted, and those whose different values are.
+_MIXES = {"currency": "currencies", "currency_source": "currency_sources", "category": "categories"}
+_DISTINCT = {"brand_slug": "brand_count", "category": "category_count", "split_from": "models_split"}
+_TOTALS = ("bag_count", "sku_count", "products_merged")
+
+
 def catalogue_meta(bags: DataFrame, rejects: DataFrame | None = None) -> DataFrame:
-    """Long (metric, key, value) table of catalogue totals and mixes."""
-    one = bags.agg(
-        F.count(F.lit(1)).alias("bag_count"),
-        F.countDistinct("brand_slug").alias("brand_count"),
-        F.coalesce(F.sum(F.col("variant_count").cast("bigint")), F.lit(0)).alias("sku_count"),
-        F.countDistinct("category").alias("category_count"),
-        F.coalesce(F.sum((F.col("merged_from") - 1).cast("bigint")), F.lit(0))
-        .alias("products_merged"),
-        F.countDistinct("split_from").alias("models_split"))
-    names = one.columns
-    out = one.unpivot([], names, "metric", "value").select(
-        "metric", F.lit("").alias("key"), "value")
-    mix = lambda col, name: bags.groupBy(F.coalesce(col, F.lit("unknown")).alias("key")).agg(
-        F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("metric"), "key", "value")
-    out = out.unionByName(mix("currency", "currencies")).unionByName(
-        mix("currency_source", "currency_sources")).unionByName(mix("category", "categories"))
+    """Long (metric, key, value) table of catalogue totals and mixes, in one pass over the bags.
+
+    The bags are grouped by each column at once (grouping sets); a group then says
+    what it adds to the totals, to its mix and to the number of different values.
+    """
+    # a struct is never null, so a null value is told from a column that is not grouped by
+    columns = list(dict.fromkeys([*_MIXES, *_DISTINCT]))
+    rows = bags.select(*[F.struct(F.col(c).cast("string").alias("v")).alias(c) for c in columns],
+                       F.col("variant_count").cast("bigint").alias("skus"),
+                       (F.col("merged_from") - 1).cast("bigint").alias("merged"))
+    sets = rows.groupingSets([[F.col(c)] for c in columns], *columns).agg(
+        F.count(F.lit(1)).alias("bag_count"), F.coalesce(F.sum("skus"), F.lit(0)).alias("sku_count"),
+        F.coalesce(F.sum("merged"), F.lit(0)).alias("products_merged"))
+    said = lambda metric, key, value: F.struct(
+        F.lit(metric).alias("metric"), key.alias("key"), value.cast("bigint").alias("value"))
+    none, parts = F.lit(""), []
+    for c in columns:
+        adds = [said(_MIXES[c], F.coalesce(F.col(c)["v"], F.lit("unknown")), F.col("bag_count"))] if c in _MIXES else []
+        if c in _DISTINCT:
+            adds.append(said(_DISTINCT[c], none, F.col(c)["v"].isNotNull().cast("int")))
+        if c == columns[0]:
+            adds += [said(t, none, F.col(t)) for t in _TOTALS]
+        parts.append(F.when(F.col(c).isNotNull(), F.array(*adds)))
+    empty = bags.sparkSession.createDataFrame(
+        [(t, "", 0) for t in (*_TOTALS, *_DISTINCT.values())], "metric string, key string, value bigint")
+    out = (sets.select(F.explode(F.coalesce(*parts)).alias("s")).select("s.*").unionByName(empty)
+           .groupBy("metric", "key").agg(F.sum("value").alias("value")))
     if rejects is not None:
         out = out.unionByName(rejects.groupBy(F.col("reason").alias("key")).agg(
             F.count(F.lit(1)).alias("value")).select(F.lit("rejected").alias("metric"),

@@ -769,9 +769,9 @@ def f17(spark, d):
 
 
 @query("f18_cleaning", (), """
-SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN 'https://maker' || CAST(p_partkey AS STRING) || '.example.com/' END AS url, p_name AS name,
+SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 'https://maker' || CAST(p_partkey AS STRING) || '.example.com/' WHEN 1 THEN 'https://shop.example.com/' || repeat('p', 300) || CAST(p_partkey AS STRING) END AS url, p_name AS name,
  p_partkey % 2 = 0 AS ok FROM part""")
 def f18(spark, d):
-    df = _part(spark, d, u=f"CASE p_partkey % 3 WHEN 0 THEN ' maker' || {K('p_partkey')} || '.example.com ' WHEN 1 THEN 'nothing' ELSE 'http://x y.com' END",
+    df = _part(spark, d, u=f"CASE p_partkey % 3 WHEN 0 THEN ' maker' || {K('p_partkey')} || '.example.com ' WHEN 1 THEN 'shop.example.com/' || repeat('p', 300) || {K('p_partkey')} ELSE CASE WHEN p_partkey % 2 = 0 THEN 'nothing' ELSE 'http://x y.com' END END",
                n="'  ' || replace(p_name, ' ', '   ')", e="CASE WHEN p_partkey % 2 = 0 THEN 'a@b.co' ELSE 'a@b' END")
     return df.select("k", S.storefront_url(F.col("u")).alias("url"), S.clean_text(F.col("n"), 80).alias("name"), S.valid_email(F.col("e")).alias("ok"))

@@ -123,14 +123,18 @@ def s16(spark, d):
 
 
 @query("s11_read_fx", (), """
-SELECT DATE '2026-01-05' AS date, CASE n_nationkey WHEN 0 THEN 'USD' ELSE chr(65 + n_nationkey) || 'AA' END AS currency, round((n_nationkey + 2) / 2.0::DOUBLE, 6) AS per_usd FROM nation WHERE n_nationkey < 20
+SELECT DATE '2026-01-05' AS date, CASE n_nationkey WHEN 0 THEN 'USD' ELSE chr(65 + n_nationkey) || 'AA' END AS currency, round((n_nationkey + 2) / 2.0::DOUBLE, 6) AS per_usd FROM nation
 UNION ALL SELECT DATE '2026-01-05', 'EUR', 0.5""")
 def s11(spark, d):
     path = scratch_path(spark, "fx")
-    cube = F.concat(F.lit("<Cube currency='"), F.when(F.col("n_nationkey") == 0, "USD").otherwise(F.concat(F.char(F.col("n_nationkey") + 65), F.lit("AA"))),
-                    F.lit("' rate='"), (F.col("n_nationkey") + 2).cast("string"), F.lit("'/>"))
-    body = B.table(spark, d, "nation").where("n_nationkey < 20").groupBy().agg(F.array_join(F.collect_list(cube), "\n").alias("c"))
-    body.select(F.concat(F.lit("<?xml version='1.0'?><x><Cube><Cube time='2026-01-05'>"), "c", F.lit("</Cube></Cube></x>")).alias("value")).write.text(path)
+    code = F.when(F.col("n_nationkey") == 0, "USD").otherwise(F.concat(F.char(F.col("n_nationkey") + 65), F.lit("AA")))
+    rate = (F.col("n_nationkey") + 2).cast("string")
+    # attributes in either order, in either quotes, over lines
+    cube = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("<Cube currency='"), code, F.lit("' rate='"), rate, F.lit("'/>"))).otherwise(
+        F.concat(F.lit('<Cube note="a > b"\n rate = "'), rate, F.lit('" currency="'), code, F.lit('"></Cube>')))
+    body = B.table(spark, d, "nation").groupBy().agg(F.array_join(F.collect_list(cube), "\n").alias("c"))
+    body.select(F.concat(F.lit("<?xml version='1.0' encoding='UTF-8'?>\n<g:Envelope xmlns:g='urn:g' xmlns='urn:r'><g:subject>Rates</g:subject><!-- <Cube/> --><Cube><Cube time='2026-01-05'>"),
+                         "c", F.lit("</Cube></Cube></g:Envelope>")).alias("value")).write.text(path)
     return IO.read_fx(spark, path)[0]
 
 

@@ -129,19 +129,23 @@ def read_airlines(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(F.explode("airlines").alias("a")).select("a.*")
 
 
+#: Dated groups of rates, as elements inside one another; attributes in any order and quotes.
+_RATES = ("Cube struct<Cube:array<struct<_time:string,"
+          "Cube:array<struct<_currency:string,_rate:string>>>>>")
+
+
 def read_fx(spark: SparkSession, path: str):
-    """(rates, missing): reference rates per euro as units per dollar, and needed codes absent."""
+    """(rates, missing): reference rates per euro as units per dollar, and needed codes absent.
+
+    A document that is not well-formed gives no rates.
+    """
     text = spark.read.text(path, wholetext=True)
-    q = "['\"]"
-    cubes = F.regexp_extract_all("value", F.lit(
-        rf"<Cube\s+currency={q}[A-Z]{{3}}{q}\s+rate={q}[0-9.]+{q}"), F.lit(0))
-    read = lambda c, pattern: F.regexp_extract(c, pattern.replace("Q", q), 1)
-    cells = F.transform(cubes, lambda c: F.struct(
-        read(c, "currency=Q([A-Z]{3})").alias("currency"),
-        read(c, "rate=Q([0-9.]+)").try_cast("double").alias("per_eur")))
+    days = text.select(F.explode(F.from_xml("value", _RATES, {"mode": "PERMISSIVE"})["Cube"]["Cube"]).alias("day"))
+    cells = F.transform(F.filter("day.Cube", lambda c: c["_currency"].rlike("^[A-Z]{3}$")), lambda c: F.struct(
+        c["_currency"].alias("currency"), c["_rate"].try_cast("double").alias("per_eur")))
     euro = F.struct(F.lit("EUR").alias("currency"), F.lit(1.0).alias("per_eur"))
-    stated = text.select(
-        read(F.col("value"), r"time=Q(\d{4}-\d{2}-\d{2})Q").try_cast("date").alias("date"),
+    stated = days.select(
+        F.col("day._time").try_cast("date").alias("date"),
         F.array_append(cells, euro).alias("cells")).withColumn("__u", F.get(F.filter(
             "cells", lambda c: c["currency"] == "USD"), F.lit(0))["per_eur"])
     rates = (stated.where(F.col("date").isNotNull() & F.col("__u").isNotNull())
