@@ -83,6 +83,31 @@ def test_documents_are_packed_whole(prepared):
     check(docs, packing.digests(docs, size=100).collect(), 100)
 
 
+def test_windows_follow_the_order_of_the_table(prepared, tmp_path, odd, empty):
+    docs = prepared.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    path = str(tmp_path / "ordered")
+    docs.orderBy("doc_id").coalesce(1).write.parquet(path)
+    stored = prepared.read.parquet(path)
+    digest = lambda df: df.selectExpr("doc_id", "piece", "start", "length", "crc32(ids) ids_crc32", "sequence_id", "offset")
+    check(stored, digest(packing.pack_in_order(stored)).collect(), packing.SIZE)  # one window: as over all
+    rows = digest(packing.pack_in_order(stored, size=100, window=60)).collect()
+    whole = [(r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in digest(packing.pack(stored, size=100)).collect()]
+    assert Counter((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in rows) == Counter(whole)
+    held, room, last = defaultdict(set), defaultdict(list), {}
+    for r in rows:
+        held[r["sequence_id"]].add(r["doc_id"])
+        room[r["sequence_id"]].append((r["offset"], r["length"]))
+        last[r["doc_id"]] = max(last.get(r["doc_id"], 0), r["piece"])
+    for parts in room.values():
+        assert [o for o, _ in sorted(parts)] == [0, *np.cumsum([n for _, n in sorted(parts)])[:-1]] and sum(n for _, n in parts) <= 100
+    order = sorted(last)
+    before = dict(zip(order, np.cumsum([0] + [last[d] + 1 for d in order]).tolist()))
+    longest = max(last.values()) + 1
+    assert all(before[max(ds)] - before[min(ds)] <= 60 + longest for ds in held.values())
+    check(odd, digest(packing.pack_in_order(odd.coalesce(1))).collect(), packing.SIZE)
+    assert packing.pack_in_order(empty).count() == 0
+
+
 def test_odd_rows(odd, empty):
     check(odd, packing.digests(odd).collect(), packing.SIZE)
     assert packing.digests(empty).count() == 0

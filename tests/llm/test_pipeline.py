@@ -4,10 +4,10 @@ import re
 import pytest
 
 import corpus_pipeline
+import test_near_copies as near_copies
 from packledger.llm import mixing, secret_scan
 from test_mixing import earliest_deadline_first
 from test_packing import check
-from test_simhash import plain_fingerprint, plain_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,9 +29,9 @@ def letters(rows):
 
 
 def one_of_each(rows):
-    rows = sorted(set(rows), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"] or ""))
-    group = plain_groups([plain_fingerprint(r["text"]) for r in rows], list(range(len(rows))))
-    return [rows[i] for i in sorted(set(group))]
+    named = [(r["doc_id"], r["text"], *(r[c] for c in r.asDict() if c not in ("doc_id", "text"))) for r in rows]
+    kept = set(near_copies.one_of_each(named))
+    return [r for r, n in zip(rows, named) if n in kept]
 
 
 def blanked(rows):
@@ -44,21 +44,30 @@ def blanked(rows):
 
 
 def mix(rows):
+    """Slot after slot of the schedule, each filled by the source it belongs to while that has rows."""
     order = {}
     for r in rows:
         spot = hashlib.md5(str("" if r["doc_id"] is None else r["doc_id"]).encode()).hexdigest()
-        order.setdefault("null" if r["source"] is None else "=" + r["source"], []).append((spot, r["doc_id"]))
+        order.setdefault("null" if r["source"] is None else "=" + r["source"], []).append((spot, r["doc_id"], r))
     mass = {s: len(v) ** mixing.POWER for s, v in order.items()}
     q = {s: max(1, round(m / sum(mass.values()) * mixing.SCALE)) for s, m in mass.items()}
-    kept, nth = set(), dict.fromkeys(order, 0)
-    for v in order.values():
-        v.sort(key=str)
-    ran, t = earliest_deadline_first(q), 0
-    while nth[s := ran[t % len(ran)]] < len(order[s]):
-        kept.add(order[s][nth[s]])
-        nth[s], t = nth[s] + 1, t + 1
-    ids = {d for _, d in kept}
-    return [r for r in rows if r["doc_id"] in ids]
+    waiting = {s: sorted(v, key=lambda x: (x[0], x[1])) for s, v in order.items()}
+    ran, t, out = earliest_deadline_first(q), 0, []
+    while any(waiting.values()):
+        s = ran[t % len(ran)]
+        t += 1
+        if waiting[s]:
+            out.append(waiting[s].pop(0)[2])
+    return out
+
+
+def test_mix_orders_uneven_sources(make):
+    sizes = {"hot": 60, "b": 25, "c": 9, "one": 1, None: 5}
+    names = [s for s, n in sizes.items() for _ in range(n)]
+    docs = make(*((i, f"text {i}", "en", s) for i, s in enumerate(names)))
+    want = [r["doc_id"] for r in mix(docs.collect())]
+    assert [r["doc_id"] for r in mixing.in_order(docs).collect()] == want and len(want) == 100
+    assert want != sorted(want) and names[want[-1]] == "hot"
 
 
 def test_stages_against_brute_force(prepared):
