@@ -129,9 +129,9 @@ def read_airlines(spark: SparkSession, path: str) -> DataFrame:
     return doc.select(F.explode("airlines").alias("a")).select("a.*")
 
 
-#: Dated groups of rates, as elements inside one another; attributes in any order and quotes.
-_RATES = ("Cube struct<Cube:array<struct<_time:string,"
-          "Cube:array<struct<_currency:string,_rate:string>>>>>")
+#: Dated groups of rates, at the top or inside one more element; attributes in any order and quotes.
+_RATE = "_currency:string,_rate:string"
+_RATES = f"Cube array<struct<_time:string,Cube:array<struct<_time:string,{_RATE},Cube:array<struct<{_RATE}>>>>>>"
 
 
 def read_fx(spark: SparkSession, path: str):
@@ -140,7 +140,15 @@ def read_fx(spark: SparkSession, path: str):
     A document that is not well-formed gives no rates.
     """
     text = spark.read.text(path, wholetext=True)
-    days = text.select(F.explode(F.from_xml("value", _RATES, {"mode": "PERMISSIVE"})["Cube"]["Cube"]).alias("day"))
+    day = lambda x: F.struct(x["_time"].alias("_time"), F.transform(x["Cube"], lambda c: F.struct(
+        c["_currency"].alias("_currency"), c["_rate"].alias("_rate"))).alias("Cube"))
+    dated = lambda xs: F.transform(F.filter(xs, lambda x: x["_time"].isNotNull()), day)
+    none = F.array().cast(f"array<struct<_time:string,Cube:array<struct<{_RATE}>>>>")
+    top = F.col("top")
+    found = F.concat(F.coalesce(dated(top), none), F.coalesce(F.flatten(F.transform(
+        top, lambda x: F.coalesce(dated(x["Cube"]), none))), none))
+    days = text.select(F.from_xml("value", _RATES, {"mode": "PERMISSIVE"})["Cube"].alias("top")).select(
+        F.explode(found).alias("day"))
     cells = F.transform(F.filter("day.Cube", lambda c: c["_currency"].rlike("^[A-Z]{3}$")), lambda c: F.struct(
         c["_currency"].alias("currency"), c["_rate"].try_cast("double").alias("per_eur")))
     euro = F.struct(F.lit("EUR").alias("currency"), F.lit(1.0).alias("per_eur"))
