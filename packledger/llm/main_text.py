@@ -2,10 +2,14 @@
 
 One pass over the markup gives a page's text blocks in order.  A block is
 described by its words, the share of them inside links, the same of the blocks
-before and after it, and where it stands (inside an article, a heading, an
-element for navigation or forms, an element named like an advert, a notice or
-a comment section).  A decision tree grown from the labelled pages of
-``page_examples`` tells article blocks from the rest.
+before and after it, and where it stands: inside an article, a heading, an
+element for navigation, a comment section, or a *marked* element - a form, or one
+named like an advert, a notice or a sidebar.  A mark alone decides nothing: a
+block has the share of the page's text that its smallest marked element holds,
+0 where one of them holds nothing that a page is built of (its title, an article,
+menus), since names of adverts and sidebars are also given to the frame around
+everything.  A decision tree grown from the labelled pages
+of ``page_examples`` tells article blocks from the rest.
 
 One pass over the pages, no shuffle; the tree is grown on the driver from the
 bounded examples and sent along.
@@ -34,24 +38,35 @@ RAW = frozenset("script style noscript template title iframe noembed noframes xm
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var img input wbr br nobr".split())
-ASIDE = frozenset("nav footer aside form menu dialog fieldset head".split())
+ASIDE = frozenset("nav footer aside menu dialog fieldset head".split())
+#: Elements that a page is built of, besides its title.
+FRAME = frozenset("h1 main article nav header footer".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)),
           "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")),
           "option": ("option", ("select",))}
-#: Words in class, id and role that name something beside the article.
+#: Words in class, id and role that name something beside the article, whatever stands with them in a name.
 BESIDE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner cookie "
-    "cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share "
-    "sharing social related recommended recommendations trending sidebar menu nav navbar navigation breadcrumb breadcrumbs "
-    "footer header masthead widget toolbar pagination pager tags search skip hidden disclaimer copyright contentinfo "
-    "complementary form dialog paywall teaser outbrain taboola".split())
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted cookie cookies consent "
+    "gdpr popup modal newsletter subscribe sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead "
+    "widget toolbar pagination pager contentinfo paywall teaser outbrain taboola".split())
+#: Words that do so alone or with words of layout, but are also what an article may be about.
+PERHAPS = frozenset(
+    "promotion banner notice notices alert overlay subscription signup login share sharing social related recommended "
+    "recommendations trending header tags search skip disclaimer copyright complementary form dialog".split())
 REPLIES = frozenset("comment comments reply replies respond disqus discussion".split())
+#: Words of layout.
+LAYOUT = frozenset(
+    "area bar block body bottom box btn button buttons container content footer group heading holder icon icons inner "
+    "item items label link links list main module outer panel posts row section site slot text thread title top unit "
+    "user wrap wrapper form post article entry story stories articles count".split())
 ARTICLE = frozenset("article post entry story".split())
 
 _TAG = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)",
     re.DOTALL)
 _NAMED = re.compile(r"""(?i)(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\w-])(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+#: A name that shows an element on some screens which another hides.
+_SHOWN = re.compile(r":(?:block|flex|grid|inline|table|contents)")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -61,9 +76,11 @@ class Block:
     words: int
     linked: int
     aside: bool
-    beside: bool
+    replies: bool
     article: bool
     heading: bool
+    mark: int
+    share: float = 1.0
 
 
 @lru_cache(maxsize=20_000)
@@ -84,9 +101,11 @@ def _naming(attributes: str) -> tuple[bool, bool, bool, bool]:
                 if words and words[0] in ("has", "with", "no", "is", "js"):
                     continue
                 found = set(words)
-                article |= bool(found & ARTICLE)
-                replies |= bool(found & REPLIES)
-                beside |= bool((found & BESIDE) - ({"header"} if found & ARTICLE else set()))
+                article |= bool(words) and found <= ARTICLE | LAYOUT and bool(found & ARTICLE)
+                plain = all(w in LAYOUT or w in BESIDE or w in PERHAPS or w in REPLIES or len(w) < 3 for w in found)
+                replies |= plain and bool(found & REPLIES)
+                perhaps = (found & PERHAPS) - ({"header"} if found & ARTICLE else set())
+                beside |= bool(found & BESIDE) or plain and bool(perhaps) or one == "hidden" and not _SHOWN.search(value)
     return beside, replies, article, hidden
 
 
@@ -94,11 +113,15 @@ class _Walk:
     """Text blocks of one page, gathered while its tags are read in order."""
 
     def __init__(self):
-        # an open element: name, and (aside, beside, replies, article, heading, link) from there inwards
-        self.open: list[tuple[str, tuple]] = [("", (False,) * 6)]
+        # an open element: name, and (aside, replies, article, heading, mark, link) from there inwards
+        self.open: list[tuple[str, tuple]] = [("", (False, False, False, False, -1, False))]
         self.parts: list[tuple[str, bool]] = []
-        self.state = (False,) * 5
+        self.state = self.open[0][1][:5]
         self.blocks: list[Block] = []
+        # marked elements: the one around it, and blocks and elements of a frame before and up to its end
+        self.marks: list[tuple[int, int, int]] = []
+        self.ends: dict[int, tuple[int, int]] = {}
+        self.frames = 0
 
     def flush(self) -> None:
         if self.parts:
@@ -106,8 +129,7 @@ class _Walk:
             if text:
                 linked = sum(len(t.split()) for t, link in self.parts if link)
                 words = text.count(" ") + 1
-                aside, beside, replies, article, heading = self.state
-                self.blocks.append(Block(text, words, min(linked, words), aside, beside or replies, article, heading))
+                self.blocks.append(Block(text, words, min(linked, words), *self.state))
             self.parts = []
 
     def text(self, raw: str) -> None:
@@ -120,10 +142,18 @@ class _Walk:
             self.state = flags[:5]
         self.parts.append((markup.unescape(raw), flags[5]))
 
+    def _leave(self, at: int) -> None:
+        """Close the open elements from ``at`` on."""
+        outer, mark = self.open[at - 1][1][4], self.open[-1][1][4]
+        while mark != outer:
+            self.ends[mark] = len(self.blocks), self.frames
+            mark = self.marks[mark][0]
+        del self.open[at:]
+
     def close(self, name: str) -> None:
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at][0] == name:
-                del self.open[at:]
+                self._leave(at)
                 return
             if name in INLINE and self.open[at][0] not in INLINE:
                 return
@@ -137,7 +167,7 @@ class _Walk:
             if own in within:
                 return
             if own in ends or own == "p":
-                del self.open[at:]
+                self._leave(at)
                 if own in ends and name != "tr":
                     return
             elif own not in INLINE and not ends:
@@ -152,17 +182,30 @@ class _Walk:
             self.open.append((name, flags))
             return
         self._implied(name)
-        aside, beside, replies, article, heading, link = self.open[-1][1]
+        aside, replies, article, heading, mark, link = self.open[-1][1]
         if name not in ("html", "body"):
-            names_beside, names_replies, _, hidden = _naming(attributes) if attributes.strip() else (False,) * 4
-            if name == "main" or name == "article":
-                beside, article = False, not replies
-                names_beside = names_beside and name == "article"
-            aside |= name in ASIDE or name == "header" and not article
-            beside |= names_beside or hidden
+            beside, names_replies, names_article, hidden = _naming(attributes) if attributes.strip() else (False,) * 4
+            aside |= name in ASIDE or hidden or name == "header" and not article
             replies |= names_replies
+            if name in ("main", "article"):
+                beside, article = beside and name == "article", not replies
+            if beside or name == "form":
+                self.marks.append((mark, len(self.blocks), self.frames + (name == "article")))
+                mark = len(self.marks) - 1
+            self.frames += not replies and (name in FRAME or names_article and not beside)
         heading |= name in ("h1", "h2", "h3", "h4", "h5", "h6")
-        self.open.append((name, (aside, beside, replies, article, heading, False)))
+        self.open.append((name, (aside, replies, article, heading, mark, False)))
+
+    def weigh(self) -> None:
+        """Give every block the share of the page's text in the smallest marked element around it, 0 if one holds no frame."""
+        plain = np.array([0] + [0 if b.aside or b.replies else b.words - b.linked for b in self.blocks]).cumsum()
+        known = [1.0]  # without a mark; a mark comes after the one around it
+        for at, (outer, start, frames) in enumerate(self.marks):
+            end, last = self.ends.get(at, (len(self.blocks), self.frames))
+            share = (plain[end] - plain[start]) / max(1, plain[-1]) if last > frames else 0.0
+            known.append(min(known[outer + 1], share))
+        for b in self.blocks:
+            b.share = known[b.mark + 1]
 
 
 @lru_cache(maxsize=64)
@@ -194,16 +237,23 @@ def blocks(page: str | None) -> list[Block]:
             walk.start(name, m[3])
     walk.text(page[at:])
     walk.flush()
+    walk.weigh()
     return walk.blocks
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """A row per block: words and link density of it and its neighbours, and where it stands."""
+    """A row per block: words and link density of it and its neighbours, and where it stands.
+
+    A block has the share of the page's text that is in article elements: above 0 within one, else below.
+    """
     n = len(found)
     own = np.zeros((n + 2, 2))
     own[1:-1, 0] = [b.words for b in found]
     own[1:-1, 1] = [b.linked / b.words for b in found]
-    place = np.array([(b.aside, b.beside, b.article, b.heading) for b in found], float).reshape(n, 4)
+    plain = np.array([0 if b.aside or b.replies or not b.share else b.words - b.linked for b in found], float)
+    article = np.array([b.article for b in found], bool)
+    taken = plain[article].sum() / max(1.0, plain.sum())
+    place = np.array([(b.aside or b.replies, taken if b.article else -taken, b.heading, b.share) for b in found], float).reshape(n, 4)
     return np.hstack([own[1:-1], own[:-2], own[2:], place])
 
 
@@ -228,7 +278,7 @@ class Tree:
             at[rows] = np.where(goes_left, self.left[node], self.right[node])
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Tree:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 2) -> Tree:
     """A tree that splits where the labels mix least (Gini)."""
     nodes: list[list] = []
 

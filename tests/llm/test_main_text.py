@@ -48,6 +48,36 @@ def test_other_layouts():
     assert text(page) == f"Flood & fall\n{LONG}\nSecond link para\xadgraph.\nThird <p>\nOne\nTwo"
 
 
+def test_names_of_adverts_on_the_frame_of_a_page():
+    said = "The council will meet again on Monday to hear from the engineers who looked at what is left of the bridge."
+    body = f"<h1>Flood</h1><p>{LONG}</p><p>{said}</p>"
+    whole = f"Flood\n{LONG}\n{said}"
+    menu, foot = "<nav><a href=/>Home</a></nav>", "<footer><p>All rights kept</p></footer>"
+    for page in (
+            f'<div class="overflow-hidden">{body}</div>',
+            f'<div class="layout sidebar-right"><div class="story">{body}</div></div>',
+            f'<form id="aspnetForm">{menu}{body}{foot}</form>',
+            f'<form id="aspnetForm" method="post">{body}</form>',
+            f'<article class="tags-page">{body}</article>',
+            f'<article class="post sidebar-none">{body}</article>',
+            f'<div class="hidden md:block">{menu}{body}</div>',
+            f'<div class="post comments-open">{body}</div>',
+            f'<div class="nav-open"><div class="ads-enabled">{menu}{body}{foot}</div></div>',
+            f'<article><h1>Flood</h1><div class="search-history"><p>{LONG}</p></div><p>{said}</p></article>'):
+        assert text(f"<html><body>{page}</body></html>") == whole, page
+
+
+def test_marked_elements_stay_out_however_long():
+    body = f"<h1>Flood</h1><p>{LONG}</p>"
+    for name in ("advert", "sponsored", "cookie-notice", "newsletter-box", "sidebar", "share-buttons", "related-posts",
+                 "search-box", "alert alert-info", "hidden", "comments", "comment-body", "popup"):
+        beside = f'<div class="{name}">' + f"<p>{LONG} {LONG}</p>" * 3 + "</div>"
+        assert text(f"<article>{body}</article>{beside}") == f"Flood\n{LONG}", name
+        assert text(f"<article>{body}{beside}</article>") == f"Flood\n{LONG}", name
+    cards = '<div class="related">' + f"<article><h3>More</h3><p>{LONG}</p></article>" + "</div>"
+    assert text(f"<main>{body}<p>{LONG}</p><p>{LONG}</p></main>{cards}") == "\n".join(["Flood"] + [LONG] * 3)
+
+
 def test_broken_markup():
     assert text(f"<p>{LONG}") == LONG
     assert text(f"<p>{LONG}<!-- never closed <p>{LONG}") == LONG
@@ -64,6 +94,7 @@ def test_very_long_page_is_read_whole():
     page = "<article>" + f"<p>{LONG}</p>" * 20_000 + "</article>"
     assert text(page) == "\n".join([LONG] * 20_000)
     assert text("<div>" * 50_000 + f"<p>{LONG}</p>") == LONG
+    assert text("<div class=nav-open>" * 50_000 + f"<article><p>{LONG}</p></article>") == LONG
 
 
 def test_odd_rows(prepared):
