@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..durable import cut
 from ..functions import fixed as X, scalars as S, text as X2
 from ..functions.rules import let, literal_map, lookup, matches
-from ..functions.skew import first_per_key
+from ..functions.skew import dealt, first_per_key
 from ..schemas import BAG, VARIANT, conform
 from . import classify as C, pages as P
 
@@ -98,13 +98,14 @@ def no_tags() -> Column:
 
 def normalize_shopify(raw: DataFrame) -> Normalised:
     """Products with option axes and per-variant prices, images and weights."""
-    df = _missing(raw, ruling="string", hint_category="string", hint_is_bag="boolean",
+    df = _missing(dealt(raw), ruling="string", hint_category="string", hint_is_bag="boolean",
                   brand_name="string", locale="string", fetched_at="timestamp")
-    df = df.withColumn("tags", F.coalesce("tags", no_tags())).withColumn(
-        "__body", X2.strip_html(F.col("body_html")))
-    df = df.withColumn("outcome", C.decide_category(
+    df = df.withColumn("tags", F.coalesce("tags", no_tags())).withColumn("outcome", C.decide_category(
         F.col("title"), F.col("product_type"), F.array_join("tags", " "),
         F.col("hint_category"), F.col("hint_is_bag"), F.col("ruling")))
+    # the verdict comes first: bodies and variants are read of accepted products only
+    taken = F.col("outcome.reason").isNull()
+    df = df.withColumn("__body", X2.strip_html(F.when(taken, F.col("body_html"))))
 
     axis = lambda pattern: let(F.get(F.filter(
         "options", lambda o: matches(o["name"], pattern)), F.lit(0)), lambda o: F.when(
@@ -136,8 +137,8 @@ def normalize_shopify(raw: DataFrame) -> Normalised:
             F.nullif(v["grams"], F.lit(0)).cast("int").alias("grams"),
             F.coalesce(v["featured_image"]["src"], by_id).alias("image"))
 
-    df = df.withColumn("variants", F.transform(
-        F.filter("variants", lambda v: v.isNotNull()), variant))
+    df = df.withColumn("variants", F.transform(F.when(
+        taken, F.filter("variants", lambda v: v.isNotNull())), variant))
     field = lambda f: F.transform("variants", lambda v: v[f])
     prices = F.array_compact(field("price"))
     df = df.withColumns({"colors": filled(field("color")), "sizes": filled(field("size"))})
