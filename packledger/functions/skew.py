@@ -30,23 +30,26 @@ def _attach(df: DataFrame, side: DataFrame, names: list[str], keep: list[str]) -
     return df.join(side, cond, "left").drop(*["__r_" + n for n in names])
 
 
-#: Bytes of stored payload that are worth a task of their own where reading them takes much work.
-GRAIN = 16 * 1024
+#: Bytes of stored payload that are worth a task of their own where reading them takes much work,
+#: and bytes a task may get before the input counts as large.
+GRAIN, LARGE = 16 * 1024, 128 * 1024 * 1024
 
 
 def dealt(df: DataFrame) -> DataFrame:
     """A small, dense input dealt out to tasks before work that costs far more than reading it.
 
     The number of tasks follows the input's bytes, up to what the cluster runs at
-    once; an input that is read in as many parts already is left where it is, so
-    nothing large is ever moved.
+    once.  An input that is read in as many parts already, a large one and one of
+    unknown size are left where they are, so nothing large is ever moved.
     """
     if df.isStreaming:
         return df
-    plan = df._jdf.queryExecution()
-    parts = min(-(-int(str(plan.optimizedPlan().stats().sizeInBytes())) // GRAIN),
-                df.sparkSession.sparkContext.defaultParallelism)
-    return df.repartition(parts) if parts > plan.toRdd().getNumPartitions() else df
+    plan, cores = df._jdf.queryExecution(), df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(plan.optimizedPlan().stats().sizeInBytes()))
+    parts = min(-(-size // GRAIN), cores)
+    if size > cores * LARGE or parts <= plan.toRdd().getNumPartitions():
+        return df
+    return df.repartition(parts)
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], bucket: Column,

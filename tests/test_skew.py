@@ -104,3 +104,19 @@ def test_ranked_divides_a_hot_key_whatever_its_order_values_are(spark):
     assert not found and ranked(df.limit(0), ["key"], [F.col("id")]).count() == 0
     alone = {r["id"]: r["rn"] for r in ranked(df, [], [F.col("id").desc()]).collect()}
     assert alone == {i: 6000 - i for i in range(6000)}
+
+
+def test_dealt_moves_small_dense_inputs_only(spark, tmp_path):
+    spark.range(20_000).select(F.col("id"), F.sha2(F.col("id").cast("string"), 256).alias("t")).coalesce(1).write.parquet(
+        str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    cores = spark.sparkContext.defaultParallelism
+    out = skew.dealt(one)
+    assert out.schema == one.schema and out.count() == 20_000
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() == cores
+    wide = one.repartition(cores + 3)  # read in as many parts as there are cores: left alone
+    assert skew.dealt(wide) is wide
+    unknown = spark.createDataFrame([(1, "x")], "id long, t string").coalesce(1)
+    assert skew.dealt(unknown) is unknown
+    few = one.limit(1).coalesce(1)
+    assert skew.dealt(few) is few

@@ -2,7 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from packledger.functions import scalars as S, text as T
+from packledger.functions import fixed as X, scalars as S, text as T
 from packledger.operators import classify as C, models as M
 
 
@@ -50,6 +50,15 @@ def test_capacity_lists(ev):
     assert ev(T.capacity_lists_blanked, nav, spec) == [" " * len(nav), spec]
 
 
+def test_many_capacity_runs(ev):
+    gap = " and then words that stand between these runs, too many for them to be one " * (1 + X.CAPACITY_RUN_SPAN // 50)
+    nav, two = "11L 12L 13L", "21L 22L"
+    text = gap.join([nav, two] * 3000)
+    blank = gap.join([" " * len(nav), two] * 3000)
+    assert ev(T.capacity_lists_blanked, text, f"x{gap}{nav} end", None, "", "11L 12L", "11L 11L 11L") == [
+        blank, f"x{gap}{' ' * len(nav)} end", None, "", "11L 12L", "11L 11L 11L"]
+
+
 @pytest.mark.parametrize("title,category", [
     ("Cross Body Bag XL", "sling"), ("Waistpack", "hip-pack"), ("Seat-Pack", "bike-bag"),
     ("Toptube-Bag", "bike-bag"), ("Hiking 28 L Backpack", "hiking-pack"),
