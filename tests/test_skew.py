@@ -120,3 +120,13 @@ def test_dealt_moves_small_dense_inputs_only(spark, tmp_path):
     assert skew.dealt(unknown) is unknown
     few = one.limit(1).coalesce(1)
     assert skew.dealt(few) is few
+
+
+def test_texts_of_parts_are_read_in_several_tasks(spark, tmp_path):
+    from packledger.plans import q_specs
+    spark.range(40_000).selectExpr(
+        "id AS p_partkey", "CAST(id % 50 AS INT) AS p_size", "md5(CAST(id AS STRING)) AS p_name", "id * 1.5D AS p_retailprice",
+        "'Brand' AS p_brand").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    df = q_specs.x20(spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() > 1
+    assert q_specs._part(spark, str(tmp_path), t="p_name").agg({"k": "sum"}).first()[0] == sum(range(40_000))
