@@ -10,9 +10,18 @@ leader is its candidate, any other becomes a leader.  After a few rounds over al
 buckets at once, crowded buckets go on in bit planes, all distances at a time
 with carry-save counters.  Candidates are links if their shingles say so.
 
+That joins most copies cheaply, not all: a text is compared with leaders only.
+So the links between the groups found are then looked for without loss.  Of two
+links each has a shingle of the other among its first fifth and one more, in any
+order common to all texts; texts of different groups that share such a shingle,
+and whose sizes and places in the order allow it, are compared as well.
+
 Scale: sketches are narrow; a bucket gives one candidate a text.  Crowded keys
 are first thinned in parts to their leaders.  Each distinct text with a candidate
 is shuffled to its leaders, in parts of bounded size, and compared as it streams by.
+The order puts shingles that are frequent in a sample of texts last, so that first
+shingles are rare; the sample changes the work, not the links.  Texts of one group
+are never paired, and crowded shingles go on in pairs of parts.
 
 Cases: a null text counts as an empty one; texts without words are one group,
 texts of fewer words have one shingle, the whole; of equal rows one stays; a row
@@ -35,6 +44,8 @@ WIDTH, SIMILAR, RADIUS, SEEDS = 5, 0.8, 20, 6
 ROUNDS, TILE = 16, 512
 #: Texts compared with one leader in a task, about.
 PART = 4096
+#: Of so many texts one is read for frequent shingles, which are met in so many of those; the most that travel; pairs passed on at once.
+SAMPLED, FREQUENT, TRAVEL, PASSED = 16, 4, 200_000, 200_000
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 # odd numbers with well spread bits: powers of one, as a hash needs for each place and each order
 _ODD = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 1 + max(WIDTH, SEEDS))], np.uint64)
@@ -254,12 +265,172 @@ def confirmed(docs: DataFrame, edges: DataFrame, similar: float = SIMILAR) -> Da
     return dealt.select("th", "leader", "place", "text").mapInArrow(run, "a long, b long")
 
 
+def _of_texts(docs: DataFrame, made, schema: str) -> DataFrame:
+    """Rows of numbers for each text of ``docs``, once for its copies in a task; ``made`` gives (columns, rows of a text)."""
+    names = ["th", *(c.split()[0] for c in schema.split(", "))]
+
+    def run(batches):
+        seen: set = set()
+        for b in batches:
+            parts, times, of = [], [], []
+            for th, text in zip(b.column("th").to_pylist(), b.column("text").to_pylist()):
+                if th in seen:
+                    continue
+                if len(seen) >= 1 << 20:
+                    seen.clear()
+                seen.add(th)
+                parts.append(made(np.unique(shingles(text))))
+                of.append(th)
+                times.append(len(parts[-1][0]))
+            if sum(times):
+                cols = [np.repeat(np.array(of, np.int64), times), *(np.concatenate(c) for c in zip(*parts))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+
+    return docs.select(_text_hash().alias("th"), "text").mapInArrow(run, "th long, " + schema)
+
+
+def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hashes, texts they are met in) of shingles frequent in a sample, by hash."""
+    few = docs.where(F.pmod(_text_hash(), F.lit(SAMPLED)) == 0)
+    met = _of_texts(few, lambda h: (h.view(np.int64),), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rows = met.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "key").limit(TRAVEL).collect()
+    h, n = (np.array([r[c] for r in rows], np.int64) for c in ("key", "n"))
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], n[order]
+
+
+def prefix(h: np.ndarray, late: tuple[np.ndarray, np.ndarray], similar: float = SIMILAR) -> np.ndarray:
+    """The first of the different shingles of a text: one of them is among the first of any text it is a link of."""
+    rank = np.zeros(len(h), np.int64)
+    if len(late[0]):
+        at = np.minimum(np.searchsorted(late[0], h), len(late[0]) - 1)
+        rank = np.where(late[0][at] == h, late[1][at], 0)
+    return h[np.lexsort((h, rank))][:len(h) - int(np.ceil(similar * len(h) - 1e-9)) + 1] if len(h) else h
+
+
+def prefixes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(th, key, at, n): the first shingles of every text, their places, and how many different ones the text has."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs))
+
+    def made(h):
+        first = prefix(h, shared.value, similar)
+        return first.view(np.int64), np.arange(len(first), dtype=np.int32), np.full(len(first), len(h), np.int32)
+
+    return _of_texts(docs, made, "key long, at int, n int")
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """The rows (th, key, at, n), once, whose key other texts have too."""
+    names = ["key", "th", "at", "n"]
+
+    def run(batches):
+        held, went = None, False  # the last row, and whether the one before it has its key
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+            cols = [np.concatenate(x) for x in zip(held, cols)] if held else cols
+            new = np.concatenate(([True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])))
+            cols = [c[new] for c in cols]
+            same = cols[0][1:] == cols[0][:-1]
+            keep = np.concatenate(([went], same)) | np.concatenate((same, [False]))
+            held, went = [c[-1:] for c in cols], bool(keep[-1])
+            keep[-1] = False
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names)
+        if held and went:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names)
+
+    return rows.select(*names).repartition("key").sortWithinPartitions("key", "th").mapInArrow(
+        run, "key long, th long, at int, n int")
+
+
+def across(bucket: np.ndarray, root: np.ndarray, at: np.ndarray, n: np.ndarray, similar: float = SIMILAR):
+    """Places (i, j) of rows of one bucket and different groups that may be links; sorted by bucket and root."""
+    new = np.concatenate(([True], bucket[1:] != bucket[:-1]))
+    ends = np.append(np.flatnonzero(new)[1:], len(bucket))
+    end = ends[np.cumsum(new) - 1]
+    run = new.copy()
+    run[1:] |= root[1:] != root[:-1]
+    later = np.append(np.flatnonzero(run)[1:], len(bucket))[np.cumsum(run) - 1]
+    i = np.flatnonzero(later < end)
+    j = later[i]
+    while len(i):
+        most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
+        fits = most >= similar * (n[i] + n[j] - most) - 1e-9
+        yield i[fits], j[fits]
+        left = j + 1 < end[i]
+        i, j = i[left], j[left] + 1
+
+
+def missed(docs: DataFrame, linked: DataFrame, similar: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): texts of different groups (node, root) that may yet be links."""
+    rows = written(met(prefixes(docs, similar)), "near-met")
+    crowds = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > bucket).select(
+        F.col("key").alias("of"), F.ceil(F.col("rows") / bucket).cast("long").alias("parts"))
+    crowds, one = written(crowds, "near-crowds"), F.lit(1).cast("long")
+    some = rows.join(linked.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th")).join(
+        crowds, F.col("key") == F.col("of"), "left").withColumn("parts", F.coalesce("parts", one))
+    mine = F.pmod(F.xxhash64("th", F.lit(11)), F.col("parts"))
+    cells = some.withColumn("mine", mine).withColumn(
+        "cell", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda other: (
+            F.least("mine", other) * F.col("parts") + F.greatest("mine", other)))))
+    names = ["key", "cell", "root", "th", "at", "n"]
+    out = ["a", "b", "at_a", "at_b", "n_a", "n_b"]
+
+    def found(key, cell, root, th, at, n):
+        of = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))))
+        held, size = [], 0
+
+        def rows():
+            i, j = (np.concatenate(x) for x in zip(*held))
+            i, j = np.where(th[i] < th[j], i, j), np.where(th[i] < th[j], j, i)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (th[i], th[j], at[i], at[j], n[i], n[j])], out)
+
+        for pair in across(of, root, at, n, similar):
+            held.append(pair)
+            size += len(pair[0])
+            if size >= PASSED:
+                yield rows()
+                held, size = [], 0
+        if size:
+            yield rows()
+
+    def run(batches):
+        rest: tuple = ()
+        for b in batches:
+            cols = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+            cols = [np.concatenate(x) for x in zip(rest, cols)] if rest else cols
+            key, cell = cols[:2]
+            if not len(key):
+                continue
+            before = np.flatnonzero((key != key[-1]) | (cell != cell[-1]))  # the last bucket may go on
+            cut = int(before[-1]) + 1 if len(before) else 0
+            if cut:
+                yield from found(*(c[:cut] for c in cols))
+            rest = tuple(c[cut:] for c in cols)
+        if rest and len(rest[0]):
+            yield from found(*rest)
+
+    dealt = cells.select(*names).repartition("key", "cell").sortWithinPartitions("key", "cell", "root", "th")
+    pairs = dealt.mapInArrow(run, "a long, b long, at_a int, at_b int, n_a int, n_b int")
+    shared = pairs.groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("first"), *[F.max(c).alias(c) for c in ("at_a", "at_b", "n_a", "n_b")])
+    length = lambda c: F.col(c) - F.ceil(F.lit(similar) * F.col(c) - 1e-9) + 1
+    # beyond the shared first shingles, what comes after the one text's first ones may only be after the other's last shared one
+    most = F.col("first") + F.greatest(
+        F.least(F.col("n_a") - length("n_a"), F.col("n_b") - F.col("at_b") - 1),
+        F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - length("n_b")))
+    return shared.where(most >= similar * (F.col("n_a") + F.col("n_b") - most) - 1e-9).select("a", "b")
+
+
 def groups(docs: DataFrame, radius: int = RADIUS, similar: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, th, root) of every row; ``root`` tells groups apart."""
     found = written(sketches(docs), "near-sketches")
     texts = written(found.groupBy("th").agg(F.first("fp").alias("fp"), F.first("least").alias("least")), "near-texts")
     edges = written(candidates(texts, radius, bucket), "near-candidates")
-    linked = components(written(confirmed(docs, edges, similar), "near-links"))
+    links = written(confirmed(docs, edges, similar), "near-links")
+    rest = written(missed(docs, written(components(links), "near-parts"), similar, bucket), "near-missed")
+    linked = components(links.unionByName(written(confirmed(docs, rest, similar), "near-rest")))
     return found.join(linked.withColumnRenamed("node", "th"), "th", "left").select(
         "doc_id", "th", F.coalesce("root", "th").alias("root"))
 

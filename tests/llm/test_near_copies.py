@@ -82,6 +82,28 @@ def test_planted_copies_and_clean_documents(make):
     assert all(is_copy or 2 * k + 1 in kept for k, is_copy in enumerate(planted))
 
 
+def test_links_beside_the_leaders_are_found(make):
+    """Edited copies on both sides of the threshold: the groups are those of all pairs."""
+    rng = random.Random(12)
+    rows, line = [], prose(rng, 30)
+    for family in range(60):
+        words = prose(rng, 150) + (line if family % 2 else [])
+        rows += [(10 * family + k, " ".join(edited(rng, words, rng.uniform(0.8, 0.93)))) for k in range(7)]
+    want = {r[0] for r in one_of_each(rows)}
+    assert {r["doc_id"] for r in N.one_of_each(make(*rows), bucket=4).collect()} == want
+
+
+def test_first_shingles_of_links_meet():
+    rng = np.random.default_rng(5)
+    late = (np.arange(0, 400, 3, dtype=np.uint64), rng.integers(1, 9, 134))
+    for n in (1, 2, 3, 4, 5, 9, 10, 11, 60):
+        for _ in range(30):
+            h = rng.choice(400, n, replace=False).astype(np.uint64)
+            swapped = n - int(np.ceil(n * 1.6 / 1.8 - 1e-9))
+            other = np.concatenate((h[swapped:], 1000 + np.arange(swapped, dtype=np.uint64)))
+            assert len(np.intersect1d(N.prefix(np.sort(h), late), N.prefix(np.sort(other), late)))
+
+
 def test_large_group_is_thinned_in_parts(make):
     rng = random.Random(10)
     words = prose(rng, 200)
