@@ -423,14 +423,44 @@ def missed(docs: DataFrame, linked: DataFrame, similar: float = SIMILAR, bucket:
     return shared.where(most >= similar * (F.col("n_a") + F.col("n_b") - most) - 1e-9).select("a", "b")
 
 
+def _some(pairs: DataFrame) -> DataFrame:
+    """Of every text's pairs (a, b) the least, the last and one by hash."""
+    both = pairs.select(F.col("a").alias("n"), F.col("b").alias("m")).unionByName(
+        pairs.select(F.col("b").alias("n"), F.col("a").alias("m")))
+    picked = both.groupBy("n").agg(F.array(F.min("m"), F.max("m"), F.min_by("m", F.xxhash64("n", "m"))).alias("m"))
+    return picked.select("n", F.explode("m").alias("m")).select(
+        F.least("n", "m").alias("a"), F.greatest("n", "m").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are in different groups (node, root)."""
+    for c in ("a", "b"):
+        pairs = pairs.join(linked.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def _completed(docs: DataFrame, links: DataFrame, similar: float, bucket: int) -> DataFrame:
+    """(node, root) of all groups: ``links`` and those between the groups they make.
+
+    A few pairs of each text come first, so that most pairs of a crowd are in one group before they are compared.
+    """
+    pairs = written(missed(docs, written(components(links), "near-parts"), similar, bucket), "near-missed")
+    wanted = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
+    few = written(docs.select(_text_hash().alias("th"), "text").join(wanted.hint("merge"), "th", "left_semi").dropDuplicates(
+        ["th"]).select("text"), "near-few")
+    tried = written(_some(pairs), "near-tried")
+    links = links.unionByName(written(confirmed(few, tried, similar), "near-links"))
+    rest = _apart(pairs, written(components(links), "near-parts")).join(tried, ["a", "b"], "left_anti")
+    return components(links.unionByName(written(confirmed(few, written(rest, "near-open"), similar), "near-links")))
+
+
 def groups(docs: DataFrame, radius: int = RADIUS, similar: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, th, root) of every row; ``root`` tells groups apart."""
     found = written(sketches(docs), "near-sketches")
     texts = written(found.groupBy("th").agg(F.first("fp").alias("fp"), F.first("least").alias("least")), "near-texts")
     edges = written(candidates(texts, radius, bucket), "near-candidates")
     links = written(confirmed(docs, edges, similar), "near-links")
-    rest = written(missed(docs, written(components(links), "near-parts"), similar, bucket), "near-missed")
-    linked = components(links.unionByName(written(confirmed(docs, rest, similar), "near-rest")))
+    linked = _completed(docs, links, similar, bucket)
     return found.join(linked.withColumnRenamed("node", "th"), "th", "left").select(
         "doc_id", "th", F.coalesce("root", "th").alias("root"))
 
