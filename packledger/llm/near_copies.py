@@ -14,7 +14,9 @@ That joins most copies cheaply, not all: a text is compared with leaders only.
 So the links between the groups found are then looked for without loss.  Of two
 links each has a shingle of the other among its first fifth and one more, in any
 order common to all texts; texts of different groups that share such a shingle,
-and whose sizes and places in the order allow it, are compared as well.
+and whose sizes, places in the order and signatures allow it, are compared as
+well, a few of each text first, so that a crowd of links is one group before the
+pairs of different groups are all looked at.
 
 Scale: sketches are narrow; a bucket gives one candidate a text.  Crowded keys
 are first thinned in parts to their leaders.  Each distinct text with a candidate
@@ -44,6 +46,8 @@ WIDTH, SIMILAR, RADIUS, SEEDS = 5, 0.8, 20, 6
 ROUNDS, TILE = 16, 512
 #: Texts compared with one leader in a task, about.
 PART = 4096
+#: Bits of a signature; partners a text is given in each bucket, one round after the other, before all of them.
+SIGNED, TURNS = 256, (1, 2, 4, 8)
 #: Of so many texts one is read for frequent shingles, which are met in so many of those; the most that travel; pairs passed on at once.
 SAMPLED, FREQUENT, TRAVEL, PASSED = 16, 4, 200_000, 200_000
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -84,21 +88,37 @@ def sketch(h: np.ndarray) -> tuple[int, list[int]]:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0]), least
 
 
+def signature(h: np.ndarray) -> np.ndarray:
+    """For each of ``SIGNED`` places whether an odd number of a text's different shingles falls there.
+
+    A shingle that only one of two texts has turns one place, so they differ in
+    as many shingles at least as their signatures do in places.
+    """
+    odd = np.bincount((np.unique(h) >> np.uint64(20)) % np.uint64(SIGNED), minlength=SIGNED) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, fp, least) of every row; ``th`` tells texts apart."""
-    names = ["doc_id", "th", "fp", "least"]
+    """(doc_id, th, fp, least, signed) of every row; ``th`` tells texts apart."""
+    names = ["doc_id", "th", "fp", "least", "signed"]
+
+    def lists(rows, size):
+        values = np.array(rows, np.uint64).reshape(-1).view(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * size, pa.int32()), pa.array(values))
 
     def run(batches):
         for b in batches:
-            made = {t: sketch(shingles(t)) for t in set(b.column("text").to_pylist())}
+            made = {}
+            for t in set(b.column("text").to_pylist()):
+                h = shingles(t)
+                made[t] = *sketch(h), signature(h)
             found = [made[t] for t in b.column("text").to_pylist()]
-            fp = np.array([f for f, _ in found], np.uint64).view(np.int64)
-            least = np.array([m for _, m in found], np.uint64).reshape(-1).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * SEEDS, pa.int32()), pa.array(least))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fp), lists], names)
+            fp = np.array([f for f, _, _ in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(fp), lists(
+                [m for _, m, _ in found], SEEDS), lists([s for _, _, s in found], SIGNED // 64)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("th"), "text")
-    return rows.mapInArrow(run, "doc_id long, th long, fp long, least array<long>")
+    return rows.mapInArrow(run, "doc_id long, th long, fp long, least array<long>, signed array<long>")
 
 
 def _text_hash():
@@ -344,40 +364,65 @@ def met(rows: DataFrame) -> DataFrame:
         run, "key long, th long, at int, n int")
 
 
-def across(bucket: np.ndarray, root: np.ndarray, at: np.ndarray, n: np.ndarray, similar: float = SIMILAR):
-    """Places (i, j) of rows of one bucket and different groups that may be links; sorted by bucket and root."""
+def across(bucket: np.ndarray, root: np.ndarray, at: np.ndarray, n: np.ndarray, signed: list[np.ndarray],
+           similar: float = SIMILAR, most: int | None = None):
+    """Places (i, j) of rows of one bucket and different groups that may be links; sorted by bucket and root.
+
+    With ``most``, only pairs of which a row has not had so many before; a row with any pair has one then.
+    """
     new = np.concatenate(([True], bucket[1:] != bucket[:-1]))
     ends = np.append(np.flatnonzero(new)[1:], len(bucket))
     end = ends[np.cumsum(new) - 1]
     run = new.copy()
     run[1:] |= root[1:] != root[:-1]
     later = np.append(np.flatnonzero(run)[1:], len(bucket))[np.cumsum(run) - 1]
+    had = np.zeros(len(bucket), np.int64)
     i = np.flatnonzero(later < end)
     j = later[i]
     while len(i):
-        most = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
-        fits = most >= similar * (n[i] + n[j] - most) - 1e-9
-        yield i[fits], j[fits]
+        shared = np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j])
+        fits = shared >= similar * (n[i] + n[j] - shared) - 1e-9
+        if most is not None:
+            fits[fits] = (had[i[fits]] < most) | (had[j[fits]] < most)
+        a, b = i[fits], j[fits]
+        apart = sum(np.bitwise_count((s[a] ^ s[b]).view(np.uint64)).astype(np.int64) for s in signed)
+        shared = (n[a] + n[b] - apart) / 2
+        fits = shared >= similar * (n[a] + n[b] - shared) - 1e-9
+        a, b = a[fits], b[fits]
+        if most is not None:
+            first = np.zeros(len(a), bool)
+            first[np.unique(b, return_index=True)[1]] = True
+            free = (had[a] < most) | (first & (had[b] < most))
+            a, b = a[free], b[free]
+        np.add.at(had, a, 1)
+        np.add.at(had, b, 1)
+        yield a, b
         left = j + 1 < end[i]
         i, j = i[left], j[left] + 1
 
 
-def missed(docs: DataFrame, linked: DataFrame, similar: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): texts of different groups (node, root) that may yet be links."""
-    rows = written(met(prefixes(docs, similar)), "near-met")
+def missed(rows: DataFrame, texts: DataFrame, linked: DataFrame, similar: float = SIMILAR, bucket: int = BUCKET,
+           most: int | None = None) -> DataFrame:
+    """(a, b): texts (th, signed) of different groups (node, root) with an equal one of ``rows`` that may yet be links.
+
+    All of them, or with ``most`` some of each text that has any.
+    """
     crowds = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > bucket).select(
         F.col("key").alias("of"), F.ceil(F.col("rows") / bucket).cast("long").alias("parts"))
     crowds, one = written(crowds, "near-crowds"), F.lit(1).cast("long")
-    some = rows.join(linked.withColumnRenamed("node", "th"), "th", "left").withColumn("root", F.coalesce("root", "th")).join(
-        crowds, F.col("key") == F.col("of"), "left").withColumn("parts", F.coalesce("parts", one))
+    signs = [f"s{k}" for k in range(SIGNED // 64)]
+    marks = texts.join(linked.withColumnRenamed("node", "th"), "th", "left").select(
+        "th", F.coalesce("root", "th").alias("root"), *[F.get("signed", F.lit(k)).alias(c) for k, c in enumerate(signs)])
+    some = rows.join(marks, "th").join(crowds, F.col("key") == F.col("of"), "left").withColumn(
+        "parts", F.coalesce("parts", one))
     mine = F.pmod(F.xxhash64("th", F.lit(11)), F.col("parts"))
     cells = some.withColumn("mine", mine).withColumn(
         "cell", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda other: (
             F.least("mine", other) * F.col("parts") + F.greatest("mine", other)))))
-    names = ["key", "cell", "root", "th", "at", "n"]
+    names = ["key", "cell", "root", "th", "at", "n", *signs]
     out = ["a", "b", "at_a", "at_b", "n_a", "n_b"]
 
-    def found(key, cell, root, th, at, n):
+    def found(key, cell, root, th, at, n, *signed):
         of = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))))
         held, size = [], 0
 
@@ -386,7 +431,7 @@ def missed(docs: DataFrame, linked: DataFrame, similar: float = SIMILAR, bucket:
             i, j = np.where(th[i] < th[j], i, j), np.where(th[i] < th[j], j, i)
             return pa.RecordBatch.from_arrays([pa.array(c) for c in (th[i], th[j], at[i], at[j], n[i], n[j])], out)
 
-        for pair in across(of, root, at, n, similar):
+        for pair in across(of, root, at, n, signed, similar, most):
             held.append(pair)
             size += len(pair[0])
             if size >= PASSED:
@@ -413,54 +458,54 @@ def missed(docs: DataFrame, linked: DataFrame, similar: float = SIMILAR, bucket:
 
     dealt = cells.select(*names).repartition("key", "cell").sortWithinPartitions("key", "cell", "root", "th")
     pairs = dealt.mapInArrow(run, "a long, b long, at_a int, at_b int, n_a int, n_b int")
+    if most is not None:
+        return pairs.select("a", "b").distinct()
     shared = pairs.groupBy("a", "b").agg(
         F.count(F.lit(1)).alias("first"), *[F.max(c).alias(c) for c in ("at_a", "at_b", "n_a", "n_b")])
     length = lambda c: F.col(c) - F.ceil(F.lit(similar) * F.col(c) - 1e-9) + 1
     # beyond the shared first shingles, what comes after the one text's first ones may only be after the other's last shared one
-    most = F.col("first") + F.greatest(
+    upper = F.col("first") + F.greatest(
         F.least(F.col("n_a") - length("n_a"), F.col("n_b") - F.col("at_b") - 1),
         F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - length("n_b")))
-    return shared.where(most >= similar * (F.col("n_a") + F.col("n_b") - most) - 1e-9).select("a", "b")
-
-
-def _some(pairs: DataFrame) -> DataFrame:
-    """Of every text's pairs (a, b) the least, the last and one by hash."""
-    both = pairs.select(F.col("a").alias("n"), F.col("b").alias("m")).unionByName(
-        pairs.select(F.col("b").alias("n"), F.col("a").alias("m")))
-    picked = both.groupBy("n").agg(F.array(F.min("m"), F.max("m"), F.min_by("m", F.xxhash64("n", "m"))).alias("m"))
-    return picked.select("n", F.explode("m").alias("m")).select(
-        F.least("n", "m").alias("a"), F.greatest("n", "m").alias("b")).distinct()
+    return shared.where(upper >= similar * (F.col("n_a") + F.col("n_b") - upper) - 1e-9).select("a", "b")
 
 
-def _apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are in different groups (node, root)."""
-    for c in ("a", "b"):
-        pairs = pairs.join(linked.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
-    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-
-def _completed(docs: DataFrame, links: DataFrame, similar: float, bucket: int) -> DataFrame:
+def _completed(docs: DataFrame, texts: DataFrame, links: DataFrame, similar: float, bucket: int) -> DataFrame:
     """(node, root) of all groups: ``links`` and those between the groups they make.
 
-    A few pairs of each text come first, so that most pairs of a crowd are in one group before they are compared.
+    Some pairs of each text come first, for a few rounds, so that a crowd of
+    links is one group before all pairs of different groups are looked for.
     """
-    pairs = written(missed(docs, written(components(links), "near-parts"), similar, bucket), "near-missed")
-    wanted = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
-    few = written(docs.select(_text_hash().alias("th"), "text").join(wanted.hint("merge"), "th", "left_semi").dropDuplicates(
-        ["th"]).select("text"), "near-few")
-    tried = written(_some(pairs), "near-tried")
-    links = links.unionByName(written(confirmed(few, tried, similar), "near-links"))
-    rest = _apart(pairs, written(components(links), "near-parts")).join(tried, ["a", "b"], "left_anti")
-    return components(links.unionByName(written(confirmed(few, written(rest, "near-open"), similar), "near-links")))
+    rows = written(met(prefixes(docs, similar)), "near-met")
+    texts, tried = texts.select("th", "signed"), None
+    turns = [*TURNS, None]
+    while turns:
+        most = turns.pop(0)
+        linked = written(components(links), "near-parts")
+        pairs = missed(rows, texts, linked, similar, bucket, most)
+        if tried is None:
+            tried = pairs = written(pairs, "near-missed")
+            wanted = pairs.select(F.col("a").alias("th")).unionByName(pairs.select(F.col("b").alias("th"))).distinct()
+            # a text with any pair is in one of the first round's
+            docs = written(docs.select(_text_hash().alias("th"), "text").join(
+                wanted.hint("merge"), "th", "left_semi").dropDuplicates(["th"]).select("text"), "near-few")
+        else:
+            pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "near-missed")
+            tried = tried.unionByName(pairs)
+        new = written(confirmed(docs, pairs, similar), "near-links")
+        links = links.unionByName(new)
+        if new.isEmpty():  # the groups stay as they are: the rest at once
+            turns = turns[-1:]
+    return components(links)
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, similar: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, th, root) of every row; ``root`` tells groups apart."""
     found = written(sketches(docs), "near-sketches")
-    texts = written(found.groupBy("th").agg(F.first("fp").alias("fp"), F.first("least").alias("least")), "near-texts")
+    texts = written(found.groupBy("th").agg(*[F.first(c).alias(c) for c in ("fp", "least", "signed")]), "near-texts")
     edges = written(candidates(texts, radius, bucket), "near-candidates")
     links = written(confirmed(docs, edges, similar), "near-links")
-    linked = _completed(docs, links, similar, bucket)
+    linked = _completed(docs, texts, links, similar, bucket)
     return found.join(linked.withColumnRenamed("node", "th"), "th", "left").select(
         "doc_id", "th", F.coalesce("root", "th").alias("root"))
 

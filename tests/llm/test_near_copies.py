@@ -104,6 +104,47 @@ def test_first_shingles_of_links_meet():
             assert len(np.intersect1d(N.prefix(np.sort(h), late), N.prefix(np.sort(other), late)))
 
 
+def test_signatures_differ_in_no_more_places_than_shingles():
+    rng = np.random.default_rng(6)
+    for n in (1, 20, 300):
+        h = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+        for k in range(0, n + 1, max(1, n // 5)):
+            a, b = h[:n], h[k:n + k]
+            apart = int(np.bitwise_count(N.signature(a) ^ N.signature(np.concatenate((b, b)))).sum())
+            assert apart <= 2 * k and (n > 20 or not k or apart >= k)
+
+
+def test_pairs_of_a_bucket_grow_with_its_rows():
+    rng = np.random.default_rng(7)
+    size = 400
+    root, at, n = np.arange(size), np.zeros(size, np.int64), np.full(size, 60)
+    bucket, one = np.zeros(size, np.int64), rng.integers(0, 1 << 63, 1, np.int64)
+    alike = [np.repeat(one, size) for _ in range(4)]
+    every = sum(len(i) for i, _ in N.across(bucket, root, at, n, alike))
+    some = [np.concatenate(x) for x in zip(*N.across(bucket, root, at, n, alike, most=2))]
+    assert every == size * (size - 1) // 2
+    assert len(some[0]) <= 2 * size and set(np.concatenate(some).tolist()) == set(range(size))
+    apart = [rng.integers(-(1 << 63), 1 << 63, size, np.int64) for _ in range(4)]
+    assert not sum(len(i) for i, _ in N.across(bucket, root, at, n, apart))
+
+
+def test_a_crowd_is_one_group_before_all_its_pairs_are_compared(make, monkeypatch):
+    rng = random.Random(13)
+    words = prose(rng, 120)
+    rows = [(i, " ".join(edited(rng, words, 0.87))) for i in range(160)]
+    compared, plain = [], N.written
+
+    def written(df, name):
+        out = plain(df, name)
+        if name == "near-missed":
+            compared.append(out.count())
+        return out
+    monkeypatch.setattr(N, "written", written)
+    kept = {r["doc_id"] for r in N.one_of_each(make(*rows)).collect()}
+    assert kept == {r[0] for r in one_of_each(rows)}
+    assert 0 < sum(compared) < 20 * len(rows)
+
+
 def test_large_group_is_thinned_in_parts(make):
     rng = random.Random(10)
     words = prose(rng, 200)
