@@ -195,12 +195,15 @@ def index(held: DataFrame) -> DataFrame:
 
 
 def _search(k: int, width: int):
-    def run(row: dict, queries: np.ndarray):
+    def load(row: dict):
         x = np.frombuffer(row["vectors"].as_py(), "<f8").reshape(row["n"].as_py(), row["width"].as_py())
         ids = np.frombuffer(row["ids"].as_py(), "<i8")
         ends = np.cumsum(np.frombuffer(row["counts"].as_py(), "<i4"))
         graph = Graph.of(units(x), row["head"].as_py(), row["graph"].as_py())
         norms = np.sqrt((x * x).sum(axis=1))
+        return lambda queries: run(x, ids, ends, graph, norms, queries)
+
+    def run(x, ids, ends, graph, norms, queries: np.ndarray):
         pos, out, score = [], [], []
         for i, (q, u) in enumerate(zip(queries, units(queries))):
             near = graph.search(u, width)[:4 * (k + 1)]
@@ -218,7 +221,7 @@ def _search(k: int, width: int):
                 out.append(v)
                 score.append(-s)
         return np.array(pos, np.int32), np.array(out, np.int64), np.array(score, np.float64)
-    return run
+    return load
 
 
 def neighbours(embeddings: DataFrame, is_query, k: int = 5, shard: int = SHARD, width: int = SEARCH) -> DataFrame:

@@ -9,8 +9,8 @@ lies below the query's k-th best exact product so far are dropped, the others
 go to the next resolution, and what is left is computed exactly.
 
 Scale: distinct vectors in shards of bounded size, each with its statistics;
-blocks of queries meet every shard once and only the best few of a shard go on
-to the merge.
+blocks of queries meet every shard once, by a stream past it, and only the best
+few of a shard go on to the merge.
 
 Cases: rows without a vec_id, null vectors and vectors with a null or non-finite
 component take no part; a zero vector does; shorter vectors are filled up with
@@ -31,6 +31,8 @@ from .common import written
 
 #: Rows of a shard; queries and candidates compared at once.
 SHARD, LANES = 16384, 256
+#: Shards up to which they keep their size, and rows to which they grow beyond that.
+FEW, LARGEST = 32, 65536
 #: While more than one pair in so many is left, a resolution is one product of matrices.
 DENSE = 16
 SCALE = 256
@@ -60,14 +62,21 @@ def _blockwise(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
-def best(queries: np.ndarray, x: np.ndarray, k: int, ids: np.ndarray, starts: np.ndarray):
+def profiled(x: np.ndarray) -> list[np.ndarray]:
+    """The profiles of the rows at every resolution."""
+    return [profile(x, s) for s in resolutions(x.shape[1])]
+
+
+def best(queries: np.ndarray, x: np.ndarray, k: int, ids: np.ndarray, starts: np.ndarray,
+         profiles: list[np.ndarray] | None = None):
     """(query row, id, product) of the k best of each query among the ids of the rows of x.
 
     Row j of x stands for ``ids[starts[j]:starts[j + 1]]``, in ascending order.
     """
     held = np.diff(starts)
     levels = resolutions(x.shape[1])
-    of_x = [profile(x, s) for s in levels]
+    of_x = profiled(x) if profiles is None else profiles
+    lanes = max(1, min(LANES, LANES * SHARD // max(1, len(x))))  # pairs at once do not grow with the shard
     reach = float(np.abs(queries).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, x.shape[1])
     slack = reach * 1e-9
     if reach >= 2 ** 52:  # beyond what doubles add up exactly
@@ -76,11 +85,11 @@ def best(queries: np.ndarray, x: np.ndarray, k: int, ids: np.ndarray, starts: np
     else:
         queries_i, x_i = queries, x
     pos, out, score = [], [], []
-    for at in range(0, len(queries), LANES):
-        q = queries[at:at + LANES]
+    for at in range(0, len(queries), lanes):
+        q = queries[at:at + lanes]
         of_q = [profile(q, s) for s in levels]
         bound = of_q[0] @ of_x[0].T
-        floor = _floor(queries_i[at:at + LANES], x_i, bound, k)
+        floor = _floor(queries_i[at:at + lanes], x_i, bound, k)
         alive, pairs = bound + slack >= floor[:, None], None
         for a, b in zip(of_q[1:], of_x[1:]):
             if pairs is None and alive.sum() > alive.size // DENSE:  # cheaper for all pairs at once
@@ -93,7 +102,7 @@ def best(queries: np.ndarray, x: np.ndarray, k: int, ids: np.ndarray, starts: np
         if len(qi) > alive.size // DENSE and reach < 2 ** 52:
             exact = (q @ x.T)[qi, xi]
         else:
-            exact = _blockwise(queries_i[at:at + LANES], x_i, qi, xi)
+            exact = _blockwise(queries_i[at:at + lanes], x_i, qi, xi)
         keep = exact >= floor[qi]
         qi, xi, exact = qi[keep], xi[keep], exact[keep]
         n = held[xi]
@@ -138,11 +147,12 @@ def index(held: DataFrame) -> DataFrame:
 
 
 def _search(k: int):
-    def run(row: dict, queries: np.ndarray):
+    def load(row: dict):
         x = np.frombuffer(row["vectors"].as_py(), "<f8").reshape(row["n"].as_py(), row["width"].as_py())
         starts = np.concatenate(([0], np.cumsum(np.frombuffer(row["counts"].as_py(), "<i4"))))
-        return best(queries, x, k + 1, np.frombuffer(row["ids"].as_py(), "<i8"), starts)
-    return run
+        ids, profiles = np.frombuffer(row["ids"].as_py(), "<i8"), profiled(x)
+        return lambda queries: best(queries, x, k + 1, ids, starts, profiles)
+    return load
 
 
 def inner_products(embeddings: DataFrame, is_query, k: int = 5, shard: int = SHARD) -> DataFrame:
@@ -151,7 +161,7 @@ def inner_products(embeddings: DataFrame, is_query, k: int = 5, shard: int = SHA
     rows = rows.where(F.col("vec_id").isNotNull() & vectors.finite(F.col("v")))
     rows = rows.withColumn("v", F.transform("v", lambda x: F.floor(x.cast("double") * SCALE).cast("double")))
     rows = vectors.padded(rows)
-    held, n = vectors.shards(written(vectors.classes(rows, k), "product-classes"), shard)
+    held, n = vectors.shards(written(vectors.classes(rows, k), "product-classes"), shard, FEW, LARGEST)
     kept = written(index(held), "product-shards")
     queries = rows.where(is_query)
     blocks = vectors.query_blocks(queries)

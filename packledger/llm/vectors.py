@@ -43,9 +43,15 @@ def classes(rows: DataFrame, k: int) -> DataFrame:
     return few.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
-def shards(held: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """A stored table of classes with a shard of about ``size`` rows for each, and how many."""
-    n = max(1, math.ceil(held.count() / size))
+def shards(held: DataFrame, size: int, few: int | None = None, largest: int = 0) -> tuple[DataFrame, int]:
+    """A stored table of classes with a shard of about ``size`` rows for each, and how many.
+
+    Every query meets every shard; beyond ``few`` shards, if given, they grow to ``largest`` rows first.
+    """
+    rows = held.count()
+    n = max(1, math.ceil(rows / size))
+    if few is not None:
+        n = max(min(n, few), math.ceil(rows / max(size, largest)))
     return held.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(n)).cast("int")), n
 
 
@@ -65,26 +71,34 @@ def matrix(vectors) -> np.ndarray:
 
 
 def searched(blocks: DataFrame, index: DataFrame, n_shards: int, score_type: str,
-             search: Callable[[dict, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+             search: Callable[[dict], Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> DataFrame:
     """(block, pos, vec_id, score): what each shard finds for each query.
 
-    ``index`` has one row per shard; ``search`` takes that row and a matrix of
-    queries and gives (query row, vec_id, score).
+    ``index`` has one row per shard; ``search`` takes that row and gives a function
+    that takes a matrix of queries and gives (query row, vec_id, score).  A shard
+    travels to its task once, and the blocks follow it there one by one; the two
+    are not joined, since blocks as stored are a small part of what they are when
+    every shard has its copy, and Spark would gather them for their stored size.
     """
     dealt = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
-    meet = dealt.join(index, "shard")
+    both = index.unionByName(dealt, allowMissingColumns=True)
+    stream = both.repartition("shard").sortWithinPartitions("shard", F.col("block").asc_nulls_first())
     kind = pa.float64() if score_type == "double" else pa.int64()
 
     def run(batches):
+        shard, find = None, None
         for b in batches:
             for i in range(b.num_rows):
                 row = {c: b.column(c)[i] for c in b.schema.names}
-                pos, ids, score = search(row, matrix(row["vs"].values))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(pos), row["block"].as_py()), pa.int32()), pa.array(pos, pa.int32()),
-                     pa.array(ids, pa.int64()), pa.array(score, kind)], ["block", "pos", "vec_id", "score"])
+                if not row["block"].is_valid:
+                    shard, find = row["shard"].as_py(), search(row)
+                elif shard == row["shard"].as_py():  # a shard without vectors has no row
+                    pos, ids, score = find(matrix(row["vs"].values))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(pos), row["block"].as_py()), pa.int32()), pa.array(pos, pa.int32()),
+                         pa.array(ids, pa.int64()), pa.array(score, kind)], ["block", "pos", "vec_id", "score"])
 
-    return meet.mapInArrow(run, f"block int, pos int, vec_id long, score {score_type}")
+    return stream.mapInArrow(run, f"block int, pos int, vec_id long, score {score_type}")
 
 
 def ranked(found: DataFrame, blocks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -93,8 +107,9 @@ def ranked(found: DataFrame, blocks: DataFrame, queries: DataFrame, k: int) -> D
     top = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
     lists = top.groupBy("block", "pos").agg(
         F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("top"))
-    named = blocks.select("block", F.posexplode("vs").alias("pos", "v")).join(lists, ["block", "pos"]).select("v", "top")
-    each = queries.select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id", "v"]).join(named, "v")
+    named = blocks.select("block", F.posexplode("vs").alias("pos", "v")).join(
+        lists.hint("merge"), ["block", "pos"]).select("v", "top")
+    each = queries.select(F.col("vec_id").alias("query_id"), "v").dropDuplicates(["query_id", "v"]).join(named.hint("merge"), "v")
     others = F.slice(F.filter("top", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     return each.select("query_id", F.posexplode(others).alias("i", "x")).select(
         "query_id", (F.col("i") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
